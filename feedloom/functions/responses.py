@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.binding import bind
 from feedloom.functions.text import strip
 
 
@@ -44,20 +45,25 @@ def json_document(text: Column) -> Column:
     Parsing it as the only element of an array makes trailing text an error.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def only_element(elements: Column) -> Column:
+        single = F.try_variant_get(elements, "$[1]", "variant").isNull()
+        return F.when(single, F.try_variant_get(elements, "$[0]", "variant"))
+
+    return bind(wrapped, only_element)
 
 
 def string_list(document: Column, field: str) -> Column:
     """A field of a JSON object as ARRAY<STRING>; null unless the field is a
     list and each of its elements is a string."""
-    value = F.try_variant_get(document, f"$.{field}", "variant")
-    items = F.try_variant_get(value, "$", "array<string>")
-    # The schema of an empty list and of a list of nulls is ARRAY<VOID>.
-    texts_only = F.schema_of_variant(value).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(
-        items, lambda item: item.isNull()
-    )
-    return F.when(texts_only, items)
+
+    def texts(value: Column) -> Column:
+        # The schema of an empty list and of a list of nulls is ARRAY<VOID>.
+        listed = F.schema_of_variant(value).isin("ARRAY<STRING>", "ARRAY<VOID>")
+        items = F.when(listed, F.try_variant_get(value, "$", "array<string>"))
+        return bind(items, lambda read: F.when(~F.exists(read, lambda item: item.isNull()), read))
+
+    return bind(F.try_variant_get(document, f"$.{field}", "variant"), texts)
 
 
 def normalised(queries: Column) -> Column:

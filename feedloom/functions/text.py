@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -35,7 +36,8 @@ def _entity_table() -> Column:
     named = {name.rstrip(";"): text for name, text in html5.items()}
     frequent = ["amp", "lt", "gt", "quot", "nbsp", "copy", "middot", "apos"]
     ordered = frequent + [name for name in named if name not in frequent]
-    return F.create_map(*[F.lit(part) for name in ordered for part in (name, named[name])])
+    # One literal that folds to a map: thousands of literals would burden the planner.
+    return F.from_json(F.lit(json.dumps({name: named[name] for name in ordered})), "map<string,string>")
 
 
 def _from_code_point(code: Column) -> Column:

@@ -11,24 +11,15 @@ Two forms of vector are used:
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.binding import bind
+
 DIM = 384
 TOKEN = r"([\p{L}\p{N}]+)"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body`` as a variable.
-
-    Written inline, it would be evaluated again for every element of a lambda
-    that mentions it.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
@@ -55,7 +46,7 @@ def token_counts(text: Column, dim: int = DIM) -> Column:
         )
 
     def entries(sorted_buckets: Column) -> Column:
-        return _bind(
+        return bind(
             run_ends(sorted_buckets),
             lambda ends: F.transform(
                 ends,
@@ -67,7 +58,7 @@ def token_counts(text: Column, dim: int = DIM) -> Column:
         )
 
     buckets = F.transform(tokens(text), lambda token: bucket(token, dim))
-    return F.when(text.isNotNull(), _bind(F.sort_array(buckets), entries))
+    return F.when(text.isNotNull(), bind(F.sort_array(buckets), entries))
 
 
 def dense_counts(sparse: Column, dim: int = DIM) -> Column:
@@ -89,7 +80,7 @@ def dense_counts(sparse: Column, dim: int = DIM) -> Column:
         tail = zeros(F.lit(dim - 1) - bucket_before(F.size(entries)))
         return F.concat(F.flatten(runs), tail)
 
-    return _bind(sparse, fill)
+    return bind(sparse, fill)
 
 
 def sparse_norm(sparse: Column) -> Column:
@@ -132,5 +123,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sparse_cosine(a: Column, b: Column, dim: int = DIM) -> Column:
     """Cosine of two sparse count vectors."""
-    dot = _bind(dense_counts(b, dim), lambda dense: sparse_dot(a, dense))
+    dot = bind(dense_counts(b, dim), lambda dense: sparse_dot(a, dense))
     return cosine_of(dot, sparse_norm(a), sparse_norm(b))

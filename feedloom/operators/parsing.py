@@ -6,11 +6,12 @@ last value, and not an unreadable document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import PARSE_FAILURE_PREFIX
 from feedloom.functions import responses as rx
+from feedloom.functions.binding import bind
 
 
 def enable(spark: SparkSession) -> None:
@@ -41,29 +42,39 @@ def parse_queries(
     (``"empty"``) or a one-element list with the failure text (``"marker"``).
     """
     enable(df.sparkSession)
-    whole = df.withColumn("_document", rx.json_document(F.col(sliced)))
+    document = rx.json_document(F.col(sliced))
     if normalise:
-        read = whole.withColumn("_read", rx.string_list(F.col("_document"), "queries"))
-        readable, found = F.col("_read").isNotNull(), rx.normalised(F.col("_read"))
+        read = bind(rx.string_list(document, "queries"), lambda queries: _read(queries.isNotNull(), rx.normalised(queries)))
     else:
-        items = F.try_variant_get("_document", "$.queries", "array<string>")
-        read = whole.withColumn("_read", items)
-        readable, found = F.col("_document").isNotNull(), F.col("_read")
+        read = bind(
+            document, lambda found: _read(found.isNotNull(), F.try_variant_get(found, "$.queries", "array<string>"))
+        )
     failed = {
         "null": F.lit(None).cast("array<string>"),
         "empty": F.array().cast("array<string>"),
         "marker": F.array(F.concat(F.lit(PARSE_FAILURE_PREFIX), F.col(sliced))),
     }[on_fail]
     return (
-        read.withColumn("parsed", readable)
-        .withColumn(out, F.when(F.col("parsed"), found).otherwise(failed))
-        .drop("_document", "_read")
+        df.withColumn("_read", read)
+        .withColumn("parsed", F.col("_read.readable"))
+        .withColumn(out, F.when(F.col("_read.readable"), F.col("_read.queries")).otherwise(failed))
+        .drop("_read")
     )
 
 
+def _read(readable: Column, queries: Column) -> Column:
+    return F.struct(readable.alias("readable"), queries.alias("queries"))
+
+
 def explode_outputs(df: DataFrame, output: str = "output", number: str = "version", query: str = "query") -> DataFrame:
-    """One row per element of the output, numbered from 1."""
+    """One row per element of the output, numbered from 1.
+
+    The outer form and the filter after it give the rows of the plain form, but
+    spare the planner's own filter, which would parse every response again.
+    """
     others = [c for c in df.columns if c != output]
-    return df.select(*others, F.posexplode(output).alias("_n", query)).select(
-        *others, (F.col("_n") + 1).cast("bigint").alias(number), query
+    return (
+        df.select(*others, F.posexplode_outer(output).alias("_n", query))
+        .where(F.col("_n").isNotNull())
+        .select(*others, (F.col("_n") + 1).cast("bigint").alias(number), query)
     )

@@ -70,8 +70,10 @@ def exact_quantiles(
         )
     )
 
+    few = scale.fits(edges)
+
     counted = (
-        scale.keyed_join(rows, edges, [by], row_id)
+        scale.keyed_join(rows, edges, [by], row_id, small=few)
         .groupBy(by)
         .agg(
             *[F.count_if(F.col("_value") < F.col(f"_low{i}")).alias(f"_below{i}") for i in range(len(probs))],
@@ -94,11 +96,12 @@ def exact_quantiles(
     brackets = scale.stage(counted.select(by, "n", F.array(*[bracket(i) for i in range(len(probs))]).alias("_brackets")))
 
     inside = (
-        scale.keyed_join(rows, brackets, [by], row_id)
+        scale.keyed_join(rows, brackets, [by], row_id, small=few)
         .withColumn("_b", F.explode(F.filter("_brackets", lambda b: F.col("_value").between(b["low"], b["high"]))))
         .select(by, "n", *row_id, "_value", F.col("_b.i").alias("_i"), F.col("_b.below").alias("_below"), F.col("_b.place").alias("_place"))
     )
-    placed = scale.ordered_positions(inside, [F.col("_value"), *map(F.col, row_id)], by=[by, "_i"], out="_rank")
+    order = [F.col("_value"), *map(F.col, row_id)]
+    placed = scale.ordered_positions(scale.stage(inside), order, by=[by, "_i"], out="_rank", few_groups=few)
     index = F.col("_below") + F.col("_rank") - 1
     low, part = F.floor("_place"), F.col("_place") - F.floor("_place")
     weight = F.when(index == low, 1 - part).when((index == low + 1) & (part > 0), part)

@@ -50,8 +50,12 @@ def re_rank(scored: DataFrame, by: str = "profile_id") -> DataFrame:
 
 
 def re_rank_corpus(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``re_rank`` for any number of rows: a range sort over all tasks."""
-    ranked = scale.ordered_positions(scored, [F.desc("score"), F.asc("original_rank")], by=by, out="rank")
+    """``re_rank`` for any number of rows: a range sort over all tasks.
+
+    The scores are staged, since the sort reads its input twice (once to sample
+    its ranges) and scoring is the costly part.
+    """
+    ranked = scale.ordered_positions(scale.stage(scored), [F.desc("score"), F.asc("original_rank")], by=by, out="rank")
     return _with_change(ranked)
 
 
@@ -60,7 +64,10 @@ def _with_change(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("change", F.col("original_rank") - F.col("rank"))
 
 
-def rerank_report(ranked: DataFrame, by: str | None = "profile_id") -> DataFrame:
-    """The reported columns, in rank order."""
-    keys = [by] if by and by in ranked.columns else []
-    return ranked.select(*keys, *REPORT).orderBy(*keys, "rank")
+def rerank_report(ranked: DataFrame, by: str = "profile_id") -> DataFrame:
+    """The reported columns; the rows of a request together and in rank order.
+
+    Ranking has brought the rows of a request into one partition already, so
+    no further shuffle is needed.
+    """
+    return ranked.select(by, *REPORT).sortWithinPartitions(by, "rank")

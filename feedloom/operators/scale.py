@@ -116,22 +116,27 @@ def keyed_join(
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
     min_rows: int = HEAVY_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Equi-join of a large left side with hot keys: broadcast when the right
-    side is counted small, salted shuffle otherwise."""
-    if fits(right, broadcast_rows):
+    side is counted small, salted shuffle otherwise. Callers that have counted
+    pass the outcome as ``small``."""
+    if fits(right, broadcast_rows) if small is None else small:
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, spread_by, how, min_rows)
 
 
-def ordered_positions(df: DataFrame, order: list[Column], by: list[str] | None = None, out: str = "position") -> DataFrame:
+def ordered_positions(
+    df: DataFrame, order: list[Column], by: list[str] | None = None, out: str = "position", few_groups: bool | None = None
+) -> DataFrame:
     """1-based position of every row in ``order``, within the group ``by``.
 
     The range sort deals rows to tasks by the whole sort key, so hot groups and
     equal scores are split as long as ``order`` ends in a unique column. The
     row's place in the sort is then fixed in the staged table; positions follow
     from it and from the row counts per task (and group), a table of at most
-    tasks + groups rows.
+    tasks + groups rows. The sort reads ``df`` twice, once to sample its ranges.
+    ``few_groups`` tells that the groups were counted and fit a broadcast.
     """
     by = by or []
     placed = stage(df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
@@ -142,7 +147,8 @@ def ordered_positions(df: DataFrame, order: list[Column], by: list[str] | None =
         *by, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
     )
     # Without groups there is one row per task; with groups their number decides.
-    if not by or fits(offsets):
+    few = not by or (fits(offsets) if few_groups is None else few_groups)
+    if few:
         offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, [*by, "_part"])

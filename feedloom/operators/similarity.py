@@ -66,8 +66,9 @@ def score_requests(
     sparse = _is_sparse(stories, vec)
     reach = _measured(stories.where(F.col(pos) <= FEED_MAX_N), vec, "_item", False, dim)
     n = clamp(F.col("n"), FEED_DEFAULT_N, FEED_MIN_N, FEED_MAX_N)
+    # A request grows to hundreds of rows: give every core its part of them.
     asked = (
-        _measured(requests, vec, "_query", True, dim)
+        _measured(scale.spread(requests, "profile_id"), vec, "_query", True, dim)
         .select("profile_id", "_query_vec", "_query_norm", F.explode(F.sequence(F.lit(1), n)).alias(pos))
         .withColumn(pos, F.col(pos).cast("bigint"))
     )

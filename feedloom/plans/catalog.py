@@ -68,7 +68,7 @@ def original_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {src.SQL_PAGE_TEXT} SELECT page_id, title, text FROM page_text")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.extract_text(src.fetched_pages(spark, sf_dir)).select("page_id", "title", "text")
+    return corpus.extract_text(src.titled(scale.spread(src.pages(spark, sf_dir), "page_id"))).select("page_id", "title", "text")
 
 
 @query(f"SELECT doc_id, {src.sql_long_lines('text')} AS text FROM documents")
@@ -156,7 +156,7 @@ FROM page_text WHERE page_id % 13 <> 0""")
 def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text cache after a stream of the pages has been read to its end."""
     run = f"{scale.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
-    arriving = spark.readStream.schema(src.table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages*.parquet")
+    arriving = spark.readStream.schema(schemas.TEST_TABLES["pages"]).parquet(f"{sf_dir}/pages*.parquet")
     page = F.col("page_id")
     fetched = arriving.select(
         "page_id",
@@ -174,16 +174,21 @@ def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_DOC_COUNTS = src.sql_counts("counts", "documents", "doc_id", "text")
 
 
+def _entries(vectors: DataFrame) -> DataFrame:
+    """One row per entry of each sparse vector."""
+    return vectors.select("doc_id", F.inline_outer("vec")).where(F.col("bucket").isNotNull())
+
+
 @query(f"WITH {_SQL_DOC_COUNTS} SELECT doc_id, bucket, w AS weight FROM counts")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scale.spread(src.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return embed(docs).select("doc_id", F.inline("vec"))
+    return _entries(embed(docs))
 
 
 @query(f"WITH {_SQL_DOC_COUNTS} SELECT doc_id, bucket, w AS weight FROM counts")
 def embed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = src.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return reuse.embed_distinct(docs, ["doc_id"]).select("doc_id", F.inline("vec"))
+    return _entries(reuse.embed_distinct(docs, ["doc_id"]))
 
 
 def _letter_model() -> Callable[[list[str]], list]:
@@ -247,8 +252,8 @@ SELECT profile_id, original_rank, round(score, 6) AS score FROM scored
 WHERE original_rank <= least(greatest(profile_id * 25 - 25, 1), 500)""")
 def sparse_profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse vectors: requests for heads of different lengths, some out of range."""
-    stories = scale.spread(src.stories(spark, sf_dir).where(F.col("id") < fixed.FEED_MAX_N), "id")
-    vectors = rerank_plan.story_vectors(stories).select("feed_pos", "vec")
+    stories = src.stories(spark, sf_dir)
+    vectors = rerank_plan.story_vectors(ranking.feed_head(stories, fixed.FEED_MAX_N)).select("feed_pos", "vec")
     asked = src.profiles(spark, sf_dir, F.col("item_id") * 25 - 25).transform(embed, "profile")
     return similarity.score_requests(vectors, asked).select("profile_id", "original_rank", *_rounded("score"))
 
@@ -321,13 +326,13 @@ def question_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT profile_id, title, url, original_rank, rank, original_rank - rank AS change, round(score, 6) AS score FROM ranked""")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every profile asks for the longest head of the page feed."""
-    pages = src.table(spark, sf_dir, "pages")
-    head = ranking.feed_head(pages, fixed.FEED_MAX_N, pos="page_id", first=0)
-    feed = head.select(F.col("page_id").alias("id"), (F.col("page_id") + 1).alias("feed_pos"), "url")
-    titles = src.fetched_pages(spark, sf_dir).select("url", "title")
-    fetched = pages.select("url", F.lit(200).alias("status"), "html", F.lit(None).cast("string").alias("error"))
-    stories = rerank_plan.attach_pages(feed, fetched).join(titles, "url", "left")
-    report = rerank_plan.rerank_feed(scale.spread(stories, "id"), src.profiles(spark, sf_dir, F.lit(fixed.FEED_MAX_N)))
+    head = ranking.feed_head(src.titled(src.pages(spark, sf_dir)), fixed.FEED_MAX_N, pos="page_id", first=0)
+    feed = head.select(F.col("page_id").alias("id"), (F.col("page_id") + 1).alias("feed_pos"), "url", "title")
+    fetched = src.table(spark, sf_dir, "pages").select(
+        "url", F.lit(200).alias("status"), "html", F.lit(None).cast("string").alias("error")
+    )
+    stories = rerank_plan.attach_pages(feed, fetched)
+    report = rerank_plan.rerank_feed(stories, src.profiles(spark, sf_dir, F.lit(fixed.FEED_MAX_N)))
     return report.withColumn("score", F.round("score", 6))
 
 
@@ -348,7 +353,7 @@ ranked AS (
 SELECT title, url, feed_pos AS original_rank, rank, feed_pos - rank AS change, round(score, 6) AS score FROM ranked""")
 def rerank_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One profile over the whole page feed, of any length."""
-    stories = scale.spread(src.stories(spark, sf_dir), "id")
+    stories = src.stories(spark, sf_dir)
     return rerank_plan.rerank_corpus(stories, src.one_profile(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 

@@ -22,7 +22,7 @@ def attach_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
     broadcast side: pages are read once, filtered to the wanted urls, and only
     then is their HTML turned into text.
     """
-    urls = stories.select("url").where(F.col("url").isNotNull()).distinct()
+    urls = stories.select("url").where(F.col("url").isNotNull())
     wanted = pages.join(F.broadcast(urls) if scale.fits(urls) else urls, "url", "left_semi")
     texts = wanted.transform(corpus.extract_text).transform(corpus.resolve_fetch).select("url", "text")
     return stories.join(texts, "url", "left")

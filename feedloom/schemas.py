@@ -33,3 +33,16 @@ RECORDS = _table(
     loading_time=DOUBLE,
 )
 MODEL_ERRORS = _table(model=TEXT, error=TEXT)
+
+# The test tables the queries read.
+TEST_TABLES = {
+    "pages": _table(page_id=LONG, url=TEXT, html=TEXT),
+    "documents": _table(doc_id=LONG, text=TEXT, lang=TEXT, source=TEXT, n_chars=LONG),
+    "labels": _table(doc_id=LONG, quality=INT, toxic=INT),
+    "embeddings": _table(vec_id=LONG, embedding=T.ArrayType(T.FloatType()), label=INT),
+    "benchmark": _table(item_id=LONG, text=TEXT),
+    "conversations": _table(conv_id=LONG, turn=LONG, role=TEXT, text=TEXT),
+    "events": _table(
+        event_id=LONG, ts=T.TimestampNTZType(), user_id=LONG, event_type=TEXT, value=DOUBLE, props=TEXT
+    ),
+}

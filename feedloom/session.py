@@ -12,6 +12,8 @@ COMMON = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Do not record a Python call site for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
