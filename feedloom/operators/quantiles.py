@@ -1,7 +1,8 @@
 """Exact quantiles per group without sorting the groups.
 
-A sketch gives, per group, a narrow bracket around each wanted order statistic;
-one counting pass proves how many values lie below each bracket and that the
+Sketches give, per group, a narrow bracket around each wanted order statistic:
+the rows of a group are dealt over shards, each shard is sketched by itself, and
+the bracket runs from the least to the greatest of the shards' bounds. One counting pass proves how many values lie below each bracket and that the
 bracket holds the statistic; only the values inside the brackets are sorted. A
 bracket that fails its proof is replaced by the whole range, so the result is
 exact whatever the sketch returned.
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import scale
 
-# The sketch is off by at most N / ACCURACY ranks; brackets allow ten times that.
-ACCURACY = 10_000
+# A sketch is off by at most N / ACCURACY ranks; brackets allow ten times that.
+# Its size grows with ACCURACY and one arrives per input task, so a group's
+# sketches are merged in SHARDS tasks.
+ACCURACY = 1_000
 MARGIN = 10 / ACCURACY
+SHARDS = 64
 
 
 def _place(n: Column, p: float, method: str) -> Column:
@@ -51,25 +55,19 @@ def exact_quantiles(
     names, probs = list(quantiles), list(quantiles.values())
 
     probes = [max(p - MARGIN, 0.0) for p in probs] + [min(p + MARGIN, 1.0) for p in probs]
-    sketched = rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.percentile_approx("_value", probes, accuracy).alias("_probe")
+    sketched = (
+        rows.groupBy(by, F.pmod(F.xxhash64(*row_id), F.lit(SHARDS)).alias("_shard"))
+        .agg(F.count("*").alias("_rows"), F.percentile_approx("_value", probes, accuracy).alias("_probe"))
+        .groupBy(by)
+        .agg(
+            F.sum("_rows").alias("n"),
+            *[F.min(F.get("_probe", F.lit(i))).alias(f"_low{i}") for i in range(len(probs))],
+            *[F.max(F.get("_probe", F.lit(i + len(probs)))).alias(f"_high{i}") for i in range(len(probs))],
+        )
     )
     edges = scale.stage(
-        sketched.select(
-            by,
-            "n",
-            *[
-                part
-                for i, p in enumerate(probs)
-                for part in (
-                    F.get("_probe", F.lit(i)).alias(f"_low{i}"),
-                    F.get("_probe", F.lit(i + len(probs))).alias(f"_high{i}"),
-                    _place(F.col("n"), p, method).alias(f"_place{i}"),
-                )
-            ],
-        )
+        sketched.select("*", *[_place(F.col("n"), p, method).alias(f"_place{i}") for i, p in enumerate(probs)])
     )
-
     few = scale.fits(edges)
 
     counted = (

@@ -20,7 +20,8 @@ def with_key(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def dedupe_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row per key in ``order``; rows without a key all stay.
+    """The first row per key in ``order``. Rows without a key have nothing to
+    share and are left out: see ``keyless``.
 
     ``min_by`` combines map-side, so a task ships one row per key it saw and a
     hot key costs no more than any other.
@@ -28,28 +29,40 @@ def dedupe_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     # A struct is never null, so rows whose order is null come last, not nowhere.
     place = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
-    first = (
+    return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.min_by(F.struct(*rest), place).alias("_first"))
         .select(key, "_first.*")
+        .select(df.columns)
     )
-    return first.select(df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
-def new_only(df: DataFrame, cache: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+def keyless(df: DataFrame, key: str) -> DataFrame:
+    """The rows that ``dedupe_by_key`` leaves out."""
+    return df.where(F.col(key).isNull())
+
+
+def new_only(
+    df: DataFrame, cache: DataFrame, key: str, spread_by: list[str], broadcast_rows: int = scale.BROADCAST_ROWS
+) -> DataFrame:
     """Rows whose key the cache does not know; rows without a key are no work.
 
-    ``cache`` has one row per key. Its key column alone is read.
+    ``cache`` has one row per key; its key column alone is read. A small cache
+    is broadcast; for a small batch the cache is only scanned for the batch's
+    keys; two large sides are shuffled, hot keys salted.
     """
-    return scale.keyed_join(
-        df.where(F.col(key).isNotNull()), cache.select(key), [key], spread_by, how="left_anti"
-    ).select(df.columns)
+    keyed, known = df.where(F.col(key).isNotNull()), cache.select(key)
+    small = scale.fits(known, broadcast_rows)
+    if not small and scale.fits(keyed, broadcast_rows):
+        known = known.join(F.broadcast(keyed.select(key).distinct()), key, "left_semi")
+        small = True
+    return scale.keyed_join(keyed, known, [key], spread_by, how="left_anti", small=small).select(df.columns)
 
 
 def extend_cache(cache: DataFrame, found: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows to append to the cache: the first of each key it does not know."""
-    fresh = new_only(dedupe_by_key(found.where(F.col(key).isNotNull()), key, order), cache, key, [key])
+    fresh = new_only(dedupe_by_key(found, key, order), cache, key, [key])
     return fresh.select(cache.columns)
 
 

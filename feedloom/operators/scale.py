@@ -17,9 +17,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A side of at most this many rows is broadcast. The rows are keys and vectors
-# of fixed width (at most 3 KB), hence at most 30 MB.
-BROADCAST_ROWS = 10_000
+# A side of at most this many rows is broadcast. The rows are keys, figures and
+# vectors, at most 16 KB each, hence at most 80 MB. Texts are never broadcast.
+BROADCAST_ROWS = 5_000
 
 # Keys with at least HEAVY_ROWS rows are salted into SLICES parts. At most
 # HEAVY_KEYS of them are looked up, so the list is small whatever the data; any
@@ -60,8 +60,11 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Give every core a part of a table that has fewer input splits than the
-    cluster has cores; a no-op for tables of real size."""
+    """Give every core a part of a scanned table that has fewer input splits
+    than the cluster has cores; a no-op for tables of real size.
+
+    For plain scans: asking a plan with shuffles for its partitions runs them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
@@ -91,12 +94,14 @@ def salted_join(
     ``spread_by`` are left columns that tell the rows of one key apart. ``how``
     may be inner, left, left_semi or left_anti: each left row meets all its
     right rows in exactly one slice, so the result is that of the plain join.
+    Rows without a key match nothing and are dealt over the slices as well.
     """
     heavy = F.broadcast(heavy_keys(left, keys, min_rows))
     slice_of_row = F.pmod(F.xxhash64(*spread_by), F.lit(SLICES))
+    dealt = F.col("_heavy") | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     sliced_left = (
         left.join(heavy, keys, "left")
-        .withColumn("_slice", F.when(F.col("_heavy"), slice_of_row).otherwise(F.lit(0).cast("bigint")))
+        .withColumn("_slice", F.when(dealt, slice_of_row).otherwise(F.lit(0).cast("bigint")))
         .drop("_heavy")
     )
     every_slice = F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))

@@ -18,14 +18,18 @@ def story_vectors(stories: DataFrame, embedder: Embedder | None = None) -> DataF
 def attach_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
     """The text of each story's page; null when there is no usable page.
 
-    ``pages`` has one row per url. A head of the feed is small, so it is the
-    broadcast side: pages are read once, filtered to the wanted urls, and only
-    then is their HTML turned into text.
+    ``pages`` has one row per url. For a head of the feed the wanted urls are
+    broadcast: pages are read once, filtered, and only then is their HTML turned
+    into text. Texts themselves are wide and never broadcast on purpose. For a
+    whole feed both sides are shuffled, hot and missing urls dealt out.
     """
     urls = stories.select("url").where(F.col("url").isNotNull())
-    wanted = pages.join(F.broadcast(urls) if scale.fits(urls) else urls, "url", "left_semi")
+    few = scale.fits(urls)
+    wanted = pages.join(F.broadcast(urls), "url", "left_semi") if few else pages
     texts = wanted.transform(corpus.extract_text).transform(corpus.resolve_fetch).select("url", "text")
-    return stories.join(texts, "url", "left")
+    if few:
+        return stories.join(texts, "url", "left")
+    return scale.salted_join(stories, texts, ["url"], ["id"], "left")
 
 
 def rerank_feed(stories: DataFrame, requests: DataFrame, embedder: Embedder | None = None) -> DataFrame:
