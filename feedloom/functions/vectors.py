@@ -7,6 +7,10 @@ Two forms of vector are used:
   is on integers, so scores do not depend on the order of evaluation;
 * dense floats, ``ARRAY<FLOAT>``, as a trained model gives. Arithmetic is in
   DOUBLE.
+
+Arguments are column names or SQL expressions. ``let`` evaluates a value once
+per row: written inline, it would be evaluated at each mention, and inside a
+lambda once more per element.
 """
 
 from __future__ import annotations
@@ -14,114 +18,109 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.binding import bind
-
 DIM = 384
 TOKEN = r"([\p{L}\p{N}]+)"
 
 
-def tokens(text: Column) -> Column:
+def let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``value`` bound to ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _tokens(text: str) -> str:
     """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+    return f"regexp_extract_all(lower({text}), r'{TOKEN}', 1)"
 
 
-def bucket(token: Column, dim: int = DIM) -> Column:
+def _bucket(token: str, dim: int) -> str:
     """Bucket of a token: first 16 bits of its MD5, modulo ``dim``."""
-    return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(dim))
+    return f"pmod(cast(conv(substr(md5({token}), 1, 4), 16, 10) AS INT), {dim})"
 
 
-def token_counts(text: Column, dim: int = DIM) -> Column:
+def token_counts(text: str, dim: int = DIM) -> Column:
     """Sparse counts of the hashed tokens of a text, without a shuffle.
 
     The buckets are sorted inside the row; each run of equal buckets becomes
     one entry whose weight is the length of the run.
     """
+    run_ends = (
+        "filter(sequence(1, greatest(size(buckets), 1)), i -> "
+        "i <= size(buckets) AND coalesce(get(buckets, i) <> get(buckets, i - 1), true))"
+    )
+    entries = (
+        "transform(ends, (run_end, k) -> named_struct("
+        "'bucket', get(buckets, run_end - 1), "
+        "'weight', cast(run_end - coalesce(get(ends, k - 1), 0) AS BIGINT)))"
+    )
+    buckets = f"sort_array(transform({_tokens(text)}, token -> {_bucket('token', dim)}))"
+    counts = let("buckets", buckets, let("ends", run_ends, entries))
+    return F.expr(f"CASE WHEN ({text}) IS NOT NULL THEN {counts} END")
 
-    def run_ends(sorted_buckets: Column) -> Column:
-        size = F.size(sorted_buckets)
-        return F.filter(
-            F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-            lambda i: (i <= size)
-            & F.coalesce(F.get(sorted_buckets, i) != F.get(sorted_buckets, i - 1), F.lit(True)),
-        )
-
-    def entries(sorted_buckets: Column) -> Column:
-        return bind(
-            run_ends(sorted_buckets),
-            lambda ends: F.transform(
-                ends,
-                lambda end, k: F.struct(
-                    F.get(sorted_buckets, end - 1).alias("bucket"),
-                    (end - F.coalesce(F.get(ends, k - 1), F.lit(0))).cast("bigint").alias("weight"),
-                ),
-            ),
-        )
-
-    buckets = F.transform(tokens(text), lambda token: bucket(token, dim))
-    return F.when(text.isNotNull(), bind(F.sort_array(buckets), entries))
-
-
-def dense_counts(sparse: Column, dim: int = DIM) -> Column:
-    """Sparse counts as an array of ``dim`` integers."""
 
-    def zeros(n: Column) -> Column:
-        return F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
+def _dense_counts(sparse: str, dim: int) -> str:
+    """Zeros up to each entry, the entry, and zeros after the last one."""
+
+    def zeros(n: str) -> str:
+        return f"array_repeat(0L, {n})"
+
+    def bucket_before(k: str) -> str:
+        return f"coalesce(get(entries, {k} - 1).bucket, -1)"
 
-    def fill(entries: Column) -> Column:
-        def bucket_before(k: Column) -> Column:
-            return F.coalesce(F.get(entries, k - 1)["bucket"], F.lit(-1))
+    runs = f"transform(entries, (entry, k) -> concat({zeros(f'entry.bucket - {bucket_before("k")} - 1')}, array(entry.weight)))"
+    tail = zeros(f"{dim} - 1 - {bucket_before('size(entries)')}")
+    return let("entries", sparse, f"concat(flatten({runs}), {tail})")
 
-        runs = F.transform(
-            entries,
-            lambda entry, k: F.concat(
-                zeros(entry["bucket"] - bucket_before(k) - 1), F.array(entry["weight"])
-            ),
-        )
-        tail = zeros(F.lit(dim - 1) - bucket_before(F.size(entries)))
-        return F.concat(F.flatten(runs), tail)
 
-    return bind(sparse, fill)
+def dense_counts(sparse: str, dim: int = DIM) -> Column:
+    """Sparse counts as an array of ``dim`` integers."""
+    return F.expr(_dense_counts(sparse, dim))
+
 
+def _sparse_norm(sparse: str) -> str:
+    return f"sqrt(cast(aggregate({sparse}, 0L, (total, entry) -> total + entry.weight * entry.weight) AS DOUBLE))"
 
-def sparse_norm(sparse: Column) -> Column:
+
+def sparse_norm(sparse: str) -> Column:
     """Euclidean length of sparse counts."""
-    squares = F.aggregate(
-        sparse, F.lit(0).cast("bigint"), lambda total, entry: total + entry["weight"] * entry["weight"]
-    )
-    return F.sqrt(squares.cast("double"))
+    return F.expr(_sparse_norm(sparse))
 
 
-def sparse_dot(sparse: Column, dense: Column) -> Column:
-    """Dot product of sparse counts with densified counts."""
-    return F.aggregate(
-        sparse,
-        F.lit(0).cast("bigint"),
-        lambda total, entry: total + entry["weight"] * F.get(dense, entry["bucket"]),
-    )
+def _sparse_dot(sparse: str, dense: str) -> str:
+    return f"aggregate({sparse}, 0L, (total, entry) -> total + entry.weight * get({dense}, entry.bucket))"
 
 
-def dense_dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
+def _dense_dot(a: str, b: str) -> str:
+    products = f"zip_with({a}, {b}, (x, y) -> cast(x AS DOUBLE) * cast(y AS DOUBLE))"
+    return f"aggregate({products}, 0D, (total, product) -> total + product)"
 
 
-def dense_norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+def _dense_norm(a: str) -> str:
+    return f"sqrt(aggregate({a}, 0D, (total, x) -> total + cast(x AS DOUBLE) * cast(x AS DOUBLE)))"
 
 
-def cosine_of(dot: Column, norm_a: Column, norm_b: Column) -> Column:
-    """Cosine from a dot product and two lengths; 0 when either length is 0."""
-    return F.when((norm_a == 0) | (norm_b == 0), F.lit(0.0)).otherwise(
-        dot.cast("double") / (norm_a * norm_b)
-    )
+def dense_norm(a: str) -> Column:
+    return F.expr(_dense_norm(a))
+
+
+def _cosine(dot: str, norm_a: str, norm_b: str) -> str:
+    return f"CASE WHEN {norm_a} = 0 OR {norm_b} = 0 THEN 0D ELSE cast({dot} AS DOUBLE) / ({norm_a} * {norm_b}) END"
+
+
+def measured_cosine(item: str, item_norm: str, query: str, query_norm: str, sparse: bool) -> Column:
+    """Cosine of vectors whose lengths are known; 0 when a length is 0.
+
+    Of sparse vectors the query has been densified.
+    """
+    dot = _sparse_dot(item, query) if sparse else _dense_dot(item, query)
+    return F.expr(_cosine(dot, item_norm, query_norm))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two dense vectors."""
-    return cosine_of(dense_dot(a, b), dense_norm(a), dense_norm(b))
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two dense vectors; 0 when one has no length."""
+    return F.expr(_cosine(_dense_dot(a, b), _dense_norm(a), _dense_norm(b)))
 
 
-def sparse_cosine(a: Column, b: Column, dim: int = DIM) -> Column:
-    """Cosine of two sparse count vectors."""
-    dot = bind(dense_counts(b, dim), lambda dense: sparse_dot(a, dense))
-    return cosine_of(dot, sparse_norm(a), sparse_norm(b))
+def sparse_cosine(a: str, b: str, dim: int = DIM) -> Column:
+    """Cosine of two sparse count vectors; 0 when one is empty."""
+    dot = let("dense", _dense_counts(b, dim), _sparse_dot(a, "dense"))
+    return F.expr(_cosine(dot, _sparse_norm(a), _sparse_norm(b)))

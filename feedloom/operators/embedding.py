@@ -29,7 +29,7 @@ class TokenCountEmbedder:
         self.dim = dim
 
     def embed(self, df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.withColumn(out, vx.token_counts(F.col(col), self.dim))
+        return df.withColumn(out, vx.token_counts(col, self.dim))
 
 
 class ModelEmbedder:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators import scale
-from feedloom.operators.quantiles import exact_quantiles
+from feedloom.operators.quantiles import counted_quantiles
 
 MEASURES = ("inference_time", "loading_time")
 
@@ -62,8 +62,8 @@ def box_data(
     A whisker ends at the furthest value within 1.5 interquartile ranges of its
     quartile. ``box_outliers`` lists the values beyond.
     """
-    quartiles = scale.stage(
-        exact_quantiles(runs, model, measure, {"q1": 0.25, "median": 0.5, "q3": 0.75}, list(row_id), method)
+    quartiles, few = counted_quantiles(
+        runs, model, measure, {"q1": 0.25, "median": 0.5, "q3": 0.75}, list(row_id), method
     )
     value, reach = F.col("_value"), 1.5 * (F.col("q3") - F.col("q1"))
     near_low, near_high = value >= F.col("q1") - reach, value <= F.col("q3") + reach
@@ -71,7 +71,7 @@ def box_data(
         model, *row_id, F.col(measure).cast("double").alias("_value")
     )
     return (
-        scale.keyed_join(rows, quartiles, [model], list(row_id))
+        scale.keyed_join(rows, quartiles, [model], list(row_id), small=few)
         .groupBy(model, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(near_low, value)).alias("_low"),

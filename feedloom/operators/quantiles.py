@@ -43,7 +43,20 @@ def exact_quantiles(
     method: str = "plotly",
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group: ``n`` and each named quantile.
+    """One row per group: ``n`` and each named quantile."""
+    return counted_quantiles(df, by, value, quantiles, row_id, method, accuracy)[0]
+
+
+def counted_quantiles(
+    df: DataFrame,
+    by: str,
+    value: str,
+    quantiles: dict[str, float],
+    row_id: list[str],
+    method: str = "plotly",
+    accuracy: int = ACCURACY,
+) -> tuple[DataFrame, bool]:
+    """The quantiles, and whether the groups were counted few enough to broadcast.
 
     ``row_id`` tells the rows of a group apart, so that equal values can be
     dealt to several tasks. ``method`` "plotly" interpolates at p*n - 0.5, "linear" at p*(n-1). Null
@@ -104,6 +117,7 @@ def exact_quantiles(
     low, part = F.floor("_place"), F.col("_place") - F.floor("_place")
     weight = F.when(index == low, 1 - part).when((index == low + 1) & (part > 0), part)
     picked = placed.withColumn("_weight", weight).where(F.col("_weight").isNotNull())
-    return picked.groupBy(by, "n").agg(
+    found = picked.groupBy(by, "n").agg(
         *[F.sum(F.when(F.col("_i") == i, F.col("_value") * F.col("_weight"))).alias(name) for i, name in enumerate(names)]
     )
+    return found, few

@@ -30,17 +30,16 @@ def _measured(df: DataFrame, vec: str, prefix: str, densify: bool, dim: int) ->
     """Replace a vector by the form the scoring uses and add its length, once
     per row and before any join repeats it."""
     sparse = _is_sparse(df, vec)
-    form = vx.dense_counts(F.col(vec), dim) if sparse and densify else F.col(vec)
-    length = vx.sparse_norm(F.col(vec)) if sparse else vx.dense_norm(F.col(vec))
+    form = vx.dense_counts(vec, dim) if sparse and densify else F.col(vec)
+    length = vx.sparse_norm(vec) if sparse else vx.dense_norm(vec)
     others = [c for c in df.columns if c != vec]
     return df.select(*others, form.alias(f"{prefix}_vec"), length.alias(f"{prefix}_norm"))
 
 
 def _score(sparse: bool) -> Column:
     """Cosine of an item against a query, both measured."""
-    item, query = F.col("_item_vec"), F.col("_query_vec")
-    dot = vx.sparse_dot(item, query) if sparse else vx.dense_dot(item, query)
-    return F.coalesce(vx.cosine_of(dot, F.col("_item_norm"), F.col("_query_norm")), F.lit(0.0))
+    score = vx.measured_cosine("_item_vec", "_item_norm", "_query_vec", "_query_norm", sparse)
+    return F.coalesce(score, F.lit(0.0))
 
 
 def clamp(n: Column, default: int, low: int, high: int) -> Column:

@@ -213,7 +213,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each vector with its successor."""
     vectors = src.table(spark, sf_dir, "embeddings")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
-    return vectors.join(following, "vec_id").select("vec_id", F.round(vx.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+    return vectors.join(following, "vec_id").select("vec_id", F.round(vx.cosine("embedding", "next"), 6).alias("cosine"))
 
 
 _SQL_LABEL_QUESTIONS = """questions AS (

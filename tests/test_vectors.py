@@ -3,8 +3,6 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from feedloom.functions import vectors as vx
 from feedloom.operators.embedding import ModelEmbedder, embed
 
@@ -29,7 +27,7 @@ def test_token_counts(spark):
 
 def test_dense_counts(spark):
     rows = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "text STRING")
-    for row in rows.select("text", vx.dense_counts(vx.token_counts(F.col("text"), 7), 7).alias("d")).collect():
+    for row in rows.select("text", vx.token_counts("text", 7).alias("v")).withColumn("d", vx.dense_counts("v", 7)).collect():
         counts = python_counts(row.text, 7)
         assert row.d == [counts.get(b, 0) for b in range(7)]
 
@@ -42,13 +40,14 @@ def cosine(a, b):
 def test_dense_cosine(spark):
     pairs = [([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0, 0.0], [0.0, 5.0]), ([3.0, 4.0], [-3.0, -4.0])]
     rows = spark.createDataFrame(pairs, "a ARRAY<FLOAT>, b ARRAY<FLOAT>")
-    for row in rows.select("a", "b", vx.cosine(F.col("a"), F.col("b")).alias("c")).collect():
+    for row in rows.select("a", "b", vx.cosine("a", "b").alias("c")).collect():
         assert math.isclose(row.c, cosine(row.a, row.b), abs_tol=1e-12)
 
 
 def test_sparse_cosine(spark):
     rows = spark.createDataFrame([("x y y", "y z"), ("", "x"), ("q", "r"), ("a b", "a b")], "a STRING, b STRING")
-    scored = rows.select("a", "b", vx.sparse_cosine(vx.token_counts(F.col("a")), vx.token_counts(F.col("b"))).alias("c"))
+    scored = rows.select("a", "b", vx.token_counts("a").alias("va"), vx.token_counts("b").alias("vb"))
+    scored = scored.select("a", "b", vx.sparse_cosine("va", "vb").alias("c"))
     for row in scored.collect():
         a, b = python_counts(row.a), python_counts(row.b)
         dense = [[v.get(i, 0) for i in range(vx.DIM)] for v in (a, b)]
