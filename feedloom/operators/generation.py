@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from feedloom import schemas
 from feedloom.fixed_values import ITERATIONS, PROMPT_TEMPLATE
 from feedloom.functions import responses as rx
 from feedloom.functions.text import strip
@@ -68,33 +70,53 @@ def strip_echo(
 
 
 def generate(
-    requests: DataFrame, load: Callable[[str], Callable[[str], str]], model: str = "model", prompt: str = "prompt"
+    requests: DataFrame,
+    load: Callable[[str], Callable[[str], str]],
+    model: str = "model",
+    prompt: str = "prompt",
+    spread_by: tuple[str, ...] = ("iteration", "question_idx"),
 ) -> DataFrame:
     """Run a generator over the requests.
 
     ``load`` takes a model name and returns a function from prompt to output.
-    Rows are sorted by model inside each partition, so a task holds one model
-    at a time and loads each once. Adds ``response``, the seconds of that call
-    as ``inference_time`` and those of the load as ``loading_time``.
+    Requests are range-partitioned by model and ``spread_by``: every core gets
+    its share of this slow step, a model with many requests is split over
+    tasks, and a task sees few models, holds one at a time and loads each once.
+    Adds ``response``, the seconds of that call
+    as ``inference_time``, those of the load as ``loading_time``, and ``error``:
+    a model that fails does not fail the job.
     """
-    schema = requests.schema.add("response", "string").add("inference_time", "double").add("loading_time", "double")
+    schema = T.StructType(requests.schema.fields + schemas.ANSWERS.fields)
+    added = schemas.ANSWERS.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded, call, load_seconds = None, None, None
+        current, call, load_seconds, failure = None, None, None, None
         for batch in batches:
-            outputs, seconds, loads = [], [], []
+            results = []
             for name, text in zip(batch[model], batch[prompt]):
-                if call is None or name != loaded:
+                if name != current:
+                    current, call, load_seconds, failure = name, None, None, None
                     began = time.perf_counter()
-                    loaded, call = name, load(name)
-                    load_seconds = time.perf_counter() - began
+                    try:
+                        call = load(name)
+                        load_seconds = time.perf_counter() - began
+                    except Exception as error:
+                        failure = f"{type(error).__name__}: {error}"
+                if call is None:
+                    results.append((None, None, None, failure))
+                    continue
                 began = time.perf_counter()
-                outputs.append(call(text))
-                seconds.append(time.perf_counter() - began)
-                loads.append(load_seconds)
-            yield batch.assign(response=outputs, inference_time=seconds, loading_time=loads)
-
-    return requests.sortWithinPartitions(model).mapInPandas(run, schema)
+                try:
+                    output = call(text)
+                    results.append((output, time.perf_counter() - began, load_seconds, None))
+                except Exception as error:
+                    results.append((None, None, load_seconds, f"{type(error).__name__}: {error}"))
+            answers = pd.DataFrame(results, columns=added, index=batch.index)
+            yield pd.concat([batch, answers], axis=1)
+
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [model, *[c for c in spread_by if c in requests.columns]]
+    return requests.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 def replay(requests: DataFrame, recorded: DataFrame, keys: tuple[str, ...] = ("model", "iteration", "question_idx")) -> DataFrame:

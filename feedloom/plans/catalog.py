@@ -191,17 +191,19 @@ def embed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(reuse.embed_distinct(docs, ["doc_id"]))
 
 
-def _letter_model() -> Callable[[list[str]], list]:
-    """A stand-in for a trained model: text length and number of letters e."""
-    return lambda texts: [[len(t), t.count("e")] for t in texts]
-
-
 @query("""SELECT conv_id, turn, length(text)::DOUBLE AS n_chars,
        (length(text) - length(replace(text, 'e', '')))::DOUBLE AS n_e FROM conversations""")
 def model_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plug point for a trained model, run on Arrow batches."""
+    """The plug point for a trained model, run on Arrow batches.
+
+    The stand-in gives text length and number of letters e.
+    """
+
+    def load() -> Callable[[list[str]], list]:
+        return lambda texts: [[len(t), t.count("e")] for t in texts]
+
     turns = src.table(spark, sf_dir, "conversations")
-    vec = embed(turns, "text", "vec", ModelEmbedder(_letter_model))
+    vec = embed(turns, "text", "vec", ModelEmbedder(load))
     return vec.select(
         "conv_id", "turn", F.get("vec", F.lit(0)).cast("double").alias("n_chars"), F.get("vec", F.lit(1)).cast("double").alias("n_e")
     )
@@ -416,19 +418,21 @@ def replay_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.replay(src.asked(spark, sf_dir), src.recorded(spark, sf_dir))
 
 
-def _repeating_generator(model: str) -> Callable[[str], str]:
-    """A stand-in for a language model: repeats the prompt, then answers in JSON."""
-    return lambda prompt: prompt + "\n" + json.dumps({"queries": [model, str(len(prompt))]}) + "\n"
-
-
 @query(f"""WITH {src.SQL_REQUESTED},
 prompts AS (SELECT *, replace({_sql_text(fixed.PLAIN_PROMPT_TEMPLATE)}, '{{query}}', {src.sql_strip('question')}) AS prompt FROM asked)
 SELECT model, iteration, question_idx, 1 AS version, length(prompt)::VARCHAR AS query FROM prompts
 UNION ALL SELECT model, iteration, question_idx, 2 AS version, model AS query FROM prompts""")
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plug point for a language model, and the whole job after it."""
+    """The plug point for a language model, and the whole job after it.
+
+    The stand-in repeats the prompt, then answers in JSON.
+    """
+
+    def load(model: str) -> Callable[[str], str]:
+        return lambda prompt: prompt + "\n" + json.dumps({"queries": [model, str(len(prompt))]}) + "\n"
+
     prompts = generation.build_prompts(src.asked(spark, sf_dir), fixed.PLAIN_PROMPT_TEMPLATE)
-    answered = generation.generate(prompts, _repeating_generator).transform(generation.strip_echo)
+    answered = generation.generate(prompts, load).transform(generation.strip_echo)
     parsed = answered.transform(parsing.slice_json).transform(parsing.parse_queries)
     return parsing.explode_outputs(parsed).select("model", "iteration", "question_idx", "version", "query")
 

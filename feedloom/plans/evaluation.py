@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from feedloom.operators import evaluation, generation, parsing, scale
+
 
-from feedloom.operators import evaluation, generation, parsing
+def run_models(
+    requests: DataFrame, load: Callable[[str], Callable[[str], str]]
+) -> tuple[DataFrame, DataFrame]:
+    """Run a generator over the requests: its answers, and its (model, error) table.
+
+    The answers are staged: generation is neither cheap nor repeatable, and
+    both results read it.
+    """
+    answers = scale.stage(generation.generate(requests, load))
+    errors = answers.where(F.col("error").isNotNull()).select("model", "error")
+    return answers.drop("error"), errors
 
 
 def evaluate(requests: DataFrame, recorded: DataFrame, errors: DataFrame) -> DataFrame:
     """Benchmark records: recorded outputs of the requests, parsed, without
     models that failed. ``requests`` has prompts; ``recorded`` adds response,
     inference_time and loading_time."""
-    answered = generation.replay(requests, recorded).transform(generation.strip_echo)
+    return records_of(generation.replay(requests, recorded), errors)
+
+
+def records_of(answers: DataFrame, errors: DataFrame) -> DataFrame:
+    """Benchmark records from answers to prompts, without models that failed."""
+    answered = answers.transform(generation.strip_echo)
     parsed = answered.transform(parsing.slice_json, "first").transform(parsing.parse_queries, "marker")
     return evaluation.drop_failed_models(parsed, errors).transform(evaluation.load_once)
 

@@ -15,10 +15,11 @@ def rank_candidate_queries(
 ) -> DataFrame:
     """The best queries of each question, as many as it asked for.
 
-    ``questions``: question_idx, question, n. ``candidates``: question_idx,
+    ``questions``: question_idx, question (rows without one are not served), n.
+    ``candidates``: question_idx,
     candidate_id, query.
     """
     n = similarity.clamp(F.col("n"), QUESTION_DEFAULT_N, QUESTION_MIN_N, QUESTION_MAX_N)
-    asked = questions.withColumn("n", n).transform(embed, "question", "vec", embedder)
+    asked = questions.where(F.col("question").isNotNull()).withColumn("n", n).transform(embed, "question", "vec", embedder)
     offered = candidates.transform(embed, "query", "vec", embedder)
     return similarity.topk_candidates(asked.drop("question"), offered, k=QUESTION_MAX_N)

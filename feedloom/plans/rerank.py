@@ -36,11 +36,11 @@ def rerank_feed(stories: DataFrame, requests: DataFrame, embedder: Embedder | No
     """Report per request: the first ``n`` stories in order of their score.
 
     ``stories``: id, title, url, text, feed_pos (dense, from 1).
-    ``requests``: profile_id, profile, n.
+    ``requests``: profile_id, profile (requests without one are not served), n.
     """
     head = ranking.feed_head(stories, FEED_MAX_N)
     vectors = story_vectors(head, embedder).select("id", "title", "url", "feed_pos", "vec")
-    profiles = requests.transform(embed, "profile", "vec", embedder).select("profile_id", "n", "vec")
+    profiles = requests.where(F.col("profile").isNotNull()).transform(embed, "profile", "vec", embedder).select("profile_id", "n", "vec")
     scored = similarity.score_requests(vectors, profiles)
     return ranking.rerank_report(ranking.re_rank(scored))
 

@@ -32,6 +32,7 @@ RECORDS = _table(
     inference_time=DOUBLE,
     loading_time=DOUBLE,
 )
+ANSWERS = _table(response=TEXT, inference_time=DOUBLE, loading_time=DOUBLE, error=TEXT)
 MODEL_ERRORS = _table(model=TEXT, error=TEXT)
 
 # The test tables the queries read.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import evaluation, generation
 from feedloom.operators.quantiles import exact_quantiles
-from feedloom.plans.evaluation import evaluate, report_tables
+from feedloom.plans.evaluation import evaluate, records_of, report_tables, run_models
 
 RECORDS = "model STRING, iteration LONG, question_idx LONG, inference_time DOUBLE, loading_time DOUBLE"
 
@@ -103,16 +103,20 @@ def test_prompts(spark):
 
 
 def test_generate_loads_each_model_once_per_task(spark):
+    loads = spark.sparkContext.accumulator(0)
+
     def load(model):
-        loads = []
-        loads.append(model)
-        return lambda prompt: f"{model}:{len(loads)}:{prompt}"
+        loads.add(1)
+        return lambda prompt: f"{model}:{prompt}"
 
-    rows = spark.createDataFrame([("a" if i % 2 else "b", f"p{i}") for i in range(50)], "model STRING, prompt STRING")
-    got = generation.generate(rows.coalesce(1), load).collect()
-    assert {r.response for r in got} == {f"{'a' if i % 2 else 'b'}:1:p{i}" for i in range(50)}
-    assert all(r.inference_time >= 0 and r.loading_time >= 0 for r in got)
-    assert len({r.loading_time for r in got}) == 2
+    data = [("a" if i % 3 else "b", i, f"p{i}") for i in range(300)]
+    rows = spark.createDataFrame(data, "model STRING, question_idx INT, prompt STRING")
+    got = generation.generate(rows, load).collect()
+    assert {r.response for r in got} == {f"{m}:p{i}" for m, i, _ in data}
+    assert all(r.inference_time >= 0 and r.loading_time >= 0 and r.error is None for r in got)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Contiguous ranges: each task starts with one load, and one model boundary adds another.
+    assert 2 <= loads.value <= parts + 1
 
 
 def test_evaluate_and_report(spark):
@@ -134,3 +138,34 @@ def test_evaluate_and_report(spark):
     assert [(r["mean"], r.low is None) for r in tables["inference_bars"].collect()] == [(1.5, False)]
     assert tables["inference_boxes"].first().n == 4
     assert tables["samples"].count() == 2
+
+
+def test_a_failing_model_is_reported_and_dropped(spark):
+    def load(model):
+        if model == "unloadable":
+            raise MemoryError("too large")
+
+        def call(prompt):
+            if model == "flaky" and "q2" in prompt:
+                raise ValueError("bad token")
+            return prompt + '{"queries": ["A"]}'
+
+        return call
+
+    questions = spark.createDataFrame([(1, "q1"), (2, "q2")], "question_idx LONG, question STRING")
+    models = [{"name": n, "id": n} for n in ("good", "unloadable", "flaky")]
+    requests = generation.build_prompts(generation.request_grid(questions, models, 2))
+    answers, errors = run_models(requests, load)
+    assert {tuple(r) for r in errors.collect()} == {("unloadable", "MemoryError: too large"), ("flaky", "ValueError: bad token")}
+    records = records_of(answers, errors).collect()
+    assert {(r.model, r.iteration, r.question_idx, tuple(r.output)) for r in records} == {
+        ("good", i, q, ("a",)) for i in (1, 2) for q in (1, 2)
+    }
+    assert all((r.loading_time is not None) == (r.question_idx == 1) for r in records)
+
+
+def test_versions_of_nested_outputs(spark):
+    from feedloom.operators.parsing import explode_outputs
+
+    rows = spark.createDataFrame([(1, [["a", "b"], ["c"]])], "i INT, output ARRAY<ARRAY<STRING>>")
+    assert [(r.version, r["query"]) for r in explode_outputs(rows).collect()] == [(1, ["a", "b"]), (2, ["c"])]
