@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import LONG_LINE_CHARS, SILENT_ELEMENTS, WHITESPACE
+from feedloom.functions.binding import bind
 
 # One pass, left to right, so that whichever construct opens first wins: a tag
 # inside a comment is comment, a comment inside a script is script. Loops are
@@ -19,10 +20,11 @@ _ATTRIBUTES = r"""(?:[^>=]*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+[^>]
 def _markup_pattern() -> str:
     silent = [
         # An unclosed ruby element ends with its parent, the others with the page.
-        rf"<{name}\b[^>]*+>.*?(?:</{name}\b[^>]*+>{'' if name.startswith('r') else r'|\z'})"
+        rf"{name}\b[^>]*+>.*?(?:</{name}\b[^>]*+>{'' if name.startswith('r') else r'|\z'})"
         for name in SILENT_ELEMENTS
     ]
-    return "(?is)" + "|".join([*silent, r"<!--.*?(?:-->|\z)", rf"<[a-z/!?]{_ATTRIBUTES}>"])
+    # The common "<" comes first: the matcher then skips text at one test per character.
+    return "(?is)<(?:" + "|".join([*silent, r"!--.*?(?:-->|\z)", rf"[a-z/!?]{_ATTRIBUTES}>"]) + ")"
 
 
 MARKUP = _markup_pattern()
@@ -70,8 +72,11 @@ def decode_entities(text: Column) -> Column:
             .otherwise(F.coalesce(F.concat(F.try_element_at(names, name), rest), piece))
         )
 
-    decoded = F.array_join(F.transform(F.split(text, "(?=&)"), decode_piece), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decode(encoded: Column) -> Column:
+        decoded = F.array_join(F.transform(F.split(encoded, "(?=&)"), decode_piece), "")
+        return F.when(F.contains(encoded, F.lit("&")), decoded).otherwise(encoded)
+
+    return bind(text, decode)
 
 
 def html_text(html: Column) -> Column:

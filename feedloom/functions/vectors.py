@@ -103,11 +103,11 @@ def dense_norm(a: str) -> Column:
 
 
 def _cosine(dot: str, norm_a: str, norm_b: str) -> str:
-    return f"CASE WHEN {norm_a} = 0 OR {norm_b} = 0 THEN 0D ELSE cast({dot} AS DOUBLE) / ({norm_a} * {norm_b}) END"
+    return f"coalesce(try_divide(cast({dot} AS DOUBLE), {norm_a} * {norm_b}), 0D)"
 
 
 def measured_cosine(item: str, item_norm: str, query: str, query_norm: str, sparse: bool) -> Column:
-    """Cosine of vectors whose lengths are known; 0 when a length is 0.
+    """Cosine of vectors whose lengths are known; 0 when a length is 0 or missing.
 
     Of sparse vectors the query has been densified.
     """

@@ -81,7 +81,7 @@ def embed_distinct(
     """
     embedder = embedder or TokenCountEmbedder()
     keyed = df.select(*id_cols, content_key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    distinct = keyed.select("_key", "_text").where(F.col("_key").isNotNull()).dropDuplicates(["_key"])
+    distinct = keyed.where(F.col("_text").isNotNull()).select("_key", "_text").dropDuplicates(["_key"])
     vectors = scale.stage(embedder.embed(distinct, "_text", out).select("_key", out))
     rows = scale.stage(keyed.select(*id_cols, "_key"))
     return scale.keyed_join(rows, vectors, ["_key"], id_cols, how="left").select(*id_cols, out)

@@ -38,8 +38,7 @@ def _measured(df: DataFrame, vec: str, prefix: str, densify: bool, dim: int) ->
 
 def _score(sparse: bool) -> Column:
     """Cosine of an item against a query, both measured."""
-    score = vx.measured_cosine("_item_vec", "_item_norm", "_query_vec", "_query_norm", sparse)
-    return F.coalesce(score, F.lit(0.0))
+    return vx.measured_cosine("_item_vec", "_item_norm", "_query_vec", "_query_norm", sparse)
 
 
 def clamp(n: Column, default: int, low: int, high: int) -> Column:
