@@ -10,6 +10,8 @@ exact whatever the sketch returned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ from feedloom.operators import scale
 
 # A sketch is off by at most N / ACCURACY ranks; brackets allow ten times that.
 # Its size grows with ACCURACY and one arrives per input task, so a group's
-# sketches are merged in SHARDS tasks.
+# sketches are merged in SHARDS tasks. Up to 128 sketches (groups x shards) a
+# task aggregates by hashing, beyond that it sorts.
 ACCURACY = 1_000
 MARGIN = 10 / ACCURACY
-SHARDS = 64
+SHARDS = 16
 
 
 def _place(n: Column, p: float, method: str) -> Column:
@@ -93,23 +96,34 @@ def counted_quantiles(
         .join(edges, by)
     )
 
-    def bracket(i: int) -> Column:
+    def proved(i: int) -> Column:
         at = F.floor(f"_place{i}")
-        proved = (F.col(f"_below{i}") <= at) & (F.col(f"_upto{i}") >= F.least(at + 2, F.col("n")))
-        return F.struct(
-            F.lit(i).alias("i"),
-            F.when(proved, F.col(f"_low{i}")).otherwise(F.lit(float("-inf"))).alias("low"),
-            F.when(proved, F.col(f"_high{i}")).otherwise(F.lit(float("inf"))).alias("high"),
-            F.when(proved, F.col(f"_below{i}")).otherwise(F.lit(0).cast("bigint")).alias("below"),
-            F.col(f"_place{i}").alias("place"),
-        )
-
-    brackets = scale.stage(counted.select(by, "n", F.array(*[bracket(i) for i in range(len(probs))]).alias("_brackets")))
-
+        return (F.col(f"_below{i}") <= at) & (F.col(f"_upto{i}") >= F.least(at + 2, F.col("n")))
+
+    figures = []
+    for i in range(len(probs)):
+        figures += [
+            F.col(f"_place{i}"),
+            F.when(proved(i), F.col(f"_low{i}")).otherwise(F.lit(float("-inf"))).alias(f"_low{i}"),
+            F.when(proved(i), F.col(f"_high{i}")).otherwise(F.lit(float("inf"))).alias(f"_high{i}"),
+            F.when(proved(i), F.col(f"_below{i}")).otherwise(F.lit(0).cast("bigint")).alias(f"_below{i}"),
+        ]
+    brackets = scale.stage(counted.select(by, "n", *figures))
+
+    # A bracket of one value is that value: ties, however many, are not sorted.
+    def open_at(i: int) -> Column:
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        return (low < high) & F.col("_value").between(low, high)
+
+    hits = [
+        F.when(open_at(i), F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), F.col(f"_place{i}").alias("place")))
+        for i in range(len(probs))
+    ]
     inside = (
         scale.keyed_join(rows, brackets, [by], row_id, small=few)
-        .withColumn("_b", F.explode(F.filter("_brackets", lambda b: F.col("_value").between(b["low"], b["high"]))))
-        .select(by, "n", *row_id, "_value", F.col("_b.i").alias("_i"), F.col("_b.below").alias("_below"), F.col("_b.place").alias("_place"))
+        .where(reduce(lambda a, b: a | b, [open_at(i) for i in range(len(probs))]))
+        .select(by, *row_id, "_value", F.explode(F.array_compact(F.array(*hits))).alias("_b"))
+        .select(by, *row_id, "_value", F.col("_b.i").alias("_i"), F.col("_b.below").alias("_below"), F.col("_b.place").alias("_place"))
     )
     order = [F.col("_value"), *map(F.col, row_id)]
     placed = scale.ordered_positions(scale.stage(inside), order, by=[by, "_i"], out="_rank", few_groups=few)
@@ -117,7 +131,15 @@ def counted_quantiles(
     low, part = F.floor("_place"), F.col("_place") - F.floor("_place")
     weight = F.when(index == low, 1 - part).when((index == low + 1) & (part > 0), part)
     picked = placed.withColumn("_weight", weight).where(F.col("_weight").isNotNull())
-    found = picked.groupBy(by, "n").agg(
-        *[F.sum(F.when(F.col("_i") == i, F.col("_value") * F.col("_weight"))).alias(name) for i, name in enumerate(names)]
+    sums = picked.groupBy(by).agg(
+        *[F.sum(F.when(F.col("_i") == i, F.col("_value") * F.col("_weight"))).alias(f"_sum{i}") for i in range(len(probs))]
+    )
+    found = brackets.join(sums, by, "left").select(
+        by,
+        "n",
+        *[
+            F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(F.col(f"_sum{i}")).alias(name)
+            for i, name in enumerate(names)
+        ],
     )
     return found, few

@@ -46,9 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """An unused path in the shared folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/feedloom-{application}/{what}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder now and return the written table."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    """Write the rows to the shared folder now and return the written table.
+
+    Tables lie in a folder of the application, to be deleted when it has ended.
+    """
+    path = new_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

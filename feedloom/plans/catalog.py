@@ -8,7 +8,6 @@ the unrounded values.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,7 +154,7 @@ SELECT md5(url) AS url_key, CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 OR pag
 FROM page_text WHERE page_id % 13 <> 0""")
 def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text cache after a stream of the pages has been read to its end."""
-    run = f"{scale.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    run = scale.new_path(spark, "cache")
     arriving = spark.readStream.schema(schemas.TEST_TABLES["pages"]).parquet(f"{sf_dir}/pages*.parquet")
     page = F.col("page_id")
     fetched = arriving.select(
@@ -224,7 +223,7 @@ _SQL_LABEL_QUESTIONS = """questions AS (
 
 
 @query(f"""WITH {_SQL_LABEL_QUESTIONS}
-SELECT label AS profile_id, vec_id + 1 AS original_rank, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score
+SELECT label::BIGINT AS profile_id, vec_id + 1 AS original_rank, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score
 FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id + 1 <= 500), questions""")
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense vectors: every label's first vector asks for the longest feed head."""
@@ -420,8 +419,8 @@ def replay_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {src.SQL_REQUESTED},
 prompts AS (SELECT *, replace({_sql_text(fixed.PLAIN_PROMPT_TEMPLATE)}, '{{query}}', {src.sql_strip('question')}) AS prompt FROM asked)
-SELECT model, iteration, question_idx, 1 AS version, length(prompt)::VARCHAR AS query FROM prompts
-UNION ALL SELECT model, iteration, question_idx, 2 AS version, model AS query FROM prompts""")
+SELECT model, iteration, question_idx, 1::BIGINT AS version, length(prompt)::VARCHAR AS query FROM prompts
+UNION ALL SELECT model, iteration, question_idx, 2::BIGINT AS version, model AS query FROM prompts""")
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plug point for a language model, and the whole job after it.
 
@@ -657,7 +656,7 @@ def sample_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stats table written as JSON records and read back."""
     stats = _stats(spark, sf_dir)
-    path = f"{scale.shared_dir(spark)}/stats-{uuid.uuid4().hex}"
+    path = scale.new_path(spark, "stats")
     tables.write_table(stats, path, "json")
     return tables.read_table(spark, path, "json", stats.schema).select("model", *_rounded(*_STATS))
 
@@ -668,6 +667,6 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = evaluation.load_once(src.runs(spark, sf_dir)).select(
         "seq", "model", "question", "output", "inference_time", "loading_time"
     )
-    path = f"{scale.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = scale.new_path(spark, "records")
     tables.write_table(records, path, "csv")
     return tables.read_table(spark, path, "csv", records.schema)
