@@ -72,16 +72,43 @@ def embed_distinct(
     text: str = "text",
     out: str = "vec",
     embedder: Embedder | None = None,
+    cache_path: str | None = None,
 ) -> DataFrame:
     """``id_cols`` and vector of every row, each distinct text embedded once.
 
     The text crosses the network once, after map-side de-duplication; going
     back to the rows, only keys and vectors move. Row keys and vectors are
-    staged so that the texts are neither read nor embedded again.
+    staged so that the texts are neither read nor embedded again. With a
+    ``cache_path`` the vectors are kept there for later runs, and only texts
+    the cache does not know are embedded.
     """
     embedder = embedder or TokenCountEmbedder()
-    keyed = df.select(*id_cols, content_key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    distinct = keyed.where(F.col("_text").isNotNull()).select("_key", "_text").dropDuplicates(["_key"])
-    vectors = scale.stage(embedder.embed(distinct, "_text", out).select("_key", out))
-    rows = scale.stage(keyed.select(*id_cols, "_key"))
-    return scale.keyed_join(rows, vectors, ["_key"], id_cols, how="left").select(*id_cols, out)
+    keyed = df.select(*id_cols, content_key(F.col(text)).alias("text_key"), F.col(text).alias("_text"))
+    distinct = keyed.where(F.col("_text").isNotNull()).select("text_key", "_text").dropDuplicates(["text_key"])
+    if cache_path is None:
+        vectors = scale.stage(embedder.embed(distinct, "_text", out).select("text_key", out))
+    else:
+        vectors = _refreshed_vectors(distinct, out, embedder, cache_path)
+    rows = scale.stage(keyed.select(*id_cols, "text_key"))
+    return scale.keyed_join(rows, vectors, ["text_key"], id_cols, how="left").select(*id_cols, out)
+
+
+def _refreshed_vectors(texts: DataFrame, out: str, embedder: Embedder, path: str) -> DataFrame:
+    """The vector cache after the texts it lacked were embedded and appended.
+
+    A run that is repeated after a failure finds what was appended before it.
+    """
+    spark = texts.sparkSession
+    embedded = embedder.embed(texts, "_text", out).select("text_key", out)
+    spark.createDataFrame([], embedded.schema).write.mode("append").parquet(path)
+    cache = spark.read.schema(embedded.schema).parquet(path)
+    fresh = new_only(texts, cache, "text_key", ["text_key"])
+    embedder.embed(fresh, "_text", out).select("text_key", out).write.mode("append").parquet(path)
+    return spark.read.schema(embedded.schema).parquet(path)
+
+
+def cached_text(df: DataFrame, cache: DataFrame, spread_by: list[str], url: str = "url", out: str = "text") -> DataFrame:
+    """Add the cached text of each url; null without a url, for unknown urls
+    and for urls known to be bad. Texts are wide, so the cache is not broadcast."""
+    known = cache.select(F.col("url_key").alias("_key"), F.when(F.col("text") != "", F.col("text")).alias(out))
+    return scale.keyed_join(with_key(df, url, "_key"), known, ["_key"], spread_by, how="left", small=False).drop("_key")

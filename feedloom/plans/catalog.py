@@ -168,6 +168,17 @@ def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schemas.TEXT_CACHE).parquet(f"{run}/texts")
 
 
+@query(f"""WITH {_SQL_FETCHED}
+SELECT page_id, CASE WHEN page_id % 13 <> 0 AND text <> '' THEN text END AS text FROM fetched""")
+def cached_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by url from a cache of fetch outcomes."""
+    fetched = _fetches(spark, sf_dir)
+    texts = fetched.transform(corpus.extract_text).transform(corpus.resolve_fetch)
+    keyed = reuse.with_key(texts, "url", "url_key").where(F.col("url").isNotNull())
+    cache = keyed.select("url_key", F.coalesce("text", F.lit("")).alias("text"))
+    return reuse.cached_text(fetched.select("page_id", "url"), cache, ["page_id"]).select("page_id", "text")
+
+
 # --- Vectors -------------------------------------------------------------------
 
 _SQL_DOC_COUNTS = src.sql_counts("counts", "documents", "doc_id", "text")
@@ -190,6 +201,16 @@ def embed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(reuse.embed_distinct(docs, ["doc_id"]))
 
 
+@query(f"WITH {_SQL_DOC_COUNTS} SELECT doc_id, bucket, w AS weight FROM counts")
+def embed_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with a vector cache that already knows the labelled ones."""
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scale.new_path(spark, "vectors")
+    labelled = docs.join(src.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    reuse.embed_distinct(labelled, ["doc_id"], cache_path=path)
+    return _entries(reuse.embed_distinct(docs, ["doc_id"], cache_path=path))
+
+
 @query("""SELECT conv_id, turn, length(text)::DOUBLE AS n_chars,
        (length(text) - length(replace(text, 'e', '')))::DOUBLE AS n_e FROM conversations""")
 def model_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

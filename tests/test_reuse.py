@@ -51,19 +51,45 @@ def test_embed_distinct_equals_embed(spark):
     assert shared == direct
 
 
-def test_embed_distinct_runs_the_model_once_per_text(spark):
-    calls = spark.sparkContext.accumulator(0)
+class Counting:
+    """An embedder that counts the texts it is given."""
+
+    def __init__(self, spark):
+        self.calls = spark.sparkContext.accumulator(0)
+
+    def embed(self, df, col, out):
+        calls = self.calls
 
-    class Counting:
-        def embed(self, df, col, out):
-            @F.udf("array<float>")
-            def run(text):
-                calls.add(1)
-                return [float(len(text))]
+        @F.udf("array<float>")
+        def run(text):
+            calls.add(1)
+            return [float(len(text))]
 
-            return df.withColumn(out, run(F.col(col)))
+        return df.withColumn(out, run(F.col(col)))
 
+
+def test_embed_distinct_runs_the_model_once_per_text(spark):
+    counting = Counting(spark)
     rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(200)], "id INT, text STRING")
-    vectors = reuse.embed_distinct(rows, ["id"], embedder=Counting())
+    vectors = reuse.embed_distinct(rows, ["id"], embedder=counting)
     assert vectors.count() == 200 and vectors.where("vec is null").count() == 0
-    assert calls.value == 7
+    assert counting.calls.value == 7
+
+
+def test_vector_cache_spares_known_texts(spark, tmp_path):
+    counting, path = Counting(spark), str(tmp_path / "vectors")
+    first = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "id INT, text STRING")
+    second = spark.createDataFrame([(i, f"text {i % 5}") for i in range(10)] + [(99, None)], "id INT, text STRING")
+    assert reuse.embed_distinct(first, ["id"], embedder=counting, cache_path=path).count() == 9
+    assert counting.calls.value == 3
+    got = reuse.embed_distinct(second, ["id"], embedder=counting, cache_path=path).collect()
+    assert counting.calls.value == 5
+    assert {r.id: r.vec for r in got} == {**{i: [6.0] for i in range(10)}, 99: None}
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_cached_text(spark):
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "unknown"), (4, None), (5, "good")], "id INT, url STRING")
+    cache = reuse.with_key(spark.createDataFrame([("good", "text"), ("bad", "")], "url STRING, text STRING"), "url", "url_key")
+    got = {r.id: r.text for r in reuse.cached_text(rows, cache.select("url_key", "text"), ["id"]).collect()}
+    assert got == {1: "text", 2: None, 3: None, 4: None, 5: "text"}
