@@ -114,7 +114,7 @@ def generate(
             answers = pd.DataFrame(results, columns=added, index=batch.index)
             yield pd.concat([batch, answers], axis=1)
 
-    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = scale.shuffle_partitions(requests.sparkSession)
     order = [model, *[c for c in spread_by if c in requests.columns]]
     return requests.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, schema)
 

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 # vectors, at most 16 KB each, hence at most 80 MB. Texts are never broadcast.
 BROADCAST_ROWS = 5_000
 
-# Keys with at least HEAVY_ROWS rows are salted into SLICES parts. At most
-# HEAVY_KEYS of them are looked up, so the list is small whatever the data; any
-# key beyond it holds less than 1 / HEAVY_KEYS of the rows.
+# Keys with more than HEAVY_ROWS rows are salted, one slice per HEAVY_ROWS rows
+# and at most one per shuffle partition. At most HEAVY_KEYS of them are looked
+# up, so the list is small whatever the data; any key beyond it holds less than
+# 1 / HEAVY_KEYS of the rows.
 HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 1_000
-SLICES = 64
+HEAVY_KEYS = 10_000
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -77,15 +77,21 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The heaviest keys, at most HEAVY_KEYS; counted with map-side combine."""
+    """The heaviest keys, at most HEAVY_KEYS, with the number of slices each
+    needs; counted with map-side combine."""
+    slices = F.least(F.ceil(F.col("_rows") / min_rows), F.lit(shuffle_partitions(df.sparkSession)))
     return (
         df.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") >= min_rows)
+        .where(F.col("_rows") > min_rows)
         .orderBy(F.desc("_rows"), *keys)
         .limit(HEAVY_KEYS)
-        .select(*keys, F.lit(True).alias("_heavy"))
+        .select(*keys, slices.cast("bigint").alias("_slices"))
     )
 
 
@@ -97,26 +103,26 @@ def salted_join(
     how: str = "inner",
     min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Join on ``keys`` with the left rows of heavy keys dealt over SLICES.
+    """Join on ``keys`` with the left rows of heavy keys dealt over slices.
 
     ``spread_by`` are left columns that tell the rows of one key apart. ``how``
     may be inner, left, left_semi or left_anti: each left row meets all its
     right rows in exactly one slice, so the result is that of the plain join.
-    Rows without a key match nothing and are dealt over the slices as well.
+    Rows without a key match nothing and are dealt over all partitions.
     """
     heavy = F.broadcast(heavy_keys(left, keys, min_rows))
-    slice_of_row = F.pmod(F.xxhash64(*spread_by), F.lit(SLICES))
-    dealt = F.col("_heavy") | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    slices_of_row = F.when(keyless, F.lit(shuffle_partitions(left.sparkSession))).otherwise(F.coalesce("_slices", one))
     sliced_left = (
         left.join(heavy, keys, "left")
-        .withColumn("_slice", F.when(dealt, slice_of_row).otherwise(F.lit(0).cast("bigint")))
-        .drop("_heavy")
+        .withColumn("_slice", F.pmod(F.xxhash64(*spread_by), slices_of_row))
+        .drop("_slices")
     )
-    every_slice = F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))
     sliced_right = (
         right.join(heavy, keys, "left")
-        .withColumn("_slice", F.explode(F.when(F.col("_heavy"), every_slice).otherwise(F.array(F.lit(0).cast("bigint")))))
-        .drop("_heavy")
+        .withColumn("_slice", F.explode(F.sequence(none, F.coalesce("_slices", one) - 1)))
+        .drop("_slices")
     )
     return sliced_left.join(sliced_right, [*keys, "_slice"], how).drop("_slice")
 

@@ -67,7 +67,7 @@ def score_requests(
     n = clamp(F.col("n"), FEED_DEFAULT_N, FEED_MIN_N, FEED_MAX_N)
     # A number of partitions is given because a request grows to hundreds of
     # rows: adaptive coalescing would judge by the size before that.
-    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = scale.shuffle_partitions(requests.sparkSession)
     asked = (
         _measured(requests.repartition(parts, "profile_id"), vec, "_query", True, dim)
         .select("profile_id", "_query_vec", "_query_norm", F.explode(F.sequence(F.lit(1), n)).alias(pos))

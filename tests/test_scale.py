@@ -30,16 +30,18 @@ def test_keyed_join_equals_plain_join(spark, hot, side, how, path):
     assert rows(joined) == rows(plain)
 
 
+def test_slices_grow_with_the_key(spark, hot):
+    parts = scale.shuffle_partitions(spark)
+    slices = {r.k: r["_slices"] for r in scale.heavy_keys(hot, ["k"], 500).collect()}
+    assert slices == {0: min(3, parts)}
+    assert max(r["_slices"] for r in scale.heavy_keys(hot, ["k"], 10).collect()) == parts
+
+
 def test_hot_key_is_dealt_over_tasks(spark, hot, side):
-    joined = scale.salted_join(hot, side, ["k"], ["id"], min_rows=500)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" in plan
-    heavy = scale.heavy_keys(hot, ["k"], 500).collect()
-    assert [r.k for r in heavy] == [0]
-    left = hot.join(F.broadcast(scale.heavy_keys(hot, ["k"], 500)), ["k"], "left")
-    slices = left.where("_heavy").select(F.pmod(F.xxhash64("id"), F.lit(scale.SLICES)).alias("s")).groupBy("s").count()
-    counts = [r["count"] for r in slices.collect()]
-    assert len(counts) == scale.SLICES and max(counts) < 1_000 / 16
+    heavy = scale.heavy_keys(hot, ["k"], 250)
+    dealt = hot.join(heavy, "k").groupBy(F.pmod(F.xxhash64("id"), F.col("_slices")).alias("slice")).count().collect()
+    assert len(dealt) == scale.shuffle_partitions(spark)
+    assert max(r["count"] for r in dealt) < 1.3 * 1_000 / len(dealt)
 
 
 def test_fits_reads_up_to_the_limit(spark):
