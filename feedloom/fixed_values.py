@@ -29,11 +29,8 @@ PARSE_FAILURE_PREFIX = "Failed to parse response: "
 # Element content that is not page text.
 SILENT_ELEMENTS = ["script", "style", "template", "rt", "rp"]
 
-# Characters that stripping removes at both ends (all Unicode white space).
-WHITESPACE = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Characters that stripping removes at both ends: all Unicode white space.
+WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 QUESTIONS = [
     "In what year was the winner of the 44th edition of the Miss World competition born?",
