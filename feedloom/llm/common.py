@@ -52,9 +52,9 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], type=f.type) for f in target], schema=target
-            )
+            made = [columns[f.name] for f in target]
+            made = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(made, target)]
+            yield pa.RecordBatch.from_arrays(made, schema=target)
 
     return df.mapInArrow(run, schema)
 

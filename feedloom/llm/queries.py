@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import warc
+from feedloom.llm import huffman, packing, warc
 from feedloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through archives; the digest as bare upper-case base32."""
     read = warc.archived(read_table(spark, sf_dir, "pages"))
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, written as Huffman blocks and read back."""
+    docs = read_table(spark, sf_dir, "documents")
+    read = huffman.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, by balanced cost."""
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0).withColumnRenamed("id", "doc_id")
