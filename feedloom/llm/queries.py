@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import huffman, packing, warc
+from feedloom.llm import chat, decontamination, huffman, language, order_minhash, packing, projection_ann, warc
 from feedloom.llm.common import read_table
+from feedloom.operators import scale
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,88 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens, by balanced cost."""
     docs = read_table(spark, sf_dir, "documents")
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0).withColumnRenamed("id", "doc_id")
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(f"""
+WITH doc AS (SELECT doc_id, {_SQL_WORDS} AS words FROM documents),
+item AS (SELECT item_id, {_SQL_WORDS} AS words FROM benchmark),
+item_window AS (
+    SELECT DISTINCT item_id, m, list_aggregate(words[i : i + m - 1], 'string_agg', ' ') AS win
+    FROM (SELECT item_id, words, m, unnest(range(1, len(words) - m + 2)) AS i
+          FROM (SELECT *, least(13, len(words)) AS m FROM item WHERE len(words) > 0))
+),
+doc_window AS (
+    SELECT doc_id, m, i, list_aggregate(words[i : i + m - 1], 'string_agg', ' ') AS win
+    FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i
+          FROM doc, (SELECT DISTINCT m FROM item_window) WHERE len(words) >= m)
+),
+hit AS (SELECT doc_id, i, m, item_id FROM doc_window JOIN item_window USING (m, win)),
+counted AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM hit) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(counted.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(counted.n, 0) > 0 AND 20 * coalesce(counted.n, 0) >= len(words) AS contaminated
+FROM doc LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of the benchmark have."""
+    told = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return told.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.learned(docs.select("doc_id", "text", "lang"))
+    rows = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.identify(rows, model, keep=["doc_id", "held_out"])
+
+
+# Fixed value: the text that tries the template's marks and escapes.
+TRIAL = r"\### Assistant: </turn> ok"
+_SQL_ESCAPED = "length(regexp_replace({}, '[\\\\#<:]', 'xx', 'g'))"
+
+
+@query(f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{TRIAL}'), (-7, 1, 'assistant', '{TRIAL}')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({_SQL_ESCAPED.format("role")} + {_SQL_ESCAPED.format("text")} + 14)::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id""")
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that is hard to escape, formatted and read back."""
+    hard = spark.createDataFrame([(-7, 0, "user", TRIAL), (-7, 1, "assistant", TRIAL)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    return chat.read_back(scale.stage(chat.formatted(rows.unionByName(hard))))
+
+
+@query()
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector among all others."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    index = projection_ann.build_index(rows, "vec_id", "embedding")
+    return projection_ann.nearest(index, rows.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding")
+
+
+@query()
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: the least id of its near copies."""
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
