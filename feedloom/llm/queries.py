@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontamination, huffman, language, order_minhash, packing, projection_ann, warc
+from feedloom.llm import chat, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, warc
 from feedloom.llm.common import read_table
 from feedloom.operators import scale
 
@@ -147,3 +147,36 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document: the least id of its near copies."""
     return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query("""
+WITH line AS (
+    SELECT doc_id, no, line, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS w
+    FROM (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+),
+firsts AS (SELECT w, len(w) AS n, w[1:5] AS head, w[-5:] AS tail, min((doc_id, no)) AS place FROM line WHERE len(w) > 0 GROUP BY w),
+pair AS (
+    SELECT a.w AS w, b.w AS v FROM firsts a JOIN firsts b ON a.head = b.head AND b.place < a.place AND abs(a.n - b.n) <= 1 WHERE a.n >= 10 AND b.n >= 10
+    UNION SELECT a.w, b.w FROM firsts a JOIN firsts b ON a.tail = b.tail AND b.place < a.place AND abs(a.n - b.n) <= 1 WHERE a.n >= 10 AND b.n >= 10
+),
+measured AS (
+    SELECT w, v,
+           len(list_filter(range(1, least(len(w), len(v)) + 1), lambda i: w[1:i] = v[1:i])) AS same_head,
+           len(list_filter(range(1, least(len(w), len(v)) + 1), lambda i: w[-i:] = v[-i:])) AS same_tail
+    FROM pair
+),
+edited AS (SELECT DISTINCT w FROM measured WHERE same_head + same_tail >= greatest(len(w), len(v)) - 1),
+judged AS (
+    SELECT line.*, len(w) > 0 AND (doc_id, no) <> place AS exact, len(w) > 0 AND (doc_id, no) = place AND e.w IS NOT NULL AS near
+    FROM line LEFT JOIN firsts USING (w) LEFT JOIN edited e USING (w)
+)
+SELECT doc_id, count(*)::INT AS n_lines, coalesce(sum(exact::INT), 0)::INT AS n_exact, coalesce(sum(near::INT), 0)::INT AS n_edited,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(exact, false) AND NOT coalesce(near, false)), '')) AS text_md5
+FROM judged GROUP BY doc_id""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines seen before, as a digest of its text."""
+    docs = line_dedup.without_seen_lines(read_table(spark, sf_dir, "documents"))
+    return docs.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").cast("int").alias("n_exact"),
+        F.col("_n_edited").cast("int").alias("n_edited"), F.md5("text").alias("text_md5"),
+    )
