@@ -133,12 +133,12 @@ def encoded(docs: DataFrame, id: str, text: str, tokenizer_path: str, end_id: in
     file = tokens.shipped(docs.sparkSession, tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        encoder = tokens.Encoder(file.value)
+        encoder = tokens.encoder(file.value)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for part in common.sliced(batch):
-                texts = part.column("_text").to_pylist()
-                yield {"_id": part.column("_id"), "_ids": [encoder(x or "").tobytes() + end for x in texts]}
+            for part in common.sliced(batch, 128):
+                texts = [x or "" for x in part.column("_text").to_pylist()]
+                yield {"_id": part.column("_id"), "_ids": [encoder(x).tobytes() + end for x in texts]}
 
     rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     return common.arrow_map(rows, encode, "_id bigint, _ids binary")

@@ -2,17 +2,18 @@
 
 The library encodes about 1 MB/s per core, nearly all of it spent on words it has
 just encoded. Both known file kinds first cut a text into words that are encoded
-alone, so a task keeps the ids of each word it has met and asks the library only
-for new ones. The cut is made here only for texts of the character range in
-which its classes are listed below; any other text, and any other kind of file,
-goes to the library as a whole. The results are the library's in every case.
+alone, and always cut before a space. So a worker keeps the ids of the chunks
+between spaces that it has met and that are one word, and gives only new words to
+the library's model. Words are cut here only in texts of the character range in which
+the classes are listed below; any other text, and any other kind of file, goes to
+the library as a whole. The results are the library's in every case.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from itertools import filterfalse
 
 import numpy as np
 from pyspark import Broadcast
@@ -27,8 +28,18 @@ NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 UNLISTED = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u203a\u20ac]")
 
-# Characters of words held by a task; then it starts afresh.
-CACHE_CHARS = 8_000_000
+# Where white space cannot be taken for a sign that a word begins.
+SPACES = re.compile(r"\s\s|\s$")
+SPACE = re.compile("(?= )")
+
+# Byte-level files show a byte that is no visible Latin-1 character as one of the
+# characters from 256 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+# Characters of the words in one of the two generations that a worker keeps.
+CACHE_CHARS = 6_000_000
 
 
 def shipped(spark: SparkSession, path: str) -> Broadcast:
@@ -60,23 +71,49 @@ class Encoder:
         ):
             self.lower = True
             self.word = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+").findall
-        self.known: dict[str, bytes] = {}
+        # Two generations of words met: when the young one is full it becomes the old one.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, word: str) -> bytes:
+        """Ids of a word from the library's model, or from the older generation."""
+        found = self.old.get(word)
+        if found is None:
+            size = self.kind.itemsize
+            shown = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = b"".join(x.id.to_bytes(size, "little") for x in self.library.model.tokenize(shown))
+        if self.held > CACHE_CHARS:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[word] = found
+        self.held += len(word) + 16
+        return found
+
+    def cut(self, text: str) -> bytes:
+        """Ids of the words of a text of listed characters."""
+        return b"".join([self.young.get(x) or self.learn(x) for x in self.word(text)])
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
         if self.word is None or UNLISTED.search(text) or any(x in text for x in self.marks):
-            return np.frombuffer(self.whole([text])[0], self.kind)
-        words = self.word(text.lower() if self.lower else text)
-        if self.held > CACHE_CHARS:
-            self.known, self.held = {}, 0
-        new = list(dict.fromkeys(filterfalse(self.known.__contains__, words)))
-        if new:
-            self.known.update(zip(new, self.whole(new)))
-            self.held += sum(map(len, new)) + 16 * len(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind)
+            return np.frombuffer(self.whole(text), self.kind)
+        if self.lower:
+            chunks = text.lower().split()
+        elif SPACES.search(text):
+            return np.frombuffer(self.cut(text), self.kind)
+        else:
+            chunks = SPACE.split(text)
+        found = list(map(self.young.get, chunks))
+        if None in found:
+            found = [self.cut(chunks[i]) if x is None else x for i, x in enumerate(found)]
+        return np.frombuffer(b"".join(found), self.kind)
+
+
+@functools.cache
+def encoder(file: str) -> Encoder:
+    """One encoder per worker process, with the words it has met."""
+    return Encoder(file)
