@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, warc
+from feedloom.llm import chat, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
 from feedloom.llm.common import read_table
 from feedloom.operators import scale
 
@@ -180,3 +180,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").cast("int").alias("n_exact"),
         F.col("_n_edited").cast("int").alias("n_edited"), F.md5("text").alias("text_md5"),
     )
+
+
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 that repeat."""
+    return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
