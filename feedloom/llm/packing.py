@@ -84,7 +84,7 @@ def packed(
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        encoder = tokens.Encoder(file.value)
+        encoder = tokens.encoder(file.value)
         first = TaskContext.get().partitionId() << SEQUENCE_BITS
         keys: list = []
         held: list[np.ndarray] = []
@@ -100,14 +100,15 @@ def packed(
 
         end, total = np.array([end_id], "<u4"), 0
         for batch in batches:
-            for key, value in zip(batch.column("_id").to_pylist(), batch.column("_text")):
-                keys.append(key)
-                held.append(np.concatenate([encoder(value.as_py() or "").astype("<u4"), end]))
-                total += len(held[-1])
-                if total >= BLOCK_SEQUENCES * room:
-                    yield block()
-                    first += -(-total // room)
-                    keys, held, total = [], [], 0
+            for part in common.sliced(batch, 128):
+                for key, value in zip(part.column("_id").to_pylist(), part.column("_text").to_pylist()):
+                    keys.append(key)
+                    held.append(np.concatenate([encoder(value or "").astype("<u4"), end]))
+                    total += len(held[-1])
+                    if total >= BLOCK_SEQUENCES * room:
+                        yield block()
+                        first += -(-total // room)
+                        keys, held, total = [], [], 0
         if held:
             yield block()
 
