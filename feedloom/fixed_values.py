@@ -32,14 +32,6 @@ SILENT_ELEMENTS = ["script", "style", "template", "rt", "rp"]
 # Characters that stripping removes at both ends: all Unicode white space.
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
-QUESTIONS = [
-    "In what year was the winner of the 44th edition of the Miss World competition born?",
-    "Who lived longer, Nikola Tesla or Milutin Milankovic?",
-    "Author David Chanoff has collaborated with a U.S. Navy admiral who served as the ambassador to the United Kingdom under which President?",
-    "Create a table for top noise cancelling headphones that are not expensive",
-    "what are some ways to do fast query reformulation",
-]
-
 MODELS = [
     {"name": "phi-2", "id": "microsoft/phi-2"},
     {"name": "Phi-3-mini-4k-instruct", "id": "microsoft/phi-3-mini-4k-instruct"},

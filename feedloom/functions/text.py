@@ -17,12 +17,27 @@ from feedloom.functions.binding import bind
 _ATTRIBUTES = r"""(?:[^>=]*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+[^>]*+"""
 
 
+# A name ends here: "style-guide" is another element than "style".
+_NAME_END = r"(?=[\s/>])"
+# Elements of one kind inside each other are followed so deep.
+_NESTED = 8
+
+
+def _silent_element(name: str) -> str:
+    """An element without its opening "<", up to its closing tag. An unclosed
+    ruby element ends with its parent, the others with the page."""
+    tag = rf"{name}{_NAME_END}[^>]*+>"
+    end = rf"(?:</{tag}{'' if name.startswith('r') else r'|\z'})"
+    if name != "template":
+        return rf"{tag}.*?{end}"
+    inside = rf"(?:[^<]++|<(?!/?{tag}))*+"
+    for _ in range(_NESTED):
+        inside = rf"(?:[^<]++|<(?!/?{tag})|<{tag}{inside}{end})*+"
+    return rf"{tag}{inside}{end}"
+
+
 def _markup_pattern() -> str:
-    silent = [
-        # An unclosed ruby element ends with its parent, the others with the page.
-        rf"{name}\b[^>]*+>.*?(?:</{name}\b[^>]*+>{'' if name.startswith('r') else r'|\z'})"
-        for name in SILENT_ELEMENTS
-    ]
+    silent = [_silent_element(name) for name in SILENT_ELEMENTS]
     # The common "<" comes first: the matcher then skips text at one test per character.
     return "(?is)<(?:" + "|".join([*silent, r"!--.*?(?:-->|\z)", rf"[a-z/!?]{_ATTRIBUTES}>"]) + ")"
 

@@ -1,4 +1,5 @@
-"""From fetched pages to story bodies. All row-wise: no shuffle, no Python."""
+"""From fetched pages to story bodies. Row-wise, without Python; only
+``drop_repeated_lines`` looks across rows and shuffles."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import LONG_LINE_CHARS, MAX_TEXT_CHARS
 from feedloom.functions import text as tx
+from feedloom.functions.text import content_key
+from feedloom.operators import scale
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -61,3 +64,22 @@ def untitled(df: DataFrame, title: str = "title") -> DataFrame:
 def story_bodies(df: DataFrame) -> DataFrame:
     """The whole text job on rows with ``title`` and resolved ``text``."""
     return titled(df).transform(keep_long_lines).transform(cap_text).transform(compose_body)
+
+
+def drop_repeated_lines(df: DataFrame, id: str, text: str = "text", least: int = 3) -> DataFrame:
+    """Texts without the lines that ``least`` or more rows have.
+
+    Per row each different line counts once, by its key; counting combines
+    map-side. Only the keys of repeated lines meet the rows again: they are
+    broadcast if counted to be few, else hot lines are salted. ``id`` names a row.
+    """
+    lines = df.select(id, F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
+    keyed = scale.stage(lines.select(id, "_no", content_key(F.col("_line")).alias("_line_key")))
+    repeated = (
+        keyed.select(id, "_line_key").distinct().groupBy("_line_key").count().where(F.col("count") >= least).select("_line_key")
+    )
+    found = scale.keyed_join(keyed, scale.stage(repeated), ["_line_key"], [id, "_no"], how="left_semi")
+    gone = found.groupBy(id).agg(F.collect_set("_no").alias("_gone"))
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    cut = F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text))
+    return df.join(gone, id, "left").withColumn(text, cut).select(df.columns)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.binding import bind
 from feedloom.operators import scale
 from feedloom.operators.quantiles import counted_quantiles
 
@@ -31,9 +32,16 @@ def load_once(runs: DataFrame, question: str = "question_idx", loading: str = "l
     return runs.withColumn(loading, F.when(F.col(question) == 1, F.col(loading)))
 
 
+def missing_as_null(runs: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """Measures that are not a number are missing, as null ones are."""
+    own = [m for m in measures if m in runs.columns]
+    return runs.withColumns({m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m)) for m in own})
+
+
 def model_stats(runs: DataFrame, model: str = "model", measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Mean, sample standard deviation, minimum and maximum per model, sorted by
-    model. Null values are skipped and rows without a model left out."""
+    model. Missing values are skipped and rows without a model left out."""
+    runs = missing_as_null(runs, measures)
     stats = [
         stat(measure).alias(f"{measure}_{name}")
         for measure in measures
@@ -62,6 +70,7 @@ def box_data(
     A whisker ends at the furthest value within 1.5 interquartile ranges of its
     quartile. ``box_outliers`` lists the values beyond.
     """
+    runs = missing_as_null(runs, (measure,))
     quartiles, few = counted_quantiles(
         runs, model, measure, {"q1": 0.25, "median": 0.5, "q3": 0.75}, list(row_id), method
     )
@@ -98,8 +107,12 @@ def box_outliers(
     model: str = "model",
     row_id: tuple[str, ...] = ("iteration", "question_idx"),
 ) -> DataFrame:
-    """The rows whose measure lies beyond the whiskers of their model."""
-    fences = box.select(model, "lower_whisker", "upper_whisker")
+    """The rows whose measure lies beyond the whiskers of their model.
+
+    The whiskers are staged: one row per model, not the box plot's passes again.
+    """
+    runs = missing_as_null(runs, (measure,))
+    fences = scale.stage(box.select(model, "lower_whisker", "upper_whisker"))
     return (
         scale.keyed_join(runs.where(F.col(measure).isNotNull()), fences, [model], list(row_id))
         .where((F.col(measure) < F.col("lower_whisker")) | (F.col(measure) > F.col("upper_whisker")))
@@ -123,3 +136,33 @@ def sample_outputs(runs: DataFrame, seq: str, model: str = "model", output: str
         F.format_string("%.4f", "inference_time").alias("inference_time"),
     )
     return scale.keyed_join(samples, first_seen, [model], [seq]).orderBy("first_seen", seq)
+
+
+def diversity(df: DataFrame, output: str = "output", out: str = "diversity") -> DataFrame:
+    """How different the queries of one response are: 1 minus the mean Jaccard
+    similarity of the word sets of its pairs; null with fewer than two queries.
+
+    Pairs are formed inside the row only.
+    """
+    words = F.transform(output, lambda q: F.array_distinct(F.array_remove(F.split(F.lower(q), r"\s+"), "")))
+
+    def similarities(sets: Column) -> Column:
+        n = F.size(sets)
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), n - 1),
+                lambda i: F.transform(F.slice(sets, i + 1, n), lambda other: _jaccard(F.element_at(sets, i), other)),
+            )
+        )
+
+    def spread(sets: Column) -> Column:
+        found = similarities(sets)
+        mean = F.aggregate(found, F.lit(0.0), lambda total, x: total + x) / F.size(found)
+        return F.when(F.size(sets) >= 2, 1 - mean)
+
+    return df.withColumn(out, bind(words, spread))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    """Shared part of two sets; 1 for two empty ones."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(1.0))

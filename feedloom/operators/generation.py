@@ -23,7 +23,7 @@ def _numbered(n: int) -> Column:
 
 
 def _literal_models(models: list[dict[str, str]]) -> Column:
-    return F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in m.items()]) for m in models])
+    return F.array(*[F.struct(*[F.lit(value).cast("string").alias(name) for name, value in m.items()]) for m in models])
 
 
 def request_grid(
@@ -35,12 +35,14 @@ def request_grid(
     """Every question for every model and iteration (and sampled variant).
 
     The models are a short list in the plan, so each question row expands in
-    place: no join and no shuffle, however many questions there are.
+    place: no join and no shuffle, however many questions there are. Further
+    attributes of a model become columns named ``model_`` and the attribute.
     """
-    named = [{"model": m["name"], "model_id": m["id"]} for m in models]
+    extra = list(dict.fromkeys(k for m in models for k in m if k not in ("name", "id")))
+    named = [{"model": m["name"], "model_id": m["id"], **{f"model_{k}": m.get(k) for k in extra}} for m in models]
     grid = (
         questions.withColumn("_model", F.explode(_literal_models(named)))
-        .select("_model.model", "_model.model_id", *questions.columns)
+        .select("_model.model", "_model.model_id", *[f"_model.model_{k}" for k in extra], *questions.columns)
         .withColumn("iteration", F.explode(_numbered(iterations)))
     )
     if variants is not None:
@@ -122,7 +124,9 @@ def generate(
 def replay(requests: DataFrame, recorded: DataFrame, keys: tuple[str, ...] = ("model", "iteration", "question_idx")) -> DataFrame:
     """The offline generator: outputs recorded earlier, by request key.
 
-    Requests without a recording keep a null response. Keys are unique on both
-    sides, so the shuffle has no hot key.
+    Requests without a recording keep a null response. Of several recordings of
+    one request one is taken, the least by its columns, so no request is doubled.
     """
-    return requests.join(recorded, list(keys), "left")
+    rest = [c for c in recorded.columns if c not in keys]
+    once = recorded.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first")).select(*keys, "_first.*")
+    return requests.join(once, list(keys), "left")

@@ -14,6 +14,10 @@ from feedloom.operators import scale
 from feedloom.operators.embedding import Embedder, TokenCountEmbedder
 
 
+# A joined row may hold a text of the longest allowed length.
+TEXT_BYTES = 200_000
+
+
 def with_key(df: DataFrame, col: str, out: str) -> DataFrame:
     """Add the content key of a column."""
     return df.withColumn(out, content_key(F.col(col)))
@@ -61,9 +65,12 @@ def new_only(
 
 
 def extend_cache(cache: DataFrame, found: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows to append to the cache: the first of each key it does not know."""
-    fresh = new_only(dedupe_by_key(found, key, order), cache, key, [key])
-    return fresh.select(cache.columns)
+    """Rows to append to the cache: the first of each key it does not know.
+
+    What the cache knows is dropped before rows of one key are compared, so the
+    wide columns of known keys are neither sorted nor combined.
+    """
+    return dedupe_by_key(new_only(found, cache, key, order), key, order).select(cache.columns)
 
 
 def embed_distinct(
@@ -111,4 +118,5 @@ def cached_text(df: DataFrame, cache: DataFrame, spread_by: list[str], url: str
     """Add the cached text of each url; null without a url, for unknown urls
     and for urls known to be bad. Texts are wide, so the cache is not broadcast."""
     known = cache.select(F.col("url_key").alias("_key"), F.when(F.col("text") != "", F.col("text")).alias(out))
-    return scale.keyed_join(with_key(df, url, "_key"), known, ["_key"], spread_by, how="left", small=False).drop("_key")
+    keyed = with_key(df, url, "_key")
+    return scale.keyed_join(keyed, known, ["_key"], spread_by, how="left", small=False, row_bytes=TEXT_BYTES).drop("_key")

@@ -11,22 +11,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side of at most this many rows is broadcast. The rows are keys, figures and
-# vectors, at most 16 KB each, hence at most 80 MB. Texts are never broadcast.
+# A side of at most this many rows and bytes, both counted, is broadcast.
 BROADCAST_ROWS = 5_000
+BROADCAST_BYTES = 64 << 20
 
-# Keys with more than HEAVY_ROWS rows are salted, one slice per HEAVY_ROWS rows
-# and at most one per shuffle partition. At most HEAVY_KEYS of them are looked
-# up, so the list is small whatever the data; any key beyond it holds less than
-# 1 / HEAVY_KEYS of the rows.
-HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 10_000
+# Keys whose joined rows come to more than HEAVY_BYTES are salted, one slice per
+# HEAVY_BYTES and at most one per shuffle partition. A caller whose rows are wider
+# than ROW_BYTES, both sides together, says so. The list of such keys has at most
+# one row per HEAVY_BYTES of the join; it is broadcast if it was counted to fit.
+HEAVY_BYTES = 256 << 20
+ROW_BYTES = 256
+HEAVY_ROWS = HEAVY_BYTES // ROW_BYTES
+
+# A table of fewer splits than this may be dealt anew over idle cores.
+SPREAD_SPLITS = 64
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -34,16 +38,13 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir``.
 
-    Only a local session, which has one machine, may fall back to a temporary
-    folder.
+    The library never chooses one; ``session.with_shared_folder`` does for a
+    session of one machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -55,26 +56,53 @@ def new_path(spark: SparkSession, what: str) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder now and return the written table.
 
-    Tables lie in a folder of the application, to be deleted when it has ended.
+    Tables lie in a folder of the application; ``remove_stages`` deletes it when
+    no result is read any more.
     """
     path = new_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than needed."""
-    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
+def remove_stages(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(new_path(spark, "any")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _bytes_of(field: T.StructField) -> Column:
+    """Width of a value in memory: texts by their length, lists by their elements."""
+    name = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        width = F.octet_length(name)
+    elif isinstance(field.dataType, T.ArrayType):
+        element = field.dataType.elementType
+        if isinstance(element, (T.StringType, T.BinaryType)):
+            width = F.aggregate(name, F.lit(0), lambda total, x: total + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+        else:
+            width = F.size(name) * (16 if isinstance(element, T.StructType) else 8)
+    else:
+        width = F.lit(16)
+    return F.coalesce(width, F.lit(0)).cast("bigint") + 8
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most so many rows and bytes; reads no more rows than needed."""
+    widths = [_bytes_of(field) for field in df.schema.fields]
+    width = sum(widths[1:], widths[0]) if widths else F.lit(8)
+    rows, held = df.select(width.alias("_width")).limit(max_rows + 1).agg(F.count("*"), F.sum("_width")).first()
+    return rows <= max_rows and (held or 0) <= max_bytes
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Give every core a part of a scanned table that has fewer input splits
-    than the cluster has cores; a no-op for tables of real size.
+    """Give every core a part of a scanned table of few input splits; larger
+    tables, of SPREAD_SPLITS splits or more, are never shuffled for this.
 
     For plain scans: asking a plan with shuffles for its partitions runs them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < min(cores, SPREAD_SPLITS) else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -82,15 +110,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The heaviest keys, at most HEAVY_KEYS, with the number of slices each
+    """The keys of more than ``min_rows`` rows with the number of slices each
     needs; counted with map-side combine."""
     slices = F.least(F.ceil(F.col("_rows") / min_rows), F.lit(shuffle_partitions(df.sparkSession)))
     return (
         df.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HEAVY_KEYS)
         .select(*keys, slices.cast("bigint").alias("_slices"))
     )
 
@@ -102,6 +128,7 @@ def salted_join(
     spread_by: list[str],
     how: str = "inner",
     min_rows: int = HEAVY_ROWS,
+    row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """Join on ``keys`` with the left rows of heavy keys dealt over slices.
 
@@ -110,7 +137,9 @@ def salted_join(
     right rows in exactly one slice, so the result is that of the plain join.
     Rows without a key match nothing and are dealt over all partitions.
     """
-    heavy = F.broadcast(heavy_keys(left, keys, min_rows))
+    heavy = stage(heavy_keys(left, keys, max(1, min_rows * ROW_BYTES // row_bytes)))
+    if fits(heavy, max_rows=1_000_000):
+        heavy = F.broadcast(heavy)
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     slices_of_row = F.when(keyless, F.lit(shuffle_partitions(left.sparkSession))).otherwise(F.coalesce("_slices", one))
@@ -136,13 +165,14 @@ def keyed_join(
     broadcast_rows: int = BROADCAST_ROWS,
     min_rows: int = HEAVY_ROWS,
     small: bool | None = None,
+    row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """Equi-join of a large left side with hot keys: broadcast when the right
     side is counted small, salted shuffle otherwise. Callers that have counted
     pass the outcome as ``small``."""
     if fits(right, broadcast_rows) if small is None else small:
         return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, spread_by, how, min_rows)
+    return salted_join(left, right, keys, spread_by, how, min_rows, row_bytes)
 
 
 def ordered_positions(

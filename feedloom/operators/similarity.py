@@ -20,6 +20,11 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions import vectors as vx
 from feedloom.operators import scale
+from feedloom.operators.embedding import Embedder, embed
+
+
+# Two vectors of 384 numbers in a joined row.
+VECTOR_BYTES = 8_192
 
 
 def _is_sparse(df: DataFrame, vec: str) -> bool:
@@ -46,6 +51,12 @@ def clamp(n: Column, default: int, low: int, high: int) -> Column:
     return F.least(F.greatest(F.coalesce(n, F.lit(default)), F.lit(low)), F.lit(high))
 
 
+def valid_requests(requests: DataFrame, limit: int = FEED_MAX_N) -> DataFrame:
+    """Requests with ``n`` held in its range: the one place where a feed head is
+    limited. ``limit`` is the longest head a request may ask for."""
+    return requests.withColumn("n", clamp(F.col("n"), FEED_DEFAULT_N, FEED_MIN_N, limit))
+
+
 def score_requests(
     stories: DataFrame,
     requests: DataFrame,
@@ -55,29 +66,50 @@ def score_requests(
 ) -> DataFrame:
     """One row per request and story of its feed head, with ``score``.
 
-    ``stories`` has dense 1-based positions; ``requests`` has ``profile_id``,
-    ``n`` and a vector. A request expands to the positions it covers, at most
-    FEED_MAX_N, and meets the stories in an equi-join. The stories in reach are
-    at most FEED_MAX_N rows whatever the feed holds, so they are broadcast and
-    the requests are dealt out by ``profile_id`` before they expand: the narrow
-    side moves, and ranking per request needs no further shuffle.
+    ``stories`` has 1-based positions; ``requests`` has ``profile_id``, ``n`` and
+    a vector. A request expands to the ``n`` positions it covers and meets the
+    stories in an equi-join, whatever ``n`` is. Stories counted to be few are
+    broadcast; else both sides shuffle, positions that many requests cover being
+    salted. The requests are dealt out by ``profile_id`` before they expand.
     """
     sparse = _is_sparse(stories, vec)
-    reach = _measured(stories.where(F.col(pos) <= FEED_MAX_N), vec, "_item", False, dim)
-    n = clamp(F.col("n"), FEED_DEFAULT_N, FEED_MIN_N, FEED_MAX_N)
+    reach = _measured(stories, vec, "_item", False, dim)
+    n = F.col("n")
     # A number of partitions is given because a request grows to hundreds of
     # rows: adaptive coalescing would judge by the size before that.
     parts = scale.shuffle_partitions(requests.sparkSession)
     asked = (
         _measured(requests.repartition(parts, "profile_id"), vec, "_query", True, dim)
+        .where(n >= 1)
         .select("profile_id", "_query_vec", "_query_norm", F.explode(F.sequence(F.lit(1), n)).alias(pos))
         .withColumn(pos, F.col(pos).cast("bigint"))
     )
-    scored = asked.join(F.broadcast(reach), pos).withColumn("score", _score(sparse))
+    scored = scale.keyed_join(asked, reach, [pos], ["profile_id"], row_bytes=VECTOR_BYTES).withColumn("score", _score(sparse))
     kept = [c for c in stories.columns if c not in (vec, pos)]
     return scored.select("profile_id", F.col(pos).alias("original_rank"), *kept, "score")
 
 
+def score_keyed(
+    stories: DataFrame,
+    requests: DataFrame,
+    key: str,
+    story_id: str = "id",
+    vec: str = "vec",
+    dim: int = vx.DIM,
+) -> DataFrame:
+    """One row per request and story of its set, with ``score``; no limit.
+
+    Both sides name the set by ``key`` (a feed, label or language): an equi-join,
+    in which sets of many stories are salted by ``story_id``.
+    """
+    sparse = _is_sparse(stories, vec)
+    asked = _measured(requests.select("profile_id", key, vec), vec, "_query", True, dim)
+    items = _measured(stories, vec, "_item", False, dim)
+    joined = scale.keyed_join(items, asked, [key], [story_id], row_bytes=VECTOR_BYTES)
+    kept = [c for c in stories.columns if c not in (vec, key)]
+    return joined.select("profile_id", key, *kept, _score(sparse).alias("score"))
+
+
 def score_corpus(items: DataFrame, profile: DataFrame, vec: str = "vec", dim: int = vx.DIM) -> DataFrame:
     """Score every row of a corpus against one profile.
 
@@ -130,3 +162,22 @@ def topk_candidates(
     if "n" in questions.columns:
         ranked = ranked.where(F.col("rank") <= F.col("n"))
     return ranked
+
+
+def best_sentences(items: DataFrame, profile: DataFrame, id: str, text: str = "text", embedder: Embedder | None = None) -> DataFrame:
+    """The sentence of each text that is most like the profile, with its score.
+
+    A sentence ends at ".", "!", "?" or a line break. Sentences are scored where
+    their text lies, and each task keeps the best per row: no pair of rows meets.
+    Of equal scores the first sentence wins; texts without a sentence are left out.
+    """
+    sentences = (
+        items.select(id, F.posexplode(F.split(text, r"[.!?\n]+")).alias("_no", "_sentence"))
+        .withColumn("_sentence", F.trim("_sentence"))
+        .where(F.col("_sentence") != "")
+        .transform(embed, "_sentence", "vec", embedder)
+    )
+    scored = score_corpus(sentences, profile)
+    order = F.struct(F.col("score"), -F.col("_no"))
+    best = scored.groupBy(id).agg(F.max_by(F.struct("_sentence", "score"), order).alias("_best"))
+    return best.select(id, F.col("_best._sentence").alias("sentence"), "_best.score")

@@ -243,16 +243,47 @@ _SQL_LABEL_QUESTIONS = """questions AS (
     WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))"""
 
 
+@query(f"""WITH {_SQL_LABEL_QUESTIONS}
+SELECT label::BIGINT AS profile_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score
+FROM embeddings JOIN questions USING (label)""")
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense vectors: every vector against the first one of its label."""
+    items = src.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    asked = src.labelled_questions(spark, sf_dir).select(F.col("label").cast("bigint").alias("profile_id"), "label", "vec")
+    return similarity.score_keyed(items, asked, "label", "vec_id").select("profile_id", "vec_id", *_rounded("score"))
+
+
+_SQL_LANGUAGE_PROFILES = "(SELECT lang, arg_min(text, doc_id) AS text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang)"
+
+
+@query(f"""WITH {_SQL_DOC_COUNTS},
+{src.sql_counts("p", _SQL_LANGUAGE_PROFILES, "lang", "text")},
+dots AS (
+    SELECT doc_id, sum(c.w * p.w)::DOUBLE AS dot
+    FROM documents d JOIN counts c USING (doc_id) JOIN p ON p.lang = d.lang AND p.bucket = c.bucket GROUP BY doc_id)
+SELECT d.lang AS profile_id, d.doc_id, round(coalesce(dot / (cn.norm * pn.norm), 0), 6) AS score
+FROM documents d LEFT JOIN dots USING (doc_id) LEFT JOIN counts_norm cn USING (doc_id) LEFT JOIN p_norm pn ON pn.lang = d.lang
+WHERE d.lang IS NOT NULL""")
+def sparse_profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse vectors: every document against the first one of its language."""
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    firsts = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
+    asked = embed(firsts).select(F.col("lang").alias("profile_id"), "lang", "vec")
+    items = embed(docs).select("doc_id", "lang", "vec")
+    return similarity.score_keyed(items, asked, "lang", "doc_id").select("profile_id", "doc_id", *_rounded("score"))
+
+
 @query(f"""WITH {_SQL_LABEL_QUESTIONS}
 SELECT label::BIGINT AS profile_id, vec_id + 1 AS original_rank, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score
 FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id + 1 <= 500), questions""")
-def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense vectors: every label's first vector asks for the longest feed head."""
     stories = src.table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("feed_pos"), F.col("embedding").alias("vec"))
     asked = src.labelled_questions(spark, sf_dir).select(
         F.col("label").cast("bigint").alias("profile_id"), F.lit(fixed.FEED_MAX_N).alias("n"), "vec"
     )
-    return similarity.score_requests(stories, asked).select("profile_id", "original_rank", *_rounded("score"))
+    scored = similarity.score_requests(stories, similarity.valid_requests(asked))
+    return scored.select("profile_id", "original_rank", *_rounded("score"))
 
 
 _SQL_PROFILE_COUNTS = src.sql_counts("p", "benchmark", "item_id", "text")
@@ -272,12 +303,13 @@ scored AS (
 @query(f"""WITH {_SQL_SCORED}
 SELECT profile_id, original_rank, round(score, 6) AS score FROM scored
 WHERE original_rank <= least(greatest(profile_id * 25 - 25, 1), 500)""")
-def sparse_profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sparse_head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse vectors: requests for heads of different lengths, some out of range."""
     stories = src.stories(spark, sf_dir)
     vectors = rerank_plan.story_vectors(ranking.feed_head(stories, fixed.FEED_MAX_N)).select("feed_pos", "vec")
     asked = src.profiles(spark, sf_dir, F.col("item_id") * 25 - 25).transform(embed, "profile")
-    return similarity.score_requests(vectors, asked).select("profile_id", "original_rank", *_rounded("score"))
+    scored = similarity.score_requests(vectors, similarity.valid_requests(asked))
+    return scored.select("profile_id", "original_rank", *_rounded("score"))
 
 
 _SQL_TOPK = f"""WITH {_SQL_LABEL_QUESTIONS}
@@ -670,6 +702,56 @@ def sample_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sample_outputs(src.runs(spark, sf_dir), "seq")
 
 
+# --- Ideas the feed and the generator suggest ----------------------------------
+
+
+@query("""WITH lines AS (
+    SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+repeated AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (line NOT IN (SELECT line FROM repeated)), '') AS text
+FROM lines GROUP BY doc_id""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them have."""
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus.drop_repeated_lines(docs, "doc_id", least=3)
+
+
+_SQL_SENTENCES = """(SELECT doc_id, no, trim(part, ' ') AS sentence FROM (
+    SELECT doc_id, unnest(range(len(ps))) AS no, unnest(ps) AS part
+    FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\\n]+') AS ps FROM documents)) WHERE trim(part, ' ') <> '')"""
+
+
+@query(f"""WITH sentences AS {_SQL_SENTENCES},
+{src.sql_counts("s", "sentences", "doc_id, no", "sentence")},
+{src.sql_counts("p", _SQL_ONE_PROFILE, "one", "text")},
+dots AS (SELECT doc_id, no, sum(s.w * p.w)::DOUBLE AS dot FROM s JOIN p USING (bucket) GROUP BY doc_id, no),
+scored AS (
+    SELECT t.*, coalesce(dot / (norm * (SELECT norm FROM p_norm)), 0) AS score
+    FROM sentences t LEFT JOIN dots USING (doc_id, no) LEFT JOIN s_norm USING (doc_id, no))
+SELECT doc_id, sentence, round(score, 6) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no) AS rank FROM scored) WHERE rank = 1""")
+def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of each document that is most like the first profile."""
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "text")
+    profile = src.one_profile(spark, sf_dir).transform(embed, "profile")
+    return similarity.best_sentences(docs, profile, "doc_id").select("doc_id", "sentence", *_rounded("score"))
+
+
+@query(f"""WITH {_sql_parse('last_slice')},
+sets AS (SELECT conv_id, turn, list_transform(queries, lambda q: list_distinct(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> ''))) AS sets FROM read),
+pairs AS (
+    SELECT conv_id, turn, sets, unnest(flatten(list_transform(range(1, len(sets)), lambda i: list_transform(range(i + 1, len(sets) + 1), lambda j: [i, j])))) AS p FROM sets),
+measured AS (
+    SELECT conv_id, turn, avg(CASE WHEN len(list_distinct(list_concat(sets[p[1]], sets[p[2]]))) = 0 THEN 1
+        ELSE len(list_intersect(sets[p[1]], sets[p[2]])) / len(list_distinct(list_concat(sets[p[1]], sets[p[2]]))) END) AS mean
+    FROM pairs GROUP BY conv_id, turn)
+SELECT conv_id, turn, round(1 - mean, 6) AS diversity FROM read LEFT JOIN measured USING (conv_id, turn)""")
+def query_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How different the queries of each response are."""
+    parsed = _parsed(spark, sf_dir, "last", on_fail="null")
+    return evaluation.diversity(parsed).select("conv_id", "turn", *_rounded("diversity"))
+
+
 # --- Sinks ---------------------------------------------------------------------
 
 

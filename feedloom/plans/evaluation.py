@@ -32,19 +32,23 @@ def evaluate(requests: DataFrame, recorded: DataFrame, errors: DataFrame) -> Dat
 
 def records_of(answers: DataFrame, errors: DataFrame) -> DataFrame:
     """Benchmark records from answers to prompts, without models that failed."""
-    answered = answers.transform(generation.strip_echo)
+    # Kinds of model that do not repeat their input say so in ``model_type``.
+    repeats = F.coalesce(F.col("model_type") != "chat", F.lit(True)) if "model_type" in answers.columns else None
+    answered = answers.transform(generation.strip_echo, applies=repeats)
     parsed = answered.transform(parsing.slice_json, "first").transform(parsing.parse_queries, "marker")
     return evaluation.drop_failed_models(parsed, errors).transform(evaluation.load_once)
 
 
 def report_tables(records: DataFrame, seq: str) -> dict[str, DataFrame]:
-    """The tables behind the report, by name."""
-    stats = evaluation.model_stats(records)
+    """The tables behind the report, by name; records and stats are staged once."""
+    records = scale.stage(records)
+    stats = scale.stage(evaluation.model_stats(records))
     return {
         "records": records,
         "stats": stats,
         "inference_bars": evaluation.bar_data(stats, "inference_time"),
         "loading_bars": evaluation.bar_data(stats, "loading_time"),
-        "inference_boxes": evaluation.box_data(records, "inference_time"),
+        "inference_boxes": evaluation.box_data(records, "inference_time", row_id=(seq,)),
+        "loading_boxes": evaluation.box_data(records, "loading_time", row_id=(seq,)),
         "samples": evaluation.sample_outputs(records, seq),
     }

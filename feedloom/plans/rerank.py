@@ -10,6 +10,10 @@ from feedloom.operators import corpus, ranking, scale, similarity
 from feedloom.operators.embedding import Embedder, embed
 
 
+# A joined row may hold a text of the longest allowed length.
+TEXT_BYTES = 200_000
+
+
 def story_vectors(stories: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """Bodies and vectors of stories that have ``title`` and resolved ``text``."""
     return stories.transform(corpus.story_bodies).transform(embed, "body", "vec", embedder)
@@ -29,16 +33,21 @@ def attach_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
     texts = wanted.transform(corpus.extract_text).transform(corpus.resolve_fetch).select("url", "text")
     if few:
         return stories.join(texts, "url", "left")
-    return scale.salted_join(stories, texts, ["url"], ["id"], "left")
+    return scale.salted_join(stories, texts, ["url"], ["id"], "left", row_bytes=TEXT_BYTES)
 
 
-def rerank_feed(stories: DataFrame, requests: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+def rerank_feed(
+    stories: DataFrame, requests: DataFrame, embedder: Embedder | None = None, limit: int = FEED_MAX_N
+) -> DataFrame:
     """Report per request: the first ``n`` stories in order of their score.
 
     ``stories``: id, title, url, text, feed_pos (dense, from 1).
     ``requests``: profile_id, profile (requests without one are not served), n.
+    ``limit`` is the longest head a request may ask for, the rule of the feed;
+    stories beyond it are not embedded.
     """
-    head = ranking.feed_head(stories, FEED_MAX_N)
+    requests = similarity.valid_requests(requests, limit)
+    head = stories.where(F.col("feed_pos") <= limit)
     vectors = story_vectors(head, embedder).select("id", "title", "url", "feed_pos", "vec")
     profiles = requests.where(F.col("profile").isNotNull()).transform(embed, "profile", "vec", embedder).select("profile_id", "n", "vec")
     scored = similarity.score_requests(vectors, profiles)

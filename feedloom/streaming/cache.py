@@ -29,7 +29,7 @@ def refresh_text_cache(pages: DataFrame, cache_path: str, checkpoint: str, order
         session = batch.sparkSession
         cache = session.read.schema(schemas.TEXT_CACHE).parquet(cache_path)
         arrived = reuse.with_key(batch, "url", "url_key")
-        fresh = reuse.new_only(reuse.dedupe_by_key(arrived, "url_key", order), cache, "url_key", ["url_key"])
+        fresh = reuse.dedupe_by_key(reuse.new_only(arrived, cache, "url_key", order), "url_key", order)
         texts = fresh.transform(corpus.extract_text).transform(corpus.resolve_fetch)
         texts.select("url_key", F.coalesce("text", F.lit("")).alias("text")).write.mode("append").parquet(cache_path)
 

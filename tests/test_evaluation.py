@@ -169,3 +169,26 @@ def test_versions_of_nested_outputs(spark):
 
     rows = spark.createDataFrame([(1, [["a", "b"], ["c"]])], "i INT, output ARRAY<ARRAY<STRING>>")
     assert [(r.version, r["query"]) for r in explode_outputs(rows).collect()] == [(1, ["a", "b"]), (2, ["c"])]
+
+
+def test_not_a_number_is_missing(spark):
+    nan = float("nan")
+    rows = [("m", i, float(v), nan) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 100])] + [("m", 8, nan, None)]
+    runs = spark.createDataFrame(rows, "model STRING, seq LONG, inference_time DOUBLE, loading_time DOUBLE")
+    stats = evaluation.model_stats(runs).first()
+    assert stats.inference_time_max == 100 and stats.inference_time_mean == 16 and stats.loading_time_mean is None
+    box = evaluation.box_data(runs, row_id=("seq",))
+    assert box.first().n == 8 and box.first().q1 == 2.5
+    assert [r.seq for r in evaluation.box_outliers(runs, box, row_id=("seq",)).collect()] == [7]
+
+
+def test_replay_takes_one_recording_per_request(spark):
+    asked = spark.createDataFrame([("m", 1, 1)], "model STRING, iteration INT, question_idx INT")
+    told = spark.createDataFrame([("m", 1, 1, "b"), ("m", 1, 1, "a")], "model STRING, iteration INT, question_idx INT, response STRING")
+    assert [r.response for r in generation.replay(asked, told).collect()] == ["a"]
+
+
+def test_grid_carries_all_attributes_of_models(spark):
+    models = [{"name": "a", "id": "x/a", "type": "chat"}, {"name": "b", "id": "x/b"}]
+    grid = generation.request_grid(spark.createDataFrame([(1,)], "q INT"), models, iterations=1)
+    assert sorted((r.model, r.model_type) for r in grid.collect()) == [("a", "chat"), ("b", None)]

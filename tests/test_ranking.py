@@ -40,7 +40,7 @@ def test_scores_of_requests_against_brute_force(spark):
         [(1, 3, vectors[5]), (2, None, vectors[6]), (3, 9_999, vectors[7]), (4, -1, [0.0] * 4)],
         "profile_id LONG, n INT, vec ARRAY<FLOAT>",
     )
-    got = {(r.profile_id, r.original_rank): r.score for r in similarity.score_requests(stories, requests).collect()}
+    got = {(r.profile_id, r.original_rank): r.score for r in similarity.score_requests(stories, similarity.valid_requests(requests)).collect()}
     asked = {1: (3, vectors[5]), 2: (10, vectors[6]), 3: (31, vectors[7]), 4: (1, [0.0] * 4)}
     expected = {(p, i + 1): cosine(q, vectors[i]) for p, (n, q) in asked.items() for i in range(n)}
     assert got.keys() == expected.keys()
@@ -105,3 +105,17 @@ def test_corpus_and_request_reports_agree(spark):
     one = rerank_plan.rerank_feed(stories, profile).drop("profile_id").collect()
     other = rerank_plan.rerank_corpus(stories, profile.select("profile")).orderBy("rank").collect()
     assert [tuple(r) for r in one] == [tuple(r) for r in other]
+
+
+def test_scores_have_no_limit_of_their_own(spark):
+    stories = spark.createDataFrame([(i + 1, [1.0, float(i)]) for i in range(700)] + [(1, [2.0, 2.0])], "feed_pos LONG, vec ARRAY<FLOAT>")
+    requests = spark.createDataFrame([(1, 600, [1.0, 1.0]), (2, 0, [1.0, 1.0])], "profile_id LONG, n INT, vec ARRAY<FLOAT>")
+    got = similarity.score_requests(stories, requests).collect()
+    assert len(got) == 601 and max(r.original_rank for r in got) == 600
+
+
+def test_keyed_scores_meet_every_story_of_the_set(spark):
+    stories = spark.createDataFrame([(i, i % 3, [1.0, float(i)]) for i in range(90)], "id LONG, k INT, vec ARRAY<FLOAT>")
+    requests = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 2, [1.0, 1.0])], "profile_id LONG, k INT, vec ARRAY<FLOAT>")
+    got = {(r.profile_id, r.id): r.score for r in similarity.score_keyed(stories, requests, "k").collect()}
+    assert len(got) == 90 and abs(got[2, 3] - 3 / 10**0.5) < 1e-12

@@ -85,3 +85,23 @@ def test_corpus_rank_equals_request_rank(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert scale.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_broadcast_is_decided_by_bytes_too(spark):
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array_repeat(F.lit(1.0), 100).alias("v"))
+    assert scale.fits(wide, 10) and not scale.fits(wide, 10, max_bytes=15_000)
+
+
+def test_every_heavy_key_is_salted(spark):
+    rows = spark.range(40_000).select((F.col("id") % 20_000).alias("k"), "id")
+    assert scale.heavy_keys(rows, ["k"], 1).count() == 20_000
+
+
+def test_stages_are_removed(spark, tmp_path):
+    import os
+
+    scale.stage(spark.range(3))
+    folder = os.path.dirname(scale.new_path(spark, "x"))
+    assert os.path.isdir(folder)
+    scale.remove_stages(spark)
+    assert not os.path.exists(folder)

@@ -118,3 +118,32 @@ def test_fetch_outcomes(spark):
         "url STRING, status INT, error STRING, text STRING",
     )
     assert [r.text for r in corpus.resolve_fetch(rows).collect()] == ["ok", None, None, None, None, None]
+
+
+CUSTOM_ELEMENTS = [
+    "a<style-guide>kept</style-guide>b",
+    "a<script-loader>rest of page",
+    "a<template-card>kept</template-card>b",
+    "a<rt-x>kept</rt-x>b<stylesheet>c",
+    "a<style/>b</style>c",
+]
+
+
+def test_custom_elements_are_ordinary(spark):
+    class Silent(TextOnly):
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+
+    def python(html):
+        parser = Silent()
+        parser.feed(html)
+        parser.close()
+        return "".join(parser.text)
+
+    assert apply(spark, CUSTOM_ELEMENTS[:4], tx.html_text) == [python(h) for h in CUSTOM_ELEMENTS[:4]]
+    assert apply(spark, CUSTOM_ELEMENTS[4:], tx.html_text) == ["ac"]
+
+
+def test_nested_templates_end_at_their_own_tag(spark):
+    pages = ["a<template>x<template>y</template>z</template>b", "a<template>x<b>y<template>z</template></b></template>b<i>c</i>", "a<template>x<template>y"]
+    assert apply(spark, pages, tx.html_text) == ["ab", "abc", "a"]
