@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators import scale
-
 # Rows that a task hands on at once, in bytes of their values.
 BATCH_BYTES = 8 << 20
 
@@ -40,8 +38,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
 
 
 def small_rows(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table of narrow rows may be broadcast: it is counted first."""
-    return scale.fits(df, max_rows)
+    """Whether a written table of narrow rows may be broadcast: it is counted first."""
+    return df.count() <= max_rows
 
 
 def arrow_map(

@@ -110,6 +110,7 @@ def write_archives(pages: DataFrame, path: str, id: str, url: str, payload: str,
         .where("_n > 1")
         .select("_digest", "_first")
     )
+    repeated = scale.stage(repeated)
     if common.small_rows(repeated, BROADCAST_DIGESTS):
         repeated = F.broadcast(repeated)
     first = F.when(F.length("_payload") >= min_bytes, F.col("_first"))
