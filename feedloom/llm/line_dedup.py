@@ -26,6 +26,8 @@ Other columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +35,25 @@ from feedloom.functions.binding import bind
 from feedloom.llm import common
 from feedloom.operators import scale
 
+# White space inside a line, besides the blank.
+OTHER_SPACE = "\t\r\f\v"
 FUZZY_WORDS = 10
 # Words at either end that must agree, and the lengths of line they are used for.
 # Each is at most half of its shortest line; ranges overlap by one length, as one
 # edit changes the length by one.
 ENDS = ((5, 10, 20), (10, 20, 40), (20, 40, 100), (50, 100, 1 << 30))
-# Rows of up to 24 bytes that may be broadcast.
+# Rows of up to 60 bytes that may be broadcast.
 BROADCAST_KEYS = 1_000_000
 LINE = ["_h1", "_h2"]
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """_id, _key, _line (number), _words, _h1, _h2 of the lines that are not blank."""
-    split = F.transform(F.split("_text", "\n"), lambda x: F.array_remove(F.split(x, r"\s+"), ""))
+    text = F.col("_text")
+    # Splitting at one character is much faster than at a pattern.
+    odd = [F.contains(text, F.lit(x)) for x in OTHER_SPACE]
+    plain = F.when(reduce(Column.__or__, odd), F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(text)
+    split = F.transform(F.split(plain, "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
     rows = docs.select("_id", "_key", F.posexplode(split).alias("_line", "_words")).where(F.size("_words") > 0)
     return rows.withColumns({"_h1": F.xxhash64("_words"), "_h2": F.xxhash64(F.lit(1), "_words")})
 
@@ -132,24 +140,23 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if common.small_rows(df, BROADCAST_KEYS) else df
 
 
-def edited(all_lines: DataFrame) -> DataFrame:
-    """_h1, _h2 of the lines that have an earlier line one word away."""
-    long = all_lines.where(F.size("_words") >= FUZZY_WORDS)
+def edited(all_lines: DataFrame, narrow: DataFrame) -> DataFrame:
+    """_h1, _h2 of the lines that have an earlier line one word away.
+
+    ``narrow`` has the lines without their words, with the hashes of their ends.
+    """
+    exploded = narrow.select(F.explode("_ends").alias("_end"), *LINE, place().alias("_place"))
     shared = (
-        long.select(F.explode(ends(F.col("_words"))).alias("_end"), "_h1")
-        .groupBy("_end")
+        exploded.groupBy("_end")
         .agg(F.min("_h1").alias("_low"), F.max("_h1").alias("_high"))
         .where("_low <> _high")
         .select("_end")
     )
     shared = _hinted(scale.stage(shared))
-    tried = (
-        long.withColumn("_end", F.explode(ends(F.col("_words"))))
-        .join(shared, "_end", "left_semi")
-        .groupBy(*LINE)
-        .agg(F.first("_words").alias("_words"), F.min(place()).alias("_place"))
-    )
-    tried = scale.stage(tried)
+    wanted = exploded.join(shared, "_end", "left_semi").groupBy(*LINE).agg(F.min("_place").alias("_place"))
+    wanted = scale.stage(wanted)
+    tried = all_lines.select("_words", *LINE).join(_hinted(wanted), LINE).groupBy(*LINE)
+    tried = scale.stage(tried.agg(F.first("_words").alias("_words"), F.first("_place").alias("_place")))
     keys = tried.select(*LINE, F.explode(neighbourhood(F.col("_words"))).alias("_k")).select(*LINE, "_k.key", "_k.at")
     met = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     met = _hinted(scale.stage(met))
@@ -184,8 +191,10 @@ def without_seen_lines(docs: DataFrame, id: str = "doc_id", text: str = "text")
     _n_lines, _n_exact, _n_edited: how many lines there were and went."""
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), common.text_key(F.col(text)).alias("_key"))
     found = lines(rows)
-    gone = scale.stage(edited(found).withColumn("_edited", F.lit(True)))
-    narrow = found.select("_id", "_key", "_line", *LINE)
+    long = F.when(F.size("_words") >= FUZZY_WORDS, ends(F.col("_words")))
+    narrow = scale.stage(found.select("_id", "_key", "_line", *LINE, long.alias("_ends")))
+    gone = scale.stage(edited(found, narrow).withColumn("_edited", F.lit(True)))
+    narrow = narrow.drop("_ends")
     first = narrow.groupBy(*LINE).agg(F.min(place()).alias("_first"), F.max(place()).alias("_last"))
     told = (
         first.join(gone, LINE, "left")
