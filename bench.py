@@ -26,6 +26,8 @@ HEADLINE = [
     "hash_embedding", "embed_distinct", "profile_scores", "sparse_profile_scores", "topk_candidates",
     "topk_candidates_shuffled", "question_topk", "request_grid", "build_prompts", "replay_generate", "generate",
     "parse_queries", "explode_outputs", "drop_failed_models", "model_stats", "box_data", "sample_outputs",
+    "original_rank", "embed_cached", "cached_text", "cache_refresh", "box_outliers", "repeated_lines", "best_sentences",
+    "query_diversity",
 ]
 
 

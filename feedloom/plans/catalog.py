@@ -18,6 +18,7 @@ from feedloom import schemas
 from feedloom.functions import vectors as vx
 from feedloom.operators import corpus, evaluation, generation, parsing, quantiles, ranking, reuse, scale, similarity
 from feedloom.operators.embedding import ModelEmbedder, embed
+from feedloom.plans import evaluation as evaluation_plan
 from feedloom.plans import questions as question_plan
 from feedloom.plans import rerank as rerank_plan
 from feedloom.plans import standins as src
@@ -659,15 +660,19 @@ def _sql_quartile(p: float) -> str:
         + coalesce(sorted[floor({place})::BIGINT + 2], 0) * ({place} - floor({place})))"""
 
 
-_SQL_BOX = f"""{src.SQL_RUNS},
-lists AS (SELECT model, count(*) AS n, list_sort(list(inference_time)) AS sorted FROM runs GROUP BY model),
+def _sql_box(ctes: str, rows: str, measure: str) -> str:
+    return f"""{ctes},
+lists AS (SELECT model, count(*) AS n, list_sort(list({measure})) AS sorted FROM {rows} WHERE {measure} IS NOT NULL GROUP BY model),
 quartiles AS (SELECT model, n, {_sql_quartile(0.25)} AS q1, {_sql_quartile(0.5)} AS median, {_sql_quartile(0.75)} AS q3 FROM lists),
 box AS (
     SELECT model, n, q1, median, q3,
-           least(min(inference_time) FILTER (inference_time >= q1 - 1.5::DOUBLE * (q3 - q1)), q1) AS lower_whisker,
-           greatest(max(inference_time) FILTER (inference_time <= q3 + 1.5::DOUBLE * (q3 - q1)), q3) AS upper_whisker,
-           count(*) FILTER (inference_time < q1 - 1.5::DOUBLE * (q3 - q1) OR inference_time > q3 + 1.5::DOUBLE * (q3 - q1)) AS outliers
-    FROM runs JOIN quartiles USING (model) GROUP BY model, n, q1, median, q3)"""
+           least(min({measure}) FILTER ({measure} >= q1 - 1.5::DOUBLE * (q3 - q1)), q1) AS lower_whisker,
+           greatest(max({measure}) FILTER ({measure} <= q3 + 1.5::DOUBLE * (q3 - q1)), q3) AS upper_whisker,
+           count(*) FILTER ({measure} < q1 - 1.5::DOUBLE * (q3 - q1) OR {measure} > q3 + 1.5::DOUBLE * (q3 - q1)) AS outliers
+    FROM {rows} JOIN quartiles USING (model) WHERE {measure} IS NOT NULL GROUP BY model, n, q1, median, q3)"""
+
+
+_SQL_BOX = _sql_box(src.SQL_RUNS, "runs", "inference_time")
 _BOX = ("q1", "median", "q3", "lower_whisker", "upper_whisker")
 
 
@@ -702,6 +707,58 @@ def sample_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sample_outputs(src.runs(spark, sf_dir), "seq")
 
 
+# --- Report --------------------------------------------------------------------
+
+_SQL_BOX_COLUMNS = "SELECT model, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in _BOX) + ", outliers FROM box"
+
+
+def _report(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return evaluation_plan.report_tables(evaluation.load_once(src.runs(spark, sf_dir)), "seq")[name]
+
+
+@query(_SQL_STATS_QUERY)
+def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, "stats").select("model", *_rounded(*_STATS))
+
+
+def _sql_bars(m: str) -> str:
+    return f"""WITH {_SQL_STATS} SELECT model, '{m}' AS measure, round({m}_mean, 6) AS mean, round({m}_mean - {m}_std, 6) AS low,
+    round({m}_mean + {m}_std, 6) AS high FROM stats"""
+
+
+@query(_sql_bars("loading_time"))
+def report_loading_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, "loading_bars").select("model", "measure", *_rounded("mean", "low", "high"))
+
+
+@query(f"WITH {_sql_box(_SQL_LOADED, 'loaded', 'loading_time')} {_SQL_BOX_COLUMNS}")
+def report_loading_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, "loading_boxes").select("model", "n", *_rounded(*_BOX), "outliers")
+
+
+@query(f"""WITH {src.SQL_PAGE_TEXT}
+SELECT page_id AS id, title, url, page_id + 1 AS feed_pos FROM page_text WHERE page_id < 300""")
+def load_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written as a list of ids and a table of items, and its head read back."""
+    path = scale.new_path(spark, "feed")
+    items = src.titled(src.pages(spark, sf_dir)).select(F.col("page_id").alias("id"), "title", "url")
+    tables.write_table(items, f"{path}/items", "json")
+    # The list of one feed, as it is served: the longest head and no more.
+    ids = items.where(F.col("id") < fixed.FEED_MAX_N).agg(F.to_json(F.sort_array(F.collect_list("id"))).alias("value"))
+    ids.write.text(f"{path}/ids")
+    return tables.load_feed(spark, f"{path}/ids", f"{path}/items", 300)
+
+
+@query(f"WITH {src.SQL_PAGE_TEXT} SELECT page_id AS id, title, url, page_id + 1 AS feed_pos FROM page_text")
+def load_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feed written as a table of stories and read back."""
+    path = scale.new_path(spark, "stories")
+    stories = src.titled(src.pages(spark, sf_dir))
+    stories = stories.select(F.col("page_id").alias("id"), "title", "url", (F.col("page_id") + 1).alias("feed_pos"))
+    tables.write_table(stories, path, "json")
+    return tables.load_stories(spark, path)
+
+
 # --- Ideas the feed and the generator suggest ----------------------------------
 
 
