@@ -21,8 +21,8 @@ no conversations. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,7 +44,9 @@ _TURN = re.compile(r"### ((?:[^\\#<:]+|\\.)*): ((?:[^\\#<:]+|\\.)*)</turn>\n", r
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
+@functools.lru_cache(maxsize=2048)
 def escaped(text: str) -> str:
+    """Remembered, as each turn is rendered once per later turn."""
     return _CONTROL.sub(r"\\\g<0>", text)
 
 
@@ -69,6 +71,18 @@ def read_turns(formatted: str) -> list[Turn]:
     return turns
 
 
+def shared_start(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int] | None], list[tuple[int, int] | None], bool]:
     """The output, the span of each turn and of its text, and whether any prefix
     was rewritten by a later turn."""
@@ -78,7 +92,7 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
         whole = template(turns[: n + 1])
         if not whole.startswith(before):
             # Earlier spans hold only as far as the outputs agree.
-            agreed = len(os.path.commonprefix([before, whole]))
+            agreed = shared_start(before, whole)
             for held in (of_turn, of_text):
                 held[:] = [s if s and s[1] <= agreed else None for s in held]
             of_turn.append(None)
@@ -87,7 +101,7 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
         else:
             of_turn.append((len(before), len(whole)))
             a, b = (template([*turns[:n], (role, probe)]) for probe in ("A", "B"))
-            start = len(os.path.commonprefix([a, b]))
+            start = shared_start(a, b)
             closing = len(a) - start - 1
             end = len(whole) - closing
             found = start <= end and whole[:start] == a[:start] and whole[end:] == a[start + 1 :]
