@@ -17,7 +17,7 @@ from feedloom.llm import common, decontamination, language, line_dedup, order_mi
 from feedloom.operators import scale
 
 # A document is in a language if this share of its words or more is.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 BROADCAST_IDS = 1_000_000
 
 
@@ -26,7 +26,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or of none for the most part, go."""
+    """Documents without a language, or with too little of any, go."""
     model = language.learned(docs.select("doc_id", "text", "lang"))
     told = language.identify(docs, model, out=("_language", "_share"))
     return told.where((F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE)).select(*docs.columns)
