@@ -26,6 +26,7 @@ are whole; their alignment takes time with their length and their differences.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ PICKED = 4
 # Of 24 sketches, texts of similarity 0.8 agree in ten on average.
 LEAST_AGREEING = 2
 CACHE_WORDS = 500_000
+# Matches per element up to which an alignment walks all of them.
+MOST_MATCHES = 20
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.random.default_rng(97).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 _SIGNED = np.uint64(1 << 63)
@@ -105,8 +108,10 @@ def sketches(shingles: np.ndarray) -> list[int]:
 def matched(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences if it is at least ``least``, else 0.
 
-    The furthest reach on each diagonal after d unmatched elements, for d up to
-    what ``least`` allows: only a band of diagonals is visited.
+    ``least`` bounds how many elements stay unmatched, and so how far from the
+    diagonal a match can be. Matches in that band are walked in order of ``a``; the
+    longest rising run of their places in ``b`` is the alignment. Sequences that
+    repeat themselves have too many matches for that and go along the diagonals.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -115,11 +120,38 @@ def matched(a: np.ndarray, b: np.ndarray, least: float) -> float:
     most = int((n + m) * (1 - least) / (1 + least) + 1e-9)
     if abs(n - m) > most:
         return 0.0
-    values_a, counts_a = np.unique(a, return_counts=True)
-    values_b, counts_b = np.unique(b, return_counts=True)
-    _, at_a, at_b = np.intersect1d(values_a, values_b, assume_unique=True, return_indices=True)
-    if n + m - 2 * int(np.minimum(counts_a[at_a], counts_b[at_b]).sum()) > most:
-        return 0.0  # more than that is unmatched in any order
+    order = np.argsort(b, kind="stable")
+    held = b[order]
+    low, high = np.searchsorted(held, a, "left"), np.searchsorted(held, a, "right")
+    times = high - low
+    if n + m - 2 * int((times > 0).sum()) > most:
+        return 0.0
+    total = int(times.sum())
+    if total > MOST_MATCHES * (n + m):
+        unmatched = _along_diagonals(a, b, most)
+    else:
+        at = np.repeat(np.arange(n), times)
+        # Of one element of a, the later places in b come first: only one can be taken.
+        place = order[np.repeat(high, times) - 1 - (np.arange(total) - np.repeat(np.cumsum(times) - times, times))]
+        place = place[np.abs(at - place) <= most]
+        ends: list[int] = []
+        for x in place.tolist():
+            k = bisect_left(ends, x)
+            if k == len(ends):
+                ends.append(x)
+            else:
+                ends[k] = x
+        unmatched = n + m - 2 * len(ends)
+    if unmatched is None or unmatched > most:
+        return 0.0
+    common_part = (n + m - unmatched) / 2
+    return common_part / (n + m - common_part)
+
+
+def _along_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Unmatched elements of the best alignment, if at most ``most``: the furthest
+    reach on each diagonal of the band after 0, 1, ... of them."""
+    n, m = len(a), len(b)
 
     def slide(x: int, y: int) -> int:
         """How far both go on equally."""
@@ -136,15 +168,12 @@ def matched(a: np.ndarray, b: np.ndarray, least: float) -> float:
     for d in range(most + 1):
         for k in range(-d, d + 1, 2):
             x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            if x > n or x - k > m:
-                reach[k] = x
-                continue
-            x += slide(x, x - k)
+            if x <= n and x - k <= m:
+                x += slide(x, x - k)
             reach[k] = x
-            if x >= n and x - k >= m:
-                common_part = (n + m - d) / 2
-                return common_part / (n + m - common_part)
-    return 0.0
+            if x == n and x - k == m:
+                return d
+    return None
 
 
 def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -171,18 +200,18 @@ def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (_a, _b) of different texts that are similar enough."""
+    """The pairs (_a, _b) of numbered texts that are similar enough."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         shingles = Shingles()
-        recent: dict[bytes, np.ndarray] = {}
+        recent: dict[int, np.ndarray] = {}
 
-        def sequence(key: bytes, text: str) -> np.ndarray:
-            if key not in recent:
+        def sequence(node: int, text: str) -> np.ndarray:
+            if node not in recent:
                 if len(recent) >= 64:
                     recent.pop(next(iter(recent)))
-                recent[key] = shingles(shingles.words(text))
-            return recent[key]
+                recent[node] = shingles(shingles.words(text))
+            return recent[node]
 
         for batch in batches:
             for part in common.sliced(batch, 256):
@@ -194,14 +223,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                         out["_b"].append(b)
                 yield out
 
-    first = texts.select(F.col("_words").alias("_a"), F.col("_text").alias("_text_a"))
-    second = texts.select(F.col("_words").alias("_b"), F.col("_text").alias("_text_b"))
+    first = texts.select(F.col("_node").alias("_a"), F.col("_text").alias("_text_a"))
+    second = texts.select(F.col("_node").alias("_b"), F.col("_text").alias("_text_b"))
     both = pairs.join(first, "_a").join(second, "_b").select("_a", "_b", "_text_a", "_text_b")
-    return common.arrow_map(both, align, "_a binary, _b binary")
+    return common.arrow_map(both, align, "_a bigint, _b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(_words, _root): the least member of the component of each linked text.
+    """(_node, _root): the least member of the component of each linked text.
 
     Large-star and small-star steps in turn until nothing changes: a node links
     its larger neighbours, then its smaller ones, to the least it knows. Edges are
@@ -223,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         new = scale.stage(small)
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            return new.select(F.col("_u").alias("_words"), F.col("_v").alias("_root"))
+            return new.select(F.col("_u").alias("_node"), F.col("_v").alias("_root"))
         edges = new
 
 
@@ -235,51 +264,51 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("_at"),
         F.first("n").alias("n"), F.first("sketches").alias("sketches"),
     )
-    different = scale.stage(different.select("_words", "_at._id", "_at._key", "n", "sketches"))
-    members = different.select("_words", "n", "sketches", F.explode("sketches").alias("_bucket"))
-    # The leader has the least of one hash of all texts, so buckets tend to agree on it.
-    leaders = (
-        members.groupBy("_bucket")
-        .agg(F.min_by(F.struct("_words", "n", "sketches"), F.xxhash64("_words")).alias("_lead"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .select("_bucket", "_lead")
+    # Each different text gets a number, fixed by writing it.
+    different = scale.stage(
+        different.select(F.monotonically_increasing_id().alias("_node"), "_words", "_at._id", "_at._key", "n", "sketches")
     )
-    shared = scale.stage(members.join(leaders, "_bucket").select("_bucket", "_words", "n", "sketches", "_lead"))
+    members = different.select("_node", F.explode("sketches").alias("_bucket"))
+    # The member of the least number leads, so the buckets of near copies tend to agree on it.
+    leaders = members.groupBy("_bucket").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_last"))
+    leaders = leaders.where("_lead <> _last").select("_bucket", "_lead")
+    shared = scale.stage(members.join(leaders, "_bucket"))
 
-    def likely(a_n: str, b_n: str, a: str, b: str):
-        agreeing = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-        sizes = F.least(a_n, b_n) >= F.lit(similarity) * F.greatest(a_n, b_n) - 1e-9
-        return sizes & (agreeing >= LEAST_AGREEING)
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that their sizes and agreeing sketches do not rule out."""
+        a, b = (different.select(F.col("_node").alias(x), F.col("n").alias("n" + x), F.col("sketches").alias("s" + x)) for x in ("_a", "_b"))
+        agreeing = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
+        sizes = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
+        return scale.stage(pairs.join(a, "_a").join(b, "_b").where(sizes & (agreeing >= LEAST_AGREEING)).select("_a", "_b"))
 
-    starred = shared.where(F.col("_words") != F.col("_lead._words")).where(likely("n", "_lead.n", "sketches", "_lead.sketches"))
-    starred = scale.stage(starred.select(F.col("_words").alias("_a"), F.col("_lead._words").alias("_b")).distinct())
+    starred = likely(shared.where("_node <> _lead").select(F.col("_node").alias("_a"), F.col("_lead").alias("_b")).distinct())
 
     whole = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"), common.text_key(F.col(text)).alias("_key"))
-    wanted = shared.select("_words").distinct().join(different, "_words").select("_words", "_id", "_key")
-    texts = common.join_on(wanted, whole, ["_id", "_key"], "inner")
-    texts = scale.stage(texts.groupBy("_words").agg(F.first("_text").alias("_text")))
+    wanted = shared.select("_node").distinct().join(different, "_node").select("_node", "_id", "_key")
+    texts = common.join_on(whole, wanted, ["_id", "_key"], "inner")
+    texts = scale.stage(texts.dropDuplicates(["_node"]).select("_node", "_text"))
 
     links = scale.stage(verified(starred, texts, similarity))
     roots = components(links)
     # What is left: pairs of one bucket in different components.
-    placed = common.join_on(shared.drop("_lead"), roots, ["_words"], "left").withColumn("_root", F.coalesce("_root", "_words"))
+    placed = shared.select("_bucket", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    placed = scale.stage(placed)
     mixed = placed.groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high")
     placed = scale.stage(placed.join(mixed.select("_bucket"), "_bucket", "left_semi"))
-    a, b = (placed.select("_bucket", *[F.col(c).alias(c + side) for c in ("_words", "n", "sketches", "_root")]) for side in ("_a", "_b"))
-    crossing = (
-        a.join(b, "_bucket")
-        .where("_words_a < _words_b AND _root_a <> _root_b")
-        .where(likely("n_a", "n_b", "sketches_a", "sketches_b"))
-        .select(F.col("_words_a").alias("_a"), F.col("_words_b").alias("_b"))
-        .distinct()
-    )
-    more = verified(scale.stage(crossing), texts, similarity)
+    a, b = (placed.select("_bucket", F.col("_node").alias(x), F.col("_root").alias("_root" + x)) for x in ("_a", "_b"))
+    crossing = a.join(b, "_bucket").where("_a < _b AND _root_a <> _root_b").select("_a", "_b").distinct()
+    # The leader's pairs were compared before.
+    crossing = crossing.join(starred.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")), ["_a", "_b"], "left_anti")
+    more = verified(likely(crossing), texts, similarity)
     roots = components(links.union(more))
 
-    named = common.join_on(rows.select("_id", "_key", "_words"), roots, ["_words"], "left")
-    alone = F.concat(F.lit("alone").cast("binary"), F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary"), F.col("_key").cast("string").cast("binary"))
-    named = scale.stage(named.select("_id", "_key", F.coalesce("_root", "_words", alone).alias("_class")))
-    best = named.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("_at"))
-    out = named.join(best, "_class")
+    named = different.select("_node", "_words").join(roots, "_node", "left").select("_words", F.coalesce("_root", "_node").alias("_class"))
+    alone = F.xxhash64(F.col("_id").isNull(), "_id", "_key")
+    named = rows.select("_id", "_key", "_words").join(named, "_words", "left")
+    named = named.select("_id", "_key", F.coalesce("_class", alone).alias("_class"), F.col("_class").isNull().alias("_alone"))
+    named = scale.stage(named)
+    by = ["_alone", "_class"]
+    best = named.groupBy(*by).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("_at"))
+    out = named.join(best, by)
     first = F.col("_id").eqNullSafe(F.col("_at._id")) & F.col("_key").eqNullSafe(F.col("_at._key"))
     return out.select(F.col("_id").alias(id), "_key", F.col("_at._id").alias("class_id"), first.alias("_first"))
