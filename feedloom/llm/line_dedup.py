@@ -42,7 +42,7 @@ FUZZY_WORDS = 10
 # Each is at most half of its shortest line; ranges overlap by one length, as one
 # edit changes the length by one.
 ENDS = ((5, 10, 20), (10, 20, 40), (20, 40, 100), (50, 100, 1 << 30))
-# Rows of up to 60 bytes that may be broadcast.
+# Rows of up to 80 bytes that may be broadcast.
 BROADCAST_KEYS = 1_000_000
 LINE = ["_h1", "_h2"]
 
@@ -201,6 +201,8 @@ def without_seen_lines(docs: DataFrame, id: str = "doc_id", text: str = "text")
         .where("_edited OR _first <> _last")
         .select(*LINE, "_first", F.coalesce("_edited", F.lit(False)).alias("_edited"))
     )
+    # Written first, so that it can be broadcast or, beyond that, hot lines be split.
+    told = _hinted(scale.stage(told))
     went = (
         narrow.join(told, LINE)
         .where(F.col("_edited") | (place() != F.col("_first")))
