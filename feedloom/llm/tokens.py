@@ -30,7 +30,8 @@ UNLISTED = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027\u2
 
 # Where white space cannot be taken for a sign that a word begins.
 SPACES = re.compile(r"\s\s|\s$")
-SPACE = re.compile("(?= )")
+# In keys of words met, of a kind that has spaces: the word is without its leading one.
+NO_SPACE = "\0"
 
 # Byte-level files show a byte that is no visible Latin-1 character as one of the
 # characters from 256 on, in order.
@@ -71,7 +72,8 @@ class Encoder:
         ):
             self.lower = True
             self.word = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+").findall
-        # Two generations of words met: when the young one is full it becomes the old one.
+        # Two generations of words met, by the word without its leading space: when
+        # the young one is full it becomes the old one.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -79,22 +81,26 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, word: str) -> bytes:
+    def learn(self, key: str, word: str) -> bytes:
         """Ids of a word from the library's model, or from the older generation."""
-        found = self.old.get(word)
+        found = self.old.get(key)
         if found is None:
             size = self.kind.itemsize
             shown = word.encode().decode("latin-1").translate(BYTE_LETTERS)
             found = b"".join(x.id.to_bytes(size, "little") for x in self.library.model.tokenize(shown))
         if self.held > CACHE_CHARS:
             self.young, self.old, self.held = {}, self.young, 0
-        self.young[word] = found
-        self.held += len(word) + 16
+        self.young[key] = found
+        self.held += len(key) + 16
         return found
 
     def cut(self, text: str) -> bytes:
         """Ids of the words of a text of listed characters."""
-        return b"".join([self.young.get(x) or self.learn(x) for x in self.word(text)])
+        found = []
+        for word in self.word(text):
+            key = word if self.lower else word[1:] if word[0] == " " and len(word) > 1 else NO_SPACE + word
+            found.append(self.young.get(key) or self.learn(key, word))
+        return b"".join(found)
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
@@ -102,15 +108,17 @@ class Encoder:
         if self.word is None or UNLISTED.search(text) or any(x in text for x in self.marks):
             return np.frombuffer(self.whole(text), self.kind)
         if self.lower:
-            chunks = text.lower().split()
+            first, chunks = b"", text.lower().split()
         elif SPACES.search(text):
             return np.frombuffer(self.cut(text), self.kind)
         else:
-            chunks = SPACE.split(text)
+            begin, *chunks = text.split(" ")
+            first = self.cut(begin)
         found = list(map(self.young.get, chunks))
         if None in found:
-            found = [self.cut(chunks[i]) if x is None else x for i, x in enumerate(found)]
-        return np.frombuffer(b"".join(found), self.kind)
+            lead = "" if self.lower else " "
+            found = [self.cut(lead + chunks[i]) if x is None else x for i, x in enumerate(found)]
+        return np.frombuffer(first + b"".join(found), self.kind)
 
 
 @functools.cache
