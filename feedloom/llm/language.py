@@ -9,9 +9,10 @@ language more. The answer is the chosen language of the largest proportion, whic
 is the score.
 
 Fitting counts trigrams over at most TRAIN_DOCS labelled documents per language,
-those with the least hashes of their ids, and at most MAX_LANGUAGES languages, the
-most frequent ones: a table of BUCKETS floats per language goes to every task.
-Prediction reads whole texts where they lie, without a shuffle.
+those with the least hashes of their ids, and learns every language that has one. Up
+to DENSE_LANGUAGES of them a table of BUCKETS floats per language goes to every task;
+with more, eight bytes for each trigram that a language has, and equal words of a
+text are judged once. Prediction reads whole texts where they lie, without a shuffle.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, and so
 is every text if there is nothing to learn from. Equal likelihoods go to the
@@ -35,7 +36,12 @@ from feedloom.operators import scale
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 1_000
-MAX_LANGUAGES = 200
+DENSE_LANGUAGES = 200
+# Languages of which a task counts trigrams at a time.
+HELD_LANGUAGES = 64
+# Cells (words times languages) made at a time where the table is sparse.
+CELLS = 1 << 18
+BROADCAST_IDS = 1_000_000
 SMOOTHING = 0.05
 PENALTY = 2.0
 CHUNK = 1 << 20
@@ -73,12 +79,59 @@ def slices(text: str) -> Iterator[str]:
         yield text[at : at + CHUNK]
 
 
+# Their sum names the trigrams of a word, in any order.
+_NAMES = np.random.default_rng(11).integers(0, 1 << 64, BUCKETS, dtype=np.uint64)
+
+
+@dataclass
+class Sparse:
+    """Log probabilities by bucket: those of the languages that have it, the others' base."""
+
+    base: np.ndarray  # per language
+    starts: np.ndarray  # per bucket, and the end
+    language: np.ndarray
+    above: np.ndarray  # log probability less the base
+
+    def sums(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log likelihood of each word in each language."""
+        sizes = np.diff(np.append(first, len(buckets)))
+        words = np.repeat(np.arange(len(first)), sizes)
+        held = self.starts[buckets + 1] - self.starts[buckets]
+        at = np.repeat(self.starts[buckets] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        cells = np.repeat(words, held) * len(self.base) + self.language[at]
+        out = np.bincount(cells, self.above[at], len(first) * len(self.base)).reshape(len(first), -1)
+        return (out + sizes[:, None] * self.base).astype(np.float32)
+
+
 @dataclass
 class Model:
     """Log probability of each trigram bucket (rows) in each language (columns)."""
 
     languages: list[str]
-    table: np.ndarray
+    table: np.ndarray | Sparse
+
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
+        """``words`` and how often each occurs, null if each is one occurrence."""
+        if not isinstance(self.table, Sparse):
+            return self.words(text), None
+        held: dict[int, list] = {}
+        for part in slices(text):
+            buckets, first = trigrams(part)
+            if not len(first):
+                continue
+            ends = np.append(first[1:], len(buckets))
+            names, at, times = np.unique(np.add.reduceat(_NAMES[buckets], first), return_index=True, return_counts=True)
+            for name, i, n in zip(names.tolist(), at.tolist(), times.tolist()):
+                if name in held:
+                    held[name][1] += n
+                else:
+                    held[name] = [buckets[first[i] : ends[i]].astype(np.int64), n]
+        parts, found, step = list(held.values()), [], max(1, CELLS // len(self.languages))
+        for i in range(0, len(parts), step):
+            own = [x for x, _ in parts[i : i + step]]
+            found.append(self.table.sums(np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])))
+        none = np.zeros((0, len(self.languages)), np.float32)
+        return np.concatenate(found) if found else none, np.array([n for _, n in parts], float)
 
     def words(self, text: str) -> np.ndarray:
         """Log likelihood of each word in each language."""
@@ -91,11 +144,15 @@ class Model:
 
     def mixture(self, text: str | None) -> dict[str, float]:
         """The document's languages and their proportions; empty if unknown."""
-        words = self.words(text or "") if self.languages else np.zeros((0, 0))
+        words, times = self.counted(text or "") if self.languages else (np.zeros((0, 0)), None)
+        return self.chosen(words, times)
+
+    def chosen(self, words: np.ndarray, times: np.ndarray | None) -> dict[str, float]:
         if not len(words):
             return {}
+        count = len(words) if times is None else times.sum()
         likely = np.exp(words - words.max(1, keepdims=True))
-        share = proportions(likely, np.full(likely.shape[1], 1 / likely.shape[1]))
+        share = proportions(likely, np.full(likely.shape[1], 1 / likely.shape[1]), times)
         order = np.argsort(-share, kind="stable")
         tried = order[: max(1, int((share >= LEAST_SHARE).sum()))]
         best, chosen = -np.inf, {}
@@ -103,8 +160,9 @@ class Model:
             members = tried[:n]
             own = share[members] / share[members].sum()
             if n > 1:
-                own = proportions(likely[:, members], own)
-            reached = np.log(np.maximum(likely[:, members] @ own, 1e-300)).sum() - PENALTY * (n - 1) * np.log(len(words) + 1)
+                own = proportions(likely[:, members], own, times)
+            logs = np.log(np.maximum(likely[:, members] @ own, 1e-300))
+            reached = (logs.sum() if times is None else logs @ times) - PENALTY * (n - 1) * np.log(count + 1)
             if reached > best:
                 best, chosen = reached, dict(zip([self.languages[i] for i in members], own.tolist()))
         return chosen
@@ -117,13 +175,15 @@ class Model:
         return language, min(1.0, max(0.0, found[language]))
 
 
-def proportions(likely: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Expectation-maximisation of the shares of the columns of ``likely``."""
+def proportions(likely: np.ndarray, share: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Expectation-maximisation of the shares of the columns of ``likely``, whose
+    rows occur so many times."""
+    enough = min(1e-3, 0.5 / len(share))
     for _ in range(STEPS):
         weighted = likely * share
         weighted /= np.maximum(weighted.sum(1, keepdims=True), 1e-300)
-        new = weighted.mean(0)
-        done = np.abs(new - share).max() < 1e-3
+        new = weighted.mean(0) if times is None else times @ weighted / times.sum()
+        done = np.abs(new - share).max() < enough
         share = new
         if done:
             break
@@ -140,32 +200,54 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     rows = labelled.select(
         F.col(id).cast("string").alias("_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")
     ).where("_text IS NOT NULL AND _lang IS NOT NULL")
-    languages = [
-        r._lang for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
-    ]
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = rows.where(F.col("_lang").isin(languages)).select("_lang", "_id", F.row_number().over(order).alias("_rank"))
-    ids = F.broadcast(ids.where(F.col("_rank") <= per_language).select("_lang", "_id").distinct())
+    ids = rows.select("_lang", "_id", F.row_number().over(order).alias("_rank"))
+    ids = scale.stage(ids.where(F.col("_rank") <= per_language).select("_lang", "_id").distinct())
+    if common.small_rows(ids, BROADCAST_IDS):
+        ids = F.broadcast(ids)
     sample = rows.join(ids, ["_lang", "_id"], "left_semi").select("_lang", "_text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         counts: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[dict[str, list]]:
+            for language, total in counts.items():
+                used = np.flatnonzero(total)
+                yield {"lang": [language] * len(used), "bucket": used, "n": total[used]}
+            counts.clear()
+
         for batch in batches:
             for language, value in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
+                if language not in counts and len(counts) == HELD_LANGUAGES:
+                    yield from told()
                 total = counts.setdefault(language, np.zeros(BUCKETS, np.int64))
                 for part in slices(value):
                     total += np.bincount(trigrams(part)[0], minlength=BUCKETS)
-        for language, total in counts.items():
-            used = np.flatnonzero(total)
-            yield {"lang": [language] * len(used), "bucket": used, "n": total[used]}
+        yield from told()
 
     sums = common.arrow_map(sample, tally, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    told = sums.toPandas()
-    languages = sorted(set(told["lang"]))
+    # A row per language, of at most BUCKETS numbers.
+    told = sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toArrow()
+    told = told.sort_by("lang").combine_chunks()
+    own = [
+        (told["bucket"][k].values.to_numpy(), told["n"][k].values.to_numpy()) for k in range(told.num_rows)
+    ]
+    return tabled(told["lang"].to_pylist(), own)
+
+
+def tabled(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of each language's trigram buckets and their counts."""
+    if len(languages) > DENSE_LANGUAGES:
+        totals = np.array([n.sum() for _, n in counts]) + SMOOTHING * BUCKETS
+        buckets = np.concatenate([b for b, _ in counts])
+        order = np.argsort(buckets, kind="stable")
+        language = np.repeat(np.arange(len(counts), dtype=np.int32), [len(b) for b, _ in counts])[order]
+        above = np.concatenate([np.log1p(n / SMOOTHING).astype(np.float32) for _, n in counts])[order]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(buckets, minlength=BUCKETS))])
+        return Model(languages, Sparse(np.log(SMOOTHING / totals), starts, language, above))
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
-    for k, language in enumerate(languages):
-        own = told[told["lang"] == language]
-        table[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
+    for k, (bucket, n) in enumerate(counts):
+        table[bucket, k] += n
     table = np.log(table / table.sum(0)) if languages else table
     return Model(languages, table.astype(np.float32))
 

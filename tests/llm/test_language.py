@@ -64,3 +64,27 @@ def test_proportions_maximise_the_likelihood():
     share = language.proportions(likely, np.array([0.5, 0.5]))
     grid = [np.log(likely @ np.array([p, 1 - p])).sum() for p in np.linspace(0, 1, 1001)]
     assert np.log(likely @ share).sum() > max(grid) - 1e-3
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(260)]
+    own = {x: " ".join("".join(chr(0x4E00 + 40 * i + (7 * w + 3 * c) % 40) for c in range(3)) for w in range(12)) for i, x in enumerate(names)}
+    data = [(i, own[x], x, 0) for i, x in enumerate(names)] + [(1000 + i, own[x] + " ", x, 0) for i, x in enumerate(names[:200])]
+    model = language.fit(spark.createDataFrame(data, SCHEMA))
+    assert model.languages == names
+    assert [model.predict(own[x])[0] for x in names] == names
+    both = model.mixture(own["l003"] * 3 + " " + own["l255"])
+    assert set(both) == {"l003", "l255"} and both["l003"] > 0.5
+
+
+def test_sparse_and_dense_tables_agree(model, monkeypatch):
+    counts = []
+    for text in (EN * 3, FR * 3):
+        bucket, n = np.unique(language.trigrams(text)[0], return_counts=True)
+        counts.append((bucket, n))
+    dense = language.tabled(["en", "fr"], counts)
+    monkeypatch.setattr(language, "DENSE_LANGUAGES", 1)
+    sparse = language.tabled(["en", "fr"], counts)
+    for text in (EN, FR, EN * 3 + FR, "x", "unseen words ß", "", None):
+        one, two = dense.mixture(text), sparse.mixture(text)
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-4 for k in one)
