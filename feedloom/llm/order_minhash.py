@@ -3,8 +3,10 @@
 The shingles of a text are its runs of SHINGLE words (a shorter text is one
 shingle), each labelled with its occurrence number. A sketch takes the PICKED
 labelled shingles of least hash and keeps them in text order; there are SKETCHES
-of them, of different hashes. Two texts are candidates if any sketch agrees. They
-are linked if aligning their shingle sequences matches a share of at least
+of them, of different hashes. Two texts are candidates if any sketch agrees. Of a
+pair whose shorter text has at most FEW shingles none is left to chance: similar
+texts share one of the first labelled shingles of each, the rarest first, as many as
+may be unmatched and one more; these are buckets too. Candidates are linked if aligning their shingle sequences matches a share of at least
 SIMILARITY: matched / (all of both - matched), the Jaccard similarity of sequences.
 At that share at most 1/9 of all shingles are unmatched, which bounds the band of
 the alignment.
@@ -14,8 +16,7 @@ the members are first compared with one leader, the same for as many buckets as
 possible; then components are found, and only pairs of one bucket that are still
 in different components are compared, each once. So every candidate pair is
 compared or already joined, and a bucket of n near copies costs n comparisons.
-Pairs whose sizes or number of agreeing sketches rule the similarity out are not
-aligned.
+Only pairs whose sizes rule the similarity out are not aligned.
 
 Edge cases: words are runs of letters, digits and underscores, lower-cased. Texts
 without words (null, empty) are linked to nothing. Repeated rows are copies; a
@@ -42,8 +43,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 PICKED = 4
-# Of 24 sketches, texts of similarity 0.8 agree in ten on average.
-LEAST_AGREEING = 2
+# Shingles up to which a text finds all its near copies.
+FEW = 32
 CACHE_WORDS = 500_000
 # Matches per element up to which an alignment walks all of them.
 MOST_MATCHES = 20
@@ -105,6 +106,12 @@ def sketches(shingles: np.ndarray) -> list[int]:
     return out
 
 
+def missed(n: int, m: int, shared: int) -> float:
+    """Probability that texts of n and m shingles, more than FEW, share no sketch."""
+    agree = np.prod([(shared - i) / (n + m - shared - i) for i in range(PICKED)])
+    return float((1 - agree) ** SKETCHES)
+
+
 def matched(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences if it is at least ``least``, else 0.
 
@@ -176,27 +183,45 @@ def _along_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """_id, _key (of the text), _words (of its words, null if none), n, sketches."""
+def sketched(docs: DataFrame, id: str, text: str, few: int) -> DataFrame:
+    """_id, _key (of the text), _words (of its words, null if none), n, sketches,
+    marks (labelled shingles, of texts with at most ``few``)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         shingles = Shingles()
         for batch in batches:
             for part in common.sliced(batch):
-                names, sizes, found = [], [], []
+                names, sizes, found, marks = [], [], [], []
                 for value in part.column("_text"):
                     words = shingles.words(value.as_py() or "")
                     names.append(xxhash.xxh128_digest(words.tobytes()) if len(words) else None)
                     own = shingles(words)
                     sizes.append(len(own))
                     found.append(sketches(own) if len(own) else None)
+                    marks.append(labelled(own).view(np.int64) if 0 < len(own) <= few else None)
                 yield {
                     "_id": part.column("_id"), "_key": part.column("_key"),
-                    "_words": names, "n": sizes, "sketches": found,
+                    "_words": names, "n": sizes, "sketches": found, "marks": marks,
                 }
 
     rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"), common.text_key(F.col(text)).alias("_key"))
-    return common.arrow_map(rows, sketch, "_id bigint, _key bigint, _words binary, n int, sketches array<bigint>")
+    return common.arrow_map(rows, sketch, "_id bigint, _key bigint, _words binary, n int, sketches array<bigint>, marks array<bigint>")
+
+
+def first_marks(different: DataFrame, similarity: float) -> DataFrame:
+    """(_node, _bucket): the rarest labelled shingles of each text that has marks.
+
+    Of n shingles at most n - similarity * n stay unmatched, so of similar texts,
+    both in the order of rarity, the first ones by one more than that have one in
+    common: the first of all that both share.
+    """
+    own = different.where("marks IS NOT NULL").select("_node", "n", F.explode("marks").alias("_mark"))
+    times = own.groupBy("_mark").agg(F.count("*").alias("_n")).where("_n > 1")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(1)).alias("_n"), "_mark")))
+    size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    ordered = own.join(times, "_mark", "left").groupBy("_node", "n").agg(order.alias("_marks"))
+    kept = ordered.select("_node", F.explode(F.slice("_marks", F.lit(1), F.least(size, "n"))).alias("_first"))
+    return kept.where("_first._n > 1").select("_node", F.xxhash64(F.lit("mark"), "_first._mark").alias("_bucket"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -259,27 +284,26 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row per document: id, _key (of its text), class_id (least id of its
     class), _first (whether it is the one of its class that stays)."""
-    rows = scale.stage(sketched(docs, id, text))
+    rows = scale.stage(sketched(docs, id, text, int(FEW / similarity + 1e-9)))
     different = rows.where("_words IS NOT NULL").groupBy("_words").agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("_at"),
-        F.first("n").alias("n"), F.first("sketches").alias("sketches"),
+        F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("marks").alias("marks"),
     )
     # Each different text gets a number, fixed by writing it.
     different = scale.stage(
-        different.select(F.monotonically_increasing_id().alias("_node"), "_words", "_at._id", "_at._key", "n", "sketches")
+        different.select(F.monotonically_increasing_id().alias("_node"), "_words", "_at._id", "_at._key", "n", "sketches", "marks")
     )
-    members = different.select("_node", F.explode("sketches").alias("_bucket"))
+    members = different.select("_node", F.explode("sketches").alias("_bucket")).union(first_marks(different, similarity))
     # The member of the least number leads, so the buckets of near copies tend to agree on it.
     leaders = members.groupBy("_bucket").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_last"))
     leaders = leaders.where("_lead <> _last").select("_bucket", "_lead")
     shared = scale.stage(members.join(leaders, "_bucket"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs that their sizes and agreeing sketches do not rule out."""
-        a, b = (different.select(F.col("_node").alias(x), F.col("n").alias("n" + x), F.col("sketches").alias("s" + x)) for x in ("_a", "_b"))
-        agreeing = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
+        """Pairs that their sizes do not rule out."""
+        a, b = (different.select(F.col("_node").alias(x), F.col("n").alias("n" + x)) for x in ("_a", "_b"))
         sizes = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
-        return scale.stage(pairs.join(a, "_a").join(b, "_b").where(sizes & (agreeing >= LEAST_AGREEING)).select("_a", "_b"))
+        return scale.stage(pairs.join(a, "_a").join(b, "_b").where(sizes).select("_a", "_b"))
 
     starred = likely(shared.where("_node <> _lead").select(F.col("_node").alias("_a"), F.col("_lead").alias("_b")).distinct())
 

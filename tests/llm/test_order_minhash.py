@@ -103,3 +103,28 @@ def test_classes_equal_brute_force(spark):
     got = queries.QUERIES["op6_minhash_dedup"](spark, SF_DIR).collect()
     assert {r.doc_id: r.class_id for r in got} == {k: find(k) for k in keys}
     assert len({find(k) for k in keys}) < len(keys)
+
+
+def test_short_pairs_at_the_bound_are_all_found(spark):
+    rows = []
+    for i in range(300):
+        own = words(9, 1000 + i)  # 4 shingles of 5, then 8 of 10 in a row of 14 words
+        rows += [(4 * i, " ".join(own[:8])), (4 * i + 1, " ".join(own))]
+        longer = words(14, 5000 + i)
+        rows += [(4 * i + 2, " ".join(longer[:12])), (4 * i + 3, " ".join(longer))]
+    got, _ = classes(spark, rows)
+    assert [k for k, v in got.items() if v != k - k % 2] == []
+
+
+def test_one_agreeing_sketch_is_enough(spark):
+    rows, k = [], 0
+    while len(rows) < 6:  # texts of a similarity of 0.5 or more that agree in one sketch only
+        base, k = words(120, 9000 + k), k + 1
+        other = [f"y{i}" if i % 17 == 9 else w for i, w in enumerate(base)]
+        shingles = om.Shingles()
+        a, b = (shingles(shingles.words(" ".join(w))) for w in (base, other))
+        if om.matched(a, b, 0.5) and sum(x == y for x, y in zip(om.sketches(a), om.sketches(b))) == 1:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
+    got = om.near_duplicates(docs, similarity=0.5).collect()
+    assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
