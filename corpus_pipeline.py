@@ -26,10 +26,11 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with too little of any, go."""
-    model = language.learned(docs.select("doc_id", "text", "lang"))
-    told = language.identify(docs, model, out=("_language", "_share"))
-    return told.where((F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents without a language, with too little of any, or too unlikely in theirs, go."""
+    model = language.learned(docs.select("doc_id", "text", "lang"), judging=True)
+    told = language.identify(docs, model, out=("_language", "_share", "_plausible"))
+    stays = (F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE) & F.col("_plausible")
+    return told.where(stays).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

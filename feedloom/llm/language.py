@@ -14,6 +14,11 @@ to DENSE_LANGUAGES of them a table of BUCKETS floats per language goes to every
 with more, eight bytes for each trigram that a language has, and equal words of a
 text are judged once. Prediction reads whole texts where they lie, without a shuffle.
 
+``judged`` also learns how likely a language's own documents are: the mean of their
+log likelihoods per trigram, each without its own counts, and how it spreads between
+documents and between words. A text is implausible if its log likelihood under its
+mixture is more than SPREADS of these below, as in a language that was not learned.
+
 Edge cases: a text that is null or has no letter is ``und`` with score 0, and so
 is every text if there is nothing to learn from. Equal likelihoods go to the
 language that sorts first. Texts are worked through in slices of CHUNK characters,
@@ -48,6 +53,8 @@ CHUNK = 1 << 20
 STEPS = 50
 # Languages with less of a document are not tried as members of its set.
 LEAST_SHARE = 0.01
+# Deviations below the usual likelihood at which a text is in none of its languages.
+SPREADS = 10.0
 UNKNOWN = "und"
 
 
@@ -109,6 +116,20 @@ class Model:
 
     languages: list[str]
     table: np.ndarray | Sparse
+    # Per language: mean log likelihood a trigram, deviation between documents (per
+    # trigram) and between words (per word); null if it was not asked for.
+    usual: np.ndarray | None = None
+    # Trigrams counted per language, with the smoothing of all buckets.
+    totals: np.ndarray | None = None
+
+    def column(self, k: int) -> np.ndarray:
+        """Log probability of each bucket in one language."""
+        if not isinstance(self.table, Sparse):
+            return self.table[:, k].astype(float)
+        own = self.table.language == k
+        out = np.full(BUCKETS, self.table.base[k])
+        out[np.repeat(np.arange(BUCKETS), np.diff(self.table.starts))[own]] += self.table.above[own]
+        return out
 
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
         """``words`` and how often each occurs, null if each is one occurrence."""
@@ -167,6 +188,26 @@ class Model:
                 best, chosen = reached, dict(zip([self.languages[i] for i in members], own.tolist()))
         return chosen
 
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language and score, and whether the text is as likely as those learned."""
+        words, times = self.counted(text or "") if self.languages else (np.zeros((0, 0)), None)
+        found = self.chosen(words, times)
+        if not found:
+            return UNKNOWN, 0.0, False
+        members, share = [self.languages.index(x) for x in found], np.array(list(found.values()))
+        own = words[:, members].astype(float)
+        most = own.max(1)
+        logs = most + np.log(np.maximum(np.exp(own - most[:, None]) @ share, 1e-300))
+        n = len(words) if times is None else float(times.sum())
+        reached = logs.sum() if times is None else float(logs @ times)
+        size = sum(len(trigrams(part)[0]) for part in slices(text))
+        mean, between, within = share @ self.usual[members]
+        # Not knowing the language of each word costs up to the entropy of the shares.
+        mixed = -n * float((share * np.log(np.maximum(share, 1e-300))).sum())
+        plausible = reached >= mean * size - mixed - SPREADS * (between * size + within * np.sqrt(n))
+        language = max(found, key=found.get)
+        return language, min(1.0, max(0.0, found[language])), bool(plausible)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.mixture(text)
         if not found:
@@ -197,6 +238,11 @@ def held_out(id: Column, parts: int = 5) -> Column:
 
 def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
     """Learn from the labelled rows: text and language not null."""
+    return counts_of(sampled(labelled, id, text, lang, per_language))
+
+
+def sampled(labelled: DataFrame, id: str, text: str, lang: str, per_language: int) -> DataFrame:
+    """_lang, _text of the documents to learn from."""
     rows = labelled.select(
         F.col(id).cast("string").alias("_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")
     ).where("_text IS NOT NULL AND _lang IS NOT NULL")
@@ -205,7 +251,11 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     ids = scale.stage(ids.where(F.col("_rank") <= per_language).select("_lang", "_id").distinct())
     if common.small_rows(ids, BROADCAST_IDS):
         ids = F.broadcast(ids)
-    sample = rows.join(ids, ["_lang", "_id"], "left_semi").select("_lang", "_text")
+    return rows.join(ids, ["_lang", "_id"], "left_semi").select("_lang", "_text")
+
+
+def counts_of(sample: DataFrame) -> Model:
+    """The model of the sample's trigrams."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         counts: dict[str, np.ndarray] = {}
@@ -237,37 +287,87 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
 def tabled(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model of each language's trigram buckets and their counts."""
+    totals = np.array([n.sum() for _, n in counts]) + SMOOTHING * BUCKETS
     if len(languages) > DENSE_LANGUAGES:
-        totals = np.array([n.sum() for _, n in counts]) + SMOOTHING * BUCKETS
         buckets = np.concatenate([b for b, _ in counts])
         order = np.argsort(buckets, kind="stable")
         language = np.repeat(np.arange(len(counts), dtype=np.int32), [len(b) for b, _ in counts])[order]
         above = np.concatenate([np.log1p(n / SMOOTHING).astype(np.float32) for _, n in counts])[order]
         starts = np.concatenate([[0], np.cumsum(np.bincount(buckets, minlength=BUCKETS))])
-        return Model(languages, Sparse(np.log(SMOOTHING / totals), starts, language, above))
+        return Model(languages, Sparse(np.log(SMOOTHING / totals), starts, language, above), totals=totals)
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     for k, (bucket, n) in enumerate(counts):
         table[bucket, k] += n
     table = np.log(table / table.sum(0)) if languages else table
-    return Model(languages, table.astype(np.float32))
+    return Model(languages, table.astype(np.float32), totals=totals)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default) and the language and score of each text."""
+def judged(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
+    """A model that also knows how likely its languages' documents usually are."""
+    sample = sampled(labelled, id, text, lang, per_language)
+    model = counts_of(sample)
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        place = {x: k for k, x in enumerate(sent.value.languages)}
+        columns: dict[int, tuple[np.ndarray, float]] = {}
+        for batch in batches:
+            out: dict[str, list] = {"lang": [], "mean": [], "within": []}
+            for language, value in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
+                if language not in place:
+                    continue
+                k = place[language]
+                if k not in columns:
+                    if len(columns) == HELD_LANGUAGES:
+                        columns.clear()
+                    total = float(sent.value.totals[k])
+                    columns[k] = np.exp(sent.value.column(k)) * total, total
+                held, total = columns[k]
+                parts = [trigrams(part) for part in slices(value)]
+                own = sum(np.bincount(b, minlength=BUCKETS) for b, _ in parts)
+                size = sum(len(b) for b, _ in parts)
+                if not size:
+                    continue
+                left = np.log(np.maximum(held - own, SMOOTHING) / max(total - size, SMOOTHING * BUCKETS))
+                words = np.concatenate([np.add.reduceat(left[b], f) for b, f in parts if len(f)])
+                sizes = np.concatenate([np.diff(np.append(f, len(b))) for b, f in parts if len(f)])
+                mean = words.sum() / size
+                out["lang"].append(language)
+                out["mean"].append(float(mean))
+                out["within"].append(float(np.sqrt(((words - mean * sizes) ** 2).mean())))
+            yield out
+
+    made = common.arrow_map(sample, measure, "lang string, mean double, within double").groupBy("lang").agg(
+        F.percentile("mean", F.lit(0.5)).alias("mean"),
+        # Of a normal spread 16 % lie more than one deviation below; a few odd documents do not matter.
+        (F.percentile("mean", F.lit(0.5)) - F.percentile("mean", F.lit(0.16))).alias("between"),
+        F.percentile("within", F.lit(0.5)).alias("within"),
+    )
+    told = {r["lang"]: (r["mean"], r["between"], r["within"]) for r in made.toArrow().to_pylist()}
+    # Of a language without any letter nothing is usual.
+    model.usual = np.array([told.get(x, (-np.inf, 0.0, 0.0)) for x in model.languages]).reshape(-1, 3)
+    return model
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, ...] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (all by default) and the language and score of each text,
+    and whether it is plausible if ``out`` names a third column; see ``judged``."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("_read_text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        ask = sent.value.judge if len(out) > 2 else sent.value.predict
         for batch in batches:
             for part in common.sliced(batch):
-                found = [sent.value.predict(x.as_py()) for x in part.column("_read_text")]
+                found = [ask(x.as_py()) for x in part.column("_read_text")]
                 yield {c: part.column(c) for c in keep} | dict(zip(out, map(list, zip(*found))))
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return common.arrow_map(rows, predict, ", ".join([*kept, f"`{out[0]}` string", f"`{out[1]}` double"]))
+    return common.arrow_map(rows, predict, ", ".join([*kept, *(f"`{c}` {t}" for c, t in zip(out, ("string", "double", "boolean")))]))
 
 
-def learned(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model of the documents that are not held out."""
-    return fit(docs.where(F.col(id).isNotNull() & ~held_out(F.col(id))), id, text, lang)
+def learned(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", judging: bool = False) -> Model:
+    """A model of the documents that are not held out, with ``judging`` one that
+    tells implausible texts."""
+    return (judged if judging else fit)(docs.where(F.col(id).isNotNull() & ~held_out(F.col(id))), id, text, lang)

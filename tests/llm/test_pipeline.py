@@ -97,6 +97,17 @@ def test_run_gives_the_last_stage(spark):
     assert got.columns[:2] == ["doc_id", "start"] and got.count() > 0
 
 
+def test_implausible_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(*COLUMNS)
+    own = random.Random(5)
+    junk = " ".join("".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=own.randrange(3, 10))) for _ in range(60))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    greek = "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα"
+    more = spark.createDataFrame([(-k, t, None, "s", len(t)) for k, t in enumerate([junk, finnish, greek], 1)], SCHEMA)
+    left = {r.doc_id for r in cp.language_id(spark, docs.union(more.select(docs.columns)), SF_DIR).collect()}
+    assert left == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+
+
 @pytest.mark.parametrize("stage", cp.STAGES, ids=lambda s: s[0])
 def test_no_documents(spark, stage):
     assert stage[1](spark, spark.createDataFrame([], SCHEMA), SF_DIR).count() == 0
