@@ -112,7 +112,8 @@ class Block:
     def nearest(self, own: int, query: np.ndarray, limit: float) -> list[tuple[float, int]]:
         """The k nearest found: (distance, id), nearest first, ties by id."""
         q, tree, enough = query @ self.directions, self.tree, self.k + 1
-        best: list[tuple[float, int]] = []  # negated, the farthest first
+        # Distance and least id, negated, the farthest first; then the point.
+        best: list[tuple[float, int, int]] = []
         waiting = [(tree.distance(0, q), 0)]
         while waiting:
             away, node = heapq.heappop(waiting)
@@ -129,11 +130,14 @@ class Block:
                 points = points[((self.projected[points] - q) ** 2).sum(1) <= limit * reach]
             squares = ((self.vectors[points] - query) ** 2).sum(1)
             for square, point in zip(squares.tolist(), points.tolist()):
+                if len(best) == enough and square > -best[0][0]:
+                    continue
+                entry = (-square, -next((int(i) for i in self.ids[point] if i != own), own), point)
                 if len(best) < enough:
-                    heapq.heappush(best, (-square, point))
-                elif square < -best[0][0]:
-                    heapq.heapreplace(best, (-square, point))
-        found = [(math.sqrt(-s), int(i)) for s, point in best for i in self.ids[point] if i != own]
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
+        found = [(math.sqrt(-s), int(i)) for s, _, point in best for i in self.ids[point] if i != own]
         return sorted(found)[: self.k]
 
 

@@ -73,3 +73,12 @@ def test_vectors_that_take_no_part(spark):
 
 def test_no_vectors(spark):
     assert search(spark, [], "vec_id = 0") == {}
+
+
+def test_different_vectors_at_one_distance_go_by_id():
+    base = np.full(40, 5.0)
+    around = np.concatenate([np.eye(40), -np.eye(40)]) + base
+    ids = np.random.default_rng(3).permutation(80) + 1
+    block = pa.Block(np.append(ids, 1000), np.vstack([around, base]), 10)
+    assert [i for _, i in block.nearest(1000, base, 1e9)] == list(range(1, 11))
+    assert [i for _, i in block.nearest(4, base, 1e9)] == [1000, 1, 2, 3, 5, 6, 7, 8, 9, 10]
