@@ -247,7 +247,12 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
 
 
 def archived(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back."""
+    """Write the pages to archives in the shared folder and read them back.
+
+    Fails if a payload does not have the digest it was written with.
+    """
     path = scale.new_path(pages.sparkSession, "warc")
     write_archives(pages, path, id, url, payload, min_bytes)
-    return read_archives(pages.sparkSession, path)
+    read = read_archives(pages.sparkSession, path)
+    message = F.concat(F.lit("a payload was damaged: record "), F.coalesce(F.col("record_id").cast("string"), F.lit("without id")))
+    return read.where(F.when(F.coalesce("digest_ok", F.lit(True)), True).otherwise(F.raise_error(message).cast("boolean")))

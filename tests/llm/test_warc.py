@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 
 import oracle
 import pytest
@@ -51,6 +52,20 @@ def test_payloads_come_back(spark):
     assert [bytes(r.payload) for r in warc.read_archives(spark, path, keep_payload=True).collect()] == [b"x\r\n\r\ny"]
 
 
+def test_damage_fails_the_query(spark, monkeypatch):
+    def damaged(pages, path, *_):
+        folder = path.removeprefix("file:")
+        os.makedirs(folder)
+        data = warc.record(1, "u", b"abc" * 1000, hashlib.sha1(b"abc" * 1000).digest(), None)
+        with open(f"{folder}/part.txt", "wb") as file:
+            file.write(warc.member(data.replace(b"abcabc", b"abcabd", 1)))
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="a payload was damaged: record 1"):
+        warc.archived(pages).select("record_id").collect()
+
+
 def test_damage_is_seen():
     data = warc.record(1, "u", b"abc" * 1000, hashlib.sha1(b"abc" * 1000).digest(), None)
     assert [r["digest_ok"] for r in warc.records(memoryview(warc.member(data)))] == [True]
