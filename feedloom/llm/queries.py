@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
+from feedloom.llm import chat, conversation_repair, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
 from feedloom.llm.common import read_table
 from feedloom.operators import scale
 
@@ -186,3 +186,102 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 200 that repeat."""
     return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def _sql_least(*states: str) -> str:
+    """The least (cost, audit, turns) of some states."""
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+def _sql_edit(state: str, cost: str, letter: str, turn: str | None = None) -> str:
+    said = f"{state}.said || [{turn}]" if turn else f"{state}.said"
+    return f"{{cost: {state}.cost + {cost}, audit: {state}.audit || '{letter}', said: {said}}}"
+
+
+def _sql_made(start: str, system: str, user: str, assistant: str) -> str:
+    """States after turns may have been made up: columns st, sy, us, an."""
+    users = [_sql_edit(x, "5", "I", "'user:'") for x in (start, system, assistant)]
+    us = _sql_least(user, *users)
+    return f"{start} AS st, {system} AS sy, {us} AS us, {_sql_least(assistant, _sql_edit(us, '5', 'I', chr(39) + 'assistant:' + chr(39)))} AS an"
+
+
+_SQL_NEVER = "{cost: 1000000000::BIGINT, audit: '', said: []::VARCHAR[]}"
+
+
+def _sql_step() -> dict[str, str]:
+    """States after one row, by what the output ends with."""
+
+    def stays(initial: str, state: str) -> str:
+        edit = _sql_edit(state, "more", "K", "role || ':' || text")
+        return f"CASE WHEN may AND initial = '{initial}' THEN {edit} ELSE {_SQL_NEVER} END"
+
+    def retold(name: str, state: str) -> str:
+        edit = _sql_edit(state, "more + 1", "R", f"'{name}:' || text")
+        return f"CASE WHEN may THEN {edit} ELSE {_SQL_NEVER} END"
+
+    gone = {x: _sql_edit(x, "2", "D") for x in ("st", "sy", "us", "an")}
+    before_user = ("st", "sy", "an")
+    return {
+        "st": gone["st"],
+        "sy": _sql_least(gone["sy"], stays("s", "st")),
+        "us": _sql_least(gone["us"], *[stays("u", x) for x in before_user], *[retold("user", x) for x in before_user]),
+        "an": _sql_least(gone["an"], stays("a", "us"), retold("assistant", "us")),
+    }
+
+
+@query(f"""
+WITH RECURSIVE place AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations
+),
+-- The checksum of the place, byte by byte and bit by bit.
+fate AS (
+    SELECT * EXCLUDE place, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(place)), lambda i: ascii(place[i + 1])::BIGINT)),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) % 20 AS fate
+    FROM place
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM fate WHERE fate <> 0
+),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nth,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS told,
+           regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+    FROM damaged
+),
+judged AS (
+    SELECT conv_id, turn, role, text, nth, role[1] AS initial,
+           CASE WHEN last = '' THEN 'blank' WHEN told > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           fault NOT IN ('blank', 'duplicate') AS may, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more
+    FROM ordered
+),
+faulty AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+    FROM judged GROUP BY conv_id
+),
+broken AS (
+    SELECT conv_id, count(*) FILTER (former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT conv_id, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY nth) AS former FROM judged) GROUP BY conv_id
+),
+search AS (
+    SELECT conv_id, 0::BIGINT AS nth, {_sql_made("{cost: 0::BIGINT, audit: '', said: []::VARCHAR[]}", _SQL_NEVER, _SQL_NEVER, _SQL_NEVER)}
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, nth, {_sql_made("st", "sy", "us", "an")} FROM (
+        SELECT s.conv_id, j.nth, {", ".join(f"{sql} AS {x}" for x, sql in _sql_step().items())}
+        FROM search s JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.nth = s.nth + 1
+    )
+),
+ended AS (SELECT conv_id, arg_max({_sql_least("st", "an")}, nth) AS best FROM search GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit,
+       sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN faulty c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN broken b ON e.conv_id IS NOT DISTINCT FROM b.conv_id""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by a hash of each turn's place, and repaired."""
+    told = conversation_repair.repaired(conversation_repair.damaged(read_table(spark, sf_dir, "conversations")), dropped="dropped")
+    return told.withColumn("repaired_sha256", conversation_repair.digest(F.col("turns"))).drop("turns")
