@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, conversation_repair, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
+from feedloom.llm import blob_ledger, chat, conversation_repair, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
 from feedloom.llm.common import read_table
 from feedloom.operators import scale
 
@@ -285,3 +285,43 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations damaged by a hash of each turn's place, and repaired."""
     told = conversation_repair.repaired(conversation_repair.damaged(read_table(spark, sf_dir, "conversations")), dropped="dropped")
     return told.withColumn("repaired_sha256", conversation_repair.digest(F.col("turns"))).drop("turns")
+
+
+def _sql_found(rule: blob_ledger.Rule, nth: int) -> str:
+    """Matches of a rule with their places: what lies between them is measured."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, no, {nth} AS nth, '{rule.name}' AS kind, found, measured,
+        list_sum([length(x) for x in gaps[1:i]])::BIGINT + coalesce(list_sum([length(x) for x in all_found[1:i - 1]])::BIGINT, 0) AS start
+    FROM (SELECT *, unnest(all_found) AS found, unnest(all_measured) AS measured, unnest(range(1, len(all_found) + 1)) AS i FROM (
+        SELECT doc_id, no, regexp_extract_all(text, '{pattern}') AS all_found, regexp_extract_all(text, '{pattern}', {rule.measured}) AS all_measured,
+               regexp_split_to_array(text, '{pattern}') AS gaps FROM said))
+    WHERE length(measured) >= {rule.least}"""
+
+
+def _sql_listed(which: str) -> str:
+    return f"coalesce(string_agg(kind || ':' || start || ':' || start + length(found), ',' ORDER BY start, nth) FILTER ({which}), '')"
+
+
+@query(f"""
+WITH said AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS no FROM documents),
+found AS ({" UNION ALL ".join(_sql_found(r, n) for n, r in enumerate(blob_ledger.RULES))}),
+told AS (
+    SELECT no, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex,
+           {_sql_listed("nth < 3")} AS base, {_sql_listed("true")} AS spans
+    FROM found GROUP BY no
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM said LEFT JOIN told USING (no)""")
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: each distinct text scanned once, for all rules."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = scale.new_path(spark, "ledger")
+    blob_ledger.scan(docs, ledger, "text")
+    told = blob_ledger.report(docs, ledger, "text")
+    found = F.col("findings")
+    return told.select(
+        "doc_id", *[blob_ledger.counted(found, r.name).alias(f"n_{r.name}") for r in blob_ledger.BASE],
+        F.sha2(blob_ledger.listed(found, [r.name for r in blob_ledger.BASE]), 256).alias("base_sha256"),
+        blob_ledger.listed(found).alias("spans"),
+    )
