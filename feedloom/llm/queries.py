@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import blob_ledger, chat, conversation_repair, decontamination, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
+from feedloom.llm import blob_ledger, chat, conversation_repair, decontamination, divergence, huffman, language, line_dedup, order_minhash, packing, projection_ann, suffix_dedup, warc
 from feedloom.llm.common import read_table
 from feedloom.operators import scale
 
@@ -325,3 +325,42 @@ def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(blob_ledger.listed(found, [r.name for r in blob_ledger.BASE]), 256).alias("base_sha256"),
         blob_ledger.listed(found).alias("spans"),
     )
+
+
+_SQL_SHARE = "(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v))::BIGINT"
+
+
+@query(f"""
+WITH said AS (
+    SELECT row_number() OVER () AS no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+used AS (SELECT no, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM said),
+kept AS (SELECT lang, term FROM used GROUP BY lang, term HAVING count(DISTINCT no) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS c FROM used JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+told AS (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0)::HUGEINT AS n
+    FROM (SELECT DISTINCT lang, source FROM said) LEFT JOIN terms USING (lang) LEFT JOIN sums USING (lang, source)
+),
+p AS (
+    SELECT told.lang, told.source, term, coalesce(c, 0) AS c, {_SQL_SHARE} AS p
+    FROM told JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+q AS (
+    SELECT lang, term, {_SQL_SHARE} AS q FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL)
+    JOIN (SELECT lang, any_value(v) AS v, sum(n) AS n FROM told GROUP BY lang) USING (lang)
+),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM told a JOIN told b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pair UNION ALL FROM term)
+) WHERE part = 'pair' OR rank <= 50""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language compared in pairs, and their own terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
