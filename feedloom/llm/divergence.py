@@ -1,16 +1,16 @@
 """How far the sources of a language diverge in the words they use.
 
 Chunk factorization. A task counts the white-space chunks of its documents; per
-(language, source) it hands on, for each different chunk, in how many documents it
-occurs, how often, and, of rare ones, in which. Each globally distinct chunk is
-cut into terms once, and the terms are joined back to the counts.
+language it hands on each different chunk with the number of documents that hold
+it and its occurrences in each source. Each globally distinct chunk is cut into
+terms once, and the terms are joined back to the counts.
 
 Occurrences of a term are the sums over its chunks. A document may hold a term in
 several chunks, so documents do not add up; but they lie between those of the most
 frequent chunk and the sum of all. Where both are on one side of the bound, that
-decides; the distinct documents are counted for the terms between, from the lists
-of rare chunks (a chunk of more documents than the bound decides by itself). So
-the result is that of counting distinct documents of every term.
+decides. For the terms between, a second pass takes from each document only the
+chunks of such terms, and their distinct documents are counted. So the result is
+that of counting distinct documents of every term.
 
 Then every group of a language, and the language, gives each kept term a share in
 parts per thousand million. Term by term, shares are compared to the language's.
@@ -44,73 +44,94 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 PARTS, ADDED = 1_000_000_000, 5
 LEAST_DOCS = 30
 
-# Different chunks that a task holds before it hands them on.
-HELD_CHUNKS, BATCH_CHUNKS = 400_000, 20_000
+# Counts of different chunks that a task holds before it hands them on.
+HELD_COUNTS, BATCH_CHUNKS = 1_000_000, 20_000
 # Sources and terms compared at once: two tiles of 4 MB.
 TILE, BLOCK_TERMS = 64, 8192
 BROADCAST_ROWS = 1_000_000
 
-COUNTS = "lang string, source string, chunk string, docs bigint, occurrences bigint, ids array<bigint>"
+COUNTS = "lang string, chunk string, docs bigint, sources array<string>, counts array<bigint>"
 
 
-class Chunks:
-    """Counts of the chunks of some documents of one (language, source)."""
+def _read(docs: DataFrame) -> DataFrame:
+    empty = F.lit("")
+    return docs.select(
+        F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"),
+        F.coalesce("text", empty).cast("binary").alias("text"),
+    )
 
-    def __init__(self, bound: int):
-        self.bound, self.docs, self.occurrences, self.ids = bound, Counter(), Counter(), {}
 
-    def add(self, doc: int, text: bytes) -> None:
-        chunks = text.split()
-        different = set(chunks)
-        self.occurrences.update(chunks)
-        self.docs.update(different)
-        ids = self.ids
-        for chunk in different:
-            held = ids.get(chunk)
-            if held is None:
-                ids[chunk] = [doc]
-            elif len(held) < self.bound:
-                held.append(doc)
+def _table(held: Counter, by_source: dict[str, Counter], target: pa.Schema, lang: str) -> pa.RecordBatch:
+    """Chunks of a language with their counts per source, and an empty chunk with all sources."""
+    place = {chunk: n for n, chunk in enumerate(held)}
+    at = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()]
+    source = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()])
+    at = np.concatenate(at)
+    order = np.argsort(at, kind="stable")
+    every = np.arange(len(by_source))
+    ends = np.cumsum([0, *np.bincount(at, minlength=len(held)), len(every)]).astype(np.int32)
+    sources = pa.array(by_source).take(pa.array(np.concatenate([source[order], every])))
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (sources, pa.array(np.concatenate([counts[order], 0 * every])))]
+    chunks = pa.array([*held, b""], pa.binary())
+    made = [pa.array([lang] * len(chunks)), chunks, pa.array([*held.values(), 0], pa.int64()), *lists]
+    return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target)], schema=target)
 
 
-def chunk_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """Per task, (lang, source) and chunk: documents, occurrences and, if the
-    documents are fewer than the bound, their ids. An empty chunk marks a group."""
-    empty = F.lit("")
-    rows = docs.select(
-        F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"),
-        F.coalesce("text", empty).cast("binary").alias("text"), F.monotonically_increasing_id().alias("id"),
-    )
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """Per task, language and chunk: documents, and the occurrences in each source."""
+    target = common.pa_schema(docs.sparkSession, COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        groups: dict[tuple[str, str], Chunks] = {}
-        names = ["lang", "source", "chunk", "docs", "occurrences", "ids"]
+        docs: dict[str, Counter] = {}
+        occurrences: dict[str, dict[str, Counter]] = {}
 
         def made() -> Iterator[dict[str, list]]:
-            out = {name: [] for name in names}
-            for (lang, source), held in groups.items():
-                n = len(held.docs) + 1
-                ids = [x if len(x) < least_docs else [] for x in map(held.ids.get, held.docs)]
-                chunks = [x.decode() for x in held.docs]
-                occurrences = [*map(held.occurrences.get, held.docs), 0]
-                parts = [lang] * n, [source] * n, [*chunks, ""], [*held.docs.values(), 0], occurrences, [*ids, []]
-                for name, part in zip(names, parts):
-                    out[name] += part
-                if len(out["chunk"]) > BATCH_CHUNKS:
-                    yield out
-                    out = {name: [] for name in names}
-            groups.clear()
-            yield out
+            for lang, held in docs.items():
+                table = _table(held, occurrences[lang], target, lang)
+                for part in common.sliced(table, BATCH_CHUNKS):
+                    yield dict(zip(target.names, part.columns))
+            docs.clear()
+            occurrences.clear()
 
         for batch in batches:
             for part in common.sliced(batch):
-                for lang, source, text, doc in zip(*[c.to_pylist() for c in part.columns]):
-                    groups.setdefault((lang, source), Chunks(least_docs)).add(doc, text)
-                if sum(len(g.docs) for g in groups.values()) > HELD_CHUNKS:
+                for lang, source, text in zip(*[c.to_pylist() for c in part.columns]):
+                    chunks = text.split()
+                    docs.setdefault(lang, Counter()).update(set(chunks))
+                    occurrences.setdefault(lang, {}).setdefault(source, Counter()).update(chunks)
+                if sum(len(c) for x in occurrences.values() for c in x.values()) > HELD_COUNTS:
                     yield from made()
         yield from made()
 
-    return common.arrow_map(rows, count, COUNTS)
+    return common.arrow_map(_read(docs), count, COUNTS)
+
+
+def documents_with(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """(lang, chunk, id) for each document and each different one of its wanted
+    chunks; of all chunks, if the wanted ones (lang, chunk) are not few."""
+    rows = _read(docs).drop("source").withColumn("id", F.monotonically_increasing_id())
+    held: dict[str, set[bytes]] = {}
+    if few:
+        for lang, chunk in wanted.collect():
+            held.setdefault(lang, set()).add(chunk.encode())
+    told = docs.sparkSession.sparkContext.broadcast(held)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        none: set[bytes] = set()
+        for batch in batches:
+            for part in common.sliced(batch):
+                out = {"lang": [], "chunk": [], "id": []}
+                for lang, text, doc in zip(*[c.to_pylist() for c in part.columns]):
+                    different = set(text.split())
+                    if few:
+                        different &= told.value.get(lang, none)
+                    out["lang"] += [lang] * len(different)
+                    out["chunk"] += [c.decode() for c in different]
+                    out["id"] += [doc] * len(different)
+                yield out
+
+    return common.arrow_map(rows, take, "lang string, chunk string, id bigint")
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
@@ -121,31 +142,40 @@ def terms_of(chunks: DataFrame) -> DataFrame:
     return cut.groupBy("chunk", "term").agg(F.count("*").alias("times"))
 
 
-def group_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of the kept terms, (lang, source, term, occurrences), and all (lang, source)."""
-    told = scale.stage(chunk_counts(docs, least_docs))
-    summed = scale.stage(
-        told.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
-    )
-    terms = scale.stage(terms_of(summed))
+def kept_terms(docs: DataFrame, counts: DataFrame, terms: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, term) of the terms in so many documents of the language, or more."""
+    chunks = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
     few = scale.fits(terms, BROADCAST_ROWS)
-    joined = scale.keyed_join(summed, terms, ["chunk"], ["lang", "source"], small=few)
-    counted = scale.stage(joined.groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("occurrences")))
+    per_chunk = scale.keyed_join(chunks, terms.drop("times"), ["chunk"], ["lang"], small=few)
     # Documents of the most frequent chunk, and of all.
-    per_chunk = joined.groupBy("lang", "chunk", "term").agg(F.sum("docs").alias("docs"))
     per_term = per_chunk.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
     bounds = scale.stage(per_term.where(F.col("most") >= least_docs))
-    open_terms = bounds.where(F.col("least") < least_docs).select("lang", "term")
-    held = told.where(F.size("ids") > 0).select("lang", "chunk", F.explode("ids").alias("id"))
-    open_chunks = scale.stage(open_terms.join(terms.drop("times"), "term"))
-    few = scale.fits(open_chunks, BROADCAST_ROWS)
-    told_docs = scale.keyed_join(held, open_chunks, ["lang", "chunk"], ["id"], small=few)
-    decided = told_docs.select("lang", "term", "id").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
     kept = bounds.where(F.col("least") >= least_docs).select("lang", "term")
-    kept = scale.stage(kept.unionByName(decided.where(F.col("docs") >= least_docs).select("lang", "term")))
-    groups = scale.stage(summed.select("lang", "source").distinct())
-    few = scale.fits(kept, BROADCAST_ROWS)
-    return scale.stage(scale.keyed_join(counted, kept, ["lang", "term"], ["source"], small=few)), groups
+    between = bounds.where(F.col("least") < least_docs).select("lang", "term")
+    between = scale.stage(between.join(terms.drop("times"), "term"))
+    if between.isEmpty():
+        return scale.stage(kept)
+    few = scale.fits(between, BROADCAST_ROWS)
+    held = documents_with(docs, between.select("lang", "chunk").distinct(), few)
+    told = scale.keyed_join(held, between, ["lang", "chunk"], ["id"], small=few)
+    distinct = told.select("lang", "term", "id").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
+    return scale.stage(kept.unionByName(distinct.where(F.col("docs") >= least_docs).select("lang", "term")))
+
+
+def group_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of the kept terms, (lang, source, term, occurrences), and all (lang, source)."""
+    counts = scale.stage(chunk_counts(docs))
+    terms = scale.stage(terms_of(counts))
+    kept = kept_terms(docs, counts, terms, least_docs)
+    # Of a kept term all chunks count, of other chunks none.
+    wanted = scale.stage(kept.join(terms, "term"))
+    few = scale.fits(wanted, BROADCAST_ROWS)
+    found = scale.keyed_join(counts.drop("docs"), wanted, ["lang", "chunk"], ["counts", "sources"], small=few)
+    each = found.select("lang", "term", "times", F.explode(F.arrays_zip("sources", "counts")).alias("of"))
+    summed = each.groupBy("lang", F.col("of.sources").alias("source"), "term")
+    summed = summed.agg(F.sum(F.col("of.counts") * F.col("times")).alias("occurrences"))
+    groups = counts.where("chunk = ''").select("lang", F.explode("sources").alias("source")).distinct()
+    return scale.stage(summed), scale.stage(groups)
 
 
 def _share(count: Column) -> Column:

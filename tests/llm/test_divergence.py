@@ -66,7 +66,7 @@ CASES = [
 @pytest.mark.parametrize("small", [False, True])
 def test_like_the_definition(spark, monkeypatch, docs, least, small):
     if small:
-        for name, value in (("TILE", 1), ("BLOCK_TERMS", 2), ("HELD_CHUNKS", 3), ("BATCH_CHUNKS", 2), ("BROADCAST_ROWS", 0)):
+        for name, value in (("TILE", 1), ("BLOCK_TERMS", 2), ("HELD_COUNTS", 3), ("BATCH_CHUNKS", 2), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(divergence, name, value)
     rows = spark.createDataFrame([(*d, "own", 1) for d in docs], SCHEMA)
     got = divergence.audit(rows, least).collect()
