@@ -3,7 +3,7 @@
 Chunk factorization. A task counts the white-space chunks of its documents; per
 language it hands on each different chunk with the number of documents that hold
 it and its occurrences in each source. Each globally distinct chunk is cut into
-terms once, and the terms are joined back to the counts.
+terms once; those of kept terms are joined back to the counts.
 
 Occurrences of a term are the sums over its chunks. A document may hold a term in
 several chunks, so documents do not add up; but they lie between those of the most
@@ -49,6 +49,8 @@ HELD_COUNTS, BATCH_CHUNKS = 1_000_000, 20_000
 # Sources and terms compared at once: two tiles of 4 MB.
 TILE, BLOCK_TERMS = 64, 8192
 BROADCAST_ROWS = 1_000_000
+# Counts of one chunk, by tasks, that may meet its terms in one task: some kilobytes each.
+HOT_PARTS = 100_000
 
 COUNTS = "lang string, chunk string, docs bigint, sources array<string>, counts array<bigint>"
 
@@ -135,45 +137,52 @@ def documents_with(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, times) for the terms of each distinct chunk."""
+    """(lang, chunk, term, docs, parts) for the terms of each distinct chunk, as
+    often as they are in it; its languages are in one row while it is cut."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = F.regexp_extract_all(F.translate("chunk", upper, upper.lower()), F.lit(TERM), F.lit(0))
-    cut = chunks.select("chunk").distinct().select("chunk", F.explode(found).alias("term"))
-    return cut.groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    once = chunks.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "parts")).alias("langs"))
+    cut = once.select("chunk", "langs", F.explode(found).alias("term"))
+    return cut.select("chunk", "term", F.explode("langs").alias("in")).select("in.*", "chunk", "term")
 
 
-def kept_terms(docs: DataFrame, counts: DataFrame, terms: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term) of the terms in so many documents of the language, or more."""
-    chunks = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    few = scale.fits(terms, BROADCAST_ROWS)
-    per_chunk = scale.keyed_join(chunks, terms.drop("times"), ["chunk"], ["lang"], small=few)
+def kept_chunks(docs: DataFrame, counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, chunk, term, parts), repeated as they repeat, of the terms in so many
+    documents of the language, or more."""
+    chunks = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"), F.count("*").alias("parts"))
+    terms = terms_of(scale.stage(chunks))
     # Documents of the most frequent chunk, and of all.
-    per_term = per_chunk.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
-    bounds = scale.stage(per_term.where(F.col("most") >= least_docs))
-    kept = bounds.where(F.col("least") >= least_docs).select("lang", "term")
-    between = bounds.where(F.col("least") < least_docs).select("lang", "term")
-    between = scale.stage(between.join(terms.drop("times"), "term"))
+    by_term = Window.partitionBy("lang", "term")
+    bounds = terms.withColumns({"least": F.max("docs").over(by_term), "most": F.sum("docs").over(by_term)})
+    bounds = scale.stage(bounds.where(F.col("most") >= least_docs).drop("docs", "most"))
+    sure = bounds.where(F.col("least") >= least_docs).drop("least")
+    between = scale.stage(bounds.where(F.col("least") < least_docs).drop("least"))
     if between.isEmpty():
-        return scale.stage(kept)
-    few = scale.fits(between, BROADCAST_ROWS)
-    held = documents_with(docs, between.select("lang", "chunk").distinct(), few)
-    told = scale.keyed_join(held, between, ["lang", "chunk"], ["id"], small=few)
+        return sure
+    pairs = between.select("lang", "chunk", "term").distinct()
+    few = scale.fits(pairs, BROADCAST_ROWS)
+    held = documents_with(docs, pairs.select("lang", "chunk").distinct(), few)
+    told = scale.keyed_join(held, pairs, ["lang", "chunk"], ["id"], small=few)
     distinct = told.select("lang", "term", "id").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
-    return scale.stage(kept.unionByName(distinct.where(F.col("docs") >= least_docs).select("lang", "term")))
+    kept = scale.stage(distinct.where(F.col("docs") >= least_docs).select("lang", "term"))
+    return sure.unionByName(between.join(kept, ["lang", "term"]))
 
 
 def group_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """Occurrences of the kept terms, (lang, source, term, occurrences), and all (lang, source)."""
     counts = scale.stage(chunk_counts(docs))
-    terms = scale.stage(terms_of(counts))
-    kept = kept_terms(docs, counts, terms, least_docs)
-    # Of a kept term all chunks count, of other chunks none.
-    wanted = scale.stage(kept.join(terms, "term"))
-    few = scale.fits(wanted, BROADCAST_ROWS)
-    found = scale.keyed_join(counts.drop("docs"), wanted, ["lang", "chunk"], ["counts", "sources"], small=few)
-    each = found.select("lang", "term", "times", F.explode(F.arrays_zip("sources", "counts")).alias("of"))
-    summed = each.groupBy("lang", F.col("of.sources").alias("source"), "term")
-    summed = summed.agg(F.sum(F.col("of.counts") * F.col("times")).alias("occurrences"))
+    kept = kept_chunks(docs, counts, least_docs).groupBy("lang", "chunk")
+    # A chunk has no more terms than characters.
+    wanted = scale.stage(kept.agg(F.collect_list("term").alias("terms"), F.max("parts").alias("parts")))
+    if scale.fits(wanted, BROADCAST_ROWS):
+        found = counts.join(F.broadcast(wanted.drop("parts")), ["lang", "chunk"])
+    elif wanted.where(F.col("parts") > HOT_PARTS).isEmpty():
+        found = counts.join(wanted.drop("parts").hint("shuffle_hash"), ["lang", "chunk"])
+    else:
+        found = scale.salted_join(counts, wanted.drop("parts"), ["lang", "chunk"], ["counts", "sources"], min_rows=HOT_PARTS)
+    each = found.select("lang", "terms", F.explode(F.arrays_zip("sources", "counts")).alias("of"))
+    each = each.select("lang", F.explode("terms").alias("term"), F.col("of.sources").alias("source"), F.col("of.counts").alias("count"))
+    summed = each.groupBy("lang", "source", "term").agg(F.sum("count").alias("occurrences"))
     groups = counts.where("chunk = ''").select("lang", F.explode("sources").alias("source")).distinct()
     return scale.stage(summed), scale.stage(groups)
 

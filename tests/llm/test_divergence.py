@@ -53,7 +53,6 @@ def docs_of(n):
 
 CASES = [
     (docs_of(300), 30),
-    (docs_of(300), 4),
     (docs_of(40) * 3, 12),  # repeated rows are documents of their own
     ([(1, None, None, None), (2, "", "en", "a"), (3, "!!", "en", "b"), (4, "w " * 200_000, "en", "c")], 30),  # no kept term
     ([(n, "Same word. same" if n % 2 else "SAME(", "en", f"s{n % 2}") for n in range(30)], 30),  # only distinct documents tell
@@ -63,11 +62,13 @@ CASES = [
 
 
 @pytest.mark.parametrize("docs,least", CASES)
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [False, True, "hot"])
 def test_like_the_definition(spark, monkeypatch, docs, least, small):
     if small:
         for name, value in (("TILE", 1), ("BLOCK_TERMS", 2), ("HELD_COUNTS", 3), ("BATCH_CHUNKS", 2), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(divergence, name, value)
+    if small == "hot":
+        monkeypatch.setattr(divergence, "HOT_PARTS", 1)
     rows = spark.createDataFrame([(*d, "own", 1) for d in docs], SCHEMA)
     got = divergence.audit(rows, least).collect()
     assert sorted(tuple(r) for r in got) == plainly(docs, least)
