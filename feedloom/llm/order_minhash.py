@@ -12,11 +12,15 @@ At that share at most 1/9 of all shingles are unmatched, which bounds the band o
 the alignment.
 
 Copies (equal words) are one text from the start. Of each bucket of equal sketches
-the members are first compared with one leader, the same for as many buckets as
-possible; then components are found, and only pairs of one bucket that are still
-in different components are compared, each once. So every candidate pair is
-compared or already joined, and a bucket of n near copies costs n comparisons.
-Only pairs whose sizes rule the similarity out are not aligned.
+the members are first compared with one leader: the text that shares most buckets
+with most others, as the original of near copies does. Then components are found.
+Where members of one bucket are still in different components, the texts of its
+leader are compared in tiles inside the tasks: those outside the leader's component
+with each other and with those inside. Shared labelled shingles are counted for a
+tile at once; only pairs that share enough for the similarity, and are not joined
+already, are aligned. Only links leave the task, no pairs. So every candidate pair
+is aligned, joined, or ruled out by its sizes or its number of shared shingles, and
+a bucket of n near copies costs n comparisons.
 
 Edge cases: words are runs of letters, digits and underscores, lower-cased. Texts
 without words (null, empty) are linked to nothing. Repeated rows are copies; a
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import common
@@ -48,6 +52,8 @@ FEW = 32
 CACHE_WORDS = 500_000
 # Matches per element up to which an alignment walks all of them.
 MOST_MATCHES = 20
+# Texts, and shingles of all of them, that a tile holds; marks compared at once.
+TILE, TILE_SHINGLES, TILE_MARKS = 512, 2_000_000, 4096
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.random.default_rng(97).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 _SIGNED = np.uint64(1 << 63)
@@ -224,36 +230,137 @@ def first_marks(different: DataFrame, similarity: float) -> DataFrame:
     return kept.where("_first._n > 1").select("_node", F.xxhash64(F.lit("mark"), "_first._mark").alias("_bucket"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (_a, _b) of numbered texts that are similar enough."""
+def sequences(texts: DataFrame) -> DataFrame:
+    """(_node, _seq) of (_node, _text): the shingles as 64-bit numbers."""
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         shingles = Shingles()
-        recent: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part in common.sliced(batch):
+                told = [shingles(shingles.words(x.as_py())).tobytes() for x in part.column("_text")]
+                yield {"_node": part.column("_node"), "_seq": told}
+
+    return common.arrow_map(texts.select("_node", "_text"), cut, "_node bigint, _seq binary")
 
-        def sequence(node: int, text: str) -> np.ndarray:
-            if node not in recent:
-                if len(recent) >= 64:
-                    recent.pop(next(iter(recent)))
-                recent[node] = shingles(shingles.words(text))
-            return recent[node]
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    return matched(a, b, similarity) >= similarity - 1e-12
+
+
+def verified(pairs: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (_a, _b) of numbered texts that are similar enough."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in batches:
             for part in common.sliced(batch, 256):
                 out: dict[str, list] = {"_a": [], "_b": []}
-                for a, b, x, y in zip(*[part.column(c) for c in ("_a", "_b", "_text_a", "_text_b")]):
-                    a, b = a.as_py(), b.as_py()
-                    if matched(sequence(b, y.as_py()), sequence(a, x.as_py()), similarity) >= similarity - 1e-12:
+                for a, b, x, y in zip(*[part.column(c).to_pylist() for c in ("_a", "_b", "_seq_a", "_seq_b")]):
+                    if _similar(np.frombuffer(y, np.uint64), np.frombuffer(x, np.uint64), similarity):
                         out["_a"].append(a)
                         out["_b"].append(b)
                 yield out
 
-    first = texts.select(F.col("_node").alias("_a"), F.col("_text").alias("_text_a"))
-    second = texts.select(F.col("_node").alias("_b"), F.col("_text").alias("_text_b"))
-    both = pairs.join(first, "_a").join(second, "_b").select("_a", "_b", "_text_a", "_text_b")
+    first = told.select(F.col("_node").alias("_a"), F.col("_seq").alias("_seq_a"))
+    second = told.select(F.col("_node").alias("_b"), F.col("_seq").alias("_seq_b"))
+    both = pairs.join(first, "_a").join(second, "_b").select("_a", "_b", "_seq_a", "_seq_b")
     return common.arrow_map(both, align, "_a bigint, _b bigint")
 
 
+def shared_marks(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each of ours shares with each of theirs."""
+    out = np.zeros((len(ours), len(theirs)), np.float32)
+    both = np.intersect1d(np.concatenate(ours), np.concatenate(theirs))
+    placed = []
+    for side in (ours, theirs):
+        marks = np.concatenate(side)
+        at = np.searchsorted(both, marks)
+        held = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == marks) if len(both) else np.zeros(len(marks), bool)
+        placed.append((np.repeat(np.arange(len(side)), [len(x) for x in side])[held], at[held]))
+    for begin in range(0, len(both), TILE_MARKS):
+        tables = []
+        for side, (row, at) in zip((ours, theirs), placed):
+            here = (at >= begin) & (at < begin + TILE_MARKS)
+            table = np.zeros((len(side), min(TILE_MARKS, len(both) - begin)), np.float32)
+            table[row[here], at[here] - begin] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def tile_links(ours: list[tuple], theirs: list[tuple], same: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links that join components, of texts (_node, _root, sequence) of two tiles."""
+    marks = [[labelled(x[2]) for x in side] for side in (ours, theirs)]
+    n, m = (np.array([len(x) for x in side]) for side in marks)
+    both = n[:, None] + m[None, :]
+    most = (both * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+    apart = both - 2 * shared_marks(*marks)
+    roots = [np.array([x[1] for x in side]) for side in (ours, theirs)]
+    close = (apart <= most) & (roots[0][:, None] != roots[1][None, :])
+    if same:
+        close = np.triu(close, 1)
+    i, j = np.nonzero(close)
+    order = np.argsort(apart[i, j], kind="stable")
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    out = []
+    for k in order.tolist():
+        a, b = ours[i[k]], theirs[j[k]]
+        x, y = top(a[1]), top(b[1])
+        if x != y and _similar(a[2], b[2], similarity):
+            parent[max(x, y)] = min(x, y)
+            out.append((a[0], b[0]))
+    return out
+
+
+def links_in_tiles(groups: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
+    """Links (_a, _b) between components within groups (_lead, _node, _root, n) of
+    texts: all pairs are compared but those of which both are in the leader's."""
+    lead = groups.where("_node = _lead").select("_lead", F.col("_root").alias("_inside"))
+    rows = groups.join(lead, "_lead").withColumn("_out", F.col("_root") != F.col("_inside"))
+
+    def tiles(which: Column) -> Column:
+        rows, shingles = F.count(F.when(which, 1)), F.sum(F.when(which, F.col("n")))
+        return F.coalesce(F.greatest(F.ceil(rows / TILE), F.ceil(shingles / TILE_SHINGLES)), F.lit(0))
+
+    counted = rows.groupBy("_lead").agg(tiles(~F.col("_out")).alias("_ins"), tiles(F.col("_out")).alias("_outs"))
+    rows = rows.join(counted.where("_outs > 0"), "_lead")
+    tile = F.when(F.col("_out"), F.col("_ins") + F.pmod(F.xxhash64("_node"), F.greatest("_outs", F.lit(1))))
+    tile = tile.otherwise(F.pmod(F.xxhash64("_node"), F.greatest("_ins", F.lit(1))))
+    first = F.when(F.col("_out"), F.lit(0)).otherwise(F.col("_ins"))
+    rows = rows.withColumn("_tile", tile).withColumn("_other", F.explode(F.sequence(first, F.col("_ins") + F.col("_outs") - 1)))
+    rows = rows.withColumns({"_p": F.least("_tile", "_other"), "_q": F.greatest("_tile", "_other")})
+    rows = rows.select("_lead", "_p", "_q", "_tile", "_node", "_root").join(told, "_node")
+    keys = ["_lead", "_p", "_q"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_tile", "_node")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        key, sides = None, ([], [])
+
+        def done() -> dict[str, list]:
+            same = key[1] == key[2]
+            ours, theirs = (sides[0], sides[0]) if same else sides
+            found = tile_links(ours, theirs, same, similarity) if ours and theirs else []
+            return {"_a": [a for a, _ in found], "_b": [b for _, b in found]}
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "_tile", "_node", "_root", "_seq")]
+            for lead, p, q, tile, node, root, seq in zip(*columns):
+                if key != (lead, p, q):
+                    if key:
+                        yield done()
+                    key, sides = (lead, p, q), ([], [])
+                sides[tile != p].append((node, root, np.frombuffer(seq, np.uint64)))
+        if key:
+            yield done()
+
+    return common.arrow_map(dealt, link, "_a bigint, _b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(_node, _root): the least member of the component of each linked text.
 
@@ -294,10 +401,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
         different.select(F.monotonically_increasing_id().alias("_node"), "_words", "_at._id", "_at._key", "n", "sketches", "marks")
     )
     members = different.select("_node", F.explode("sketches").alias("_bucket")).union(first_marks(different, similarity))
-    # The member of the least number leads, so the buckets of near copies tend to agree on it.
-    leaders = members.groupBy("_bucket").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_last"))
-    leaders = leaders.where("_lead <> _last").select("_bucket", "_lead")
-    shared = scale.stage(members.join(leaders, "_bucket"))
+    sizes = members.groupBy("_bucket").agg(F.count("*").alias("_size")).where("_size > 1")
+    shared = scale.stage(members.join(sizes, "_bucket"))
+    # The text in most company leads, so the buckets of near copies tend to agree on it.
+    company = shared.groupBy("_node").agg(F.sum("_size").alias("_met"))
+    lead = F.max(F.struct("_met", (-F.col("_node")).alias("_node")))["_node"]
+    leaders = shared.join(company, "_node").groupBy("_bucket").agg((-lead).alias("_lead"))
+    shared = scale.stage(shared.join(leaders, "_bucket"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that their sizes do not rule out."""
@@ -306,24 +416,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
         return scale.stage(pairs.join(a, "_a").join(b, "_b").where(sizes).select("_a", "_b"))
 
     starred = likely(shared.where("_node <> _lead").select(F.col("_node").alias("_a"), F.col("_lead").alias("_b")).distinct())
+    starred = starred.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct()
 
     whole = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"), common.text_key(F.col(text)).alias("_key"))
     wanted = shared.select("_node").distinct().join(different, "_node").select("_node", "_id", "_key")
     texts = common.join_on(whole, wanted, ["_id", "_key"], "inner")
-    texts = scale.stage(texts.dropDuplicates(["_node"]).select("_node", "_text"))
+    told = scale.stage(sequences(texts.dropDuplicates(["_node"])))
 
-    links = scale.stage(verified(starred, texts, similarity))
+    links = scale.stage(verified(starred, told, similarity))
     roots = components(links)
-    # What is left: pairs of one bucket in different components.
-    placed = shared.select("_bucket", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    placed = scale.stage(placed)
+    # What is left: buckets with texts of different components.
+    placed = shared.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")).where("_size > 2")
+    placed = scale.stage(placed.join(different.select("_node", "n"), "_node"))
     mixed = placed.groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high")
-    placed = scale.stage(placed.join(mixed.select("_bucket"), "_bucket", "left_semi"))
-    a, b = (placed.select("_bucket", F.col("_node").alias(x), F.col("_root").alias("_root" + x)) for x in ("_a", "_b"))
-    crossing = a.join(b, "_bucket").where("_a < _b AND _root_a <> _root_b").select("_a", "_b").distinct()
-    # The leader's pairs were compared before.
-    crossing = crossing.join(starred.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")), ["_a", "_b"], "left_anti")
-    more = verified(likely(crossing), texts, similarity)
+    groups = placed.join(mixed.select("_bucket"), "_bucket", "left_semi").select("_lead", "_node", "_root", "n").distinct()
+    more = links_in_tiles(scale.stage(groups), told, similarity)
     roots = components(links.union(more))
 
     named = different.select("_node", "_words").join(roots, "_node", "left").select("_words", F.coalesce("_root", "_node").alias("_class"))

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,3 +130,83 @@ def test_one_agreeing_sketch_is_enough(spark):
     docs = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
     got = om.near_duplicates(docs, similarity=0.5).collect()
     assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def plain_shingles(text):
+    """Five-word shingles by the definition, as tuples."""
+    found = re.findall(r"\w+", text.lower())
+    return [tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))] if found else []
+
+
+@given(st.lists(st.sampled_from("a b c d É é _x 1 ! , - \n".split(" ")), max_size=40).map(" ".join))
+@settings(max_examples=300, deadline=None)
+def test_shingles_by_definition(text):
+    shingles = om.Shingles()
+    got, wanted = shingles(shingles.words(text)), plain_shingles(text)
+    assert len(got) == len(wanted)
+    assert [[x == y for y in got.tolist()] for x in got.tolist()] == [[x == y for y in wanted] for x in wanted]
+    seen = Counter()
+    numbered = [(x, seen.update([x]) or seen[x]) for x in wanted]
+    marks = om.labelled(got).tolist() if wanted else []
+    assert len(set(marks)) == len(set(numbered)) == len(wanted)
+
+
+def test_counts_of_shared_marks(monkeypatch):
+    monkeypatch.setattr(om, "TILE_MARKS", 3)
+    own = random.Random(4)
+    sets = [np.array(sorted(own.sample(range(40), own.randint(1, 20))), np.uint64) for _ in range(12)]
+    got = om.shared_marks(sets[:5], sets[5:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[5:]] for a in sets[:5]]
+
+
+def template(n, size, replaced, seed):
+    """Texts of one template with some words replaced."""
+    own, base = random.Random(seed), words(size, seed)
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for k in own.sample(range(size), replaced):
+            text[k] = "".join(own.choices("klmnopqrst", k=6))
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def brute_classes(rows, similarity=0.8):
+    shingles, root = om.Shingles(), {k: k for k, _ in rows}
+    found = {k: shingles(shingles.words(t)) for k, t in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[:i]:
+            if find(a) != find(b) and om.matched(found[a], found[b], similarity):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in root}
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("size,replaced", [(40, 2), (90, 2), (150, 3)])
+def test_texts_of_a_template(spark, monkeypatch, small, size, replaced):
+    """Near the bound, where the leader joins some only, no link of short texts goes."""
+    if small:
+        monkeypatch.setattr(om, "TILE", 3)
+        monkeypatch.setattr(om, "FEW", 200)  # all candidates, as of short texts
+    elif size > 40:
+        monkeypatch.setattr(om, "FEW", 200)
+    rows = template(120, size, replaced, size)
+    got, _ = classes(spark, rows)
+    assert got == brute_classes(rows)
+    assert 1 < len(set(got.values()))
+
+
+def test_made_rows_follow_the_texts():
+    """Tiles: what leaves a task is at most a link per text."""
+    rows = template(300, 120, 2, 7)
+    shingles = om.Shingles()
+    tile = [(k, k, shingles(shingles.words(t))) for k, t in rows]
+    links = om.tile_links(tile, tile, True, 0.8)
+    assert len(links) < len(rows)
+    assert len({k for k in brute_classes(rows).values()}) == len(rows) - len(links)
