@@ -21,8 +21,9 @@ previous suffix of a lower group; then every group's order is emitted from the
 left along the same pointers.
 
 A group of segments goes to one task if it has at most GROUP_SEGMENTS. A larger
-one is dealt over several; each tells the strings it has, once each by their
-hash, and those counted in two parts go as well.
+one is dealt over several: each of its strings picks a second anchor, by another
+hash, segments are cut where that changes, and the pieces are dealt by the second
+gram. Equal strings agree in both anchors, so they meet in one part.
 
 Edge cases: null and empty texts have no bytes. Repeated rows repeat each other.
 Texts are worked through in slices of CHUNK bytes that overlap by a string. An
@@ -94,11 +95,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram, anchor, first, last string start, two hashes) of each segment."""
+def anchors(data: np.ndarray, length: int, gram: int, by: int = _BASES[0]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(gram, anchor, first, last string start, two hashes) of each segment; the
+    hash that chooses anchors is that of the base ``by``."""
     for base in range(0, len(data) - length + 1, CHUNK):
         part = data[base : base + CHUNK + length - 1]
-        hashes = Hashes(part)
+        hashes = Hashes(part, by)
         at = np.arange(len(part) - gram + 1)
         grams = hashes(at, at + gram)
         # The gram's hash above, its place below: the leftmost of equal hashes is least.
@@ -264,90 +266,79 @@ def segments_of(rows: DataFrame, length: int, gram: int, only_grams: bool) -> Da
     return common.arrow_map(rows if not only_grams else rows.select("_bytes"), find, columns)
 
 
-def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments, read from one document each."""
+def cut_out(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """The bytes of the wanted segments, read from one document each; segments of
+    several parts cut into pieces, which begin ``_base`` bytes after them."""
     per_doc = wanted.groupBy("_id", "_key").agg(
-        F.collect_list(F.struct(*SEGMENT, "_first", "_strings", "_anchor", "_part", "_parts", "_whole")).alias("_wanted")
+        F.collect_list(F.struct(*SEGMENT, "_first", "_strings", "_anchor", "_parts", "_whole")).alias("_wanted")
     )
     held = common.join_on(rows, per_doc, ["_id", "_key"], "inner")
+    names = [*SEGMENT, "_strings", "_anchor", "_whole", "_part", "_base", "_bytes"]
+
+    def pieces(data: memoryview, parts: int) -> Iterator[tuple[int, int, int]]:
+        """(part, first, last string start) of each piece of a segment."""
+        if parts == 1:
+            yield 0, 0, len(data) - length
+            return
+        for grams, _, first, last, _, _ in anchors(np.frombuffer(data, np.uint8), length, gram, _BASES[1]):
+            yield from zip((grams % np.uint64(parts)).tolist(), first.tolist(), last.tolist())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        names = [*SEGMENT, "_strings", "_anchor", "_part", "_parts", "_whole"]
         for batch in batches:
             for part in common.sliced(batch, 64):
-                out: dict[str, list] = {x: [] for x in [*names, "_bytes"]}
+                out: dict[str, list] = {x: [] for x in names}
                 for value, segments in zip(part.column("_bytes"), part.column("_wanted").to_pylist()):
                     data = memoryview(value.as_buffer())
                     for s in segments:
-                        for x in names:
-                            out[x].append(s[x])
-                        out["_bytes"].append(bytes(data[s["_first"] : s["_first"] + s["_strings"] + length - 1]))
+                        whole = data[s["_first"] : s["_first"] + s["_strings"] + length - 1]
+                        for number, first, last in pieces(whole, s["_parts"]):
+                            row = [*(s[x] for x in SEGMENT), last - first + 1, s["_anchor"] - first, s["_whole"], number, first]
+                            for x, v in zip(names, [*row, bytes(whole[first : last + length])]):
+                                out[x].append(v)
                 yield out
 
-    schema = "_gram bigint, _h1 bigint, _h2 bigint, _strings int, _anchor int, _part int, _parts int, _whole boolean, _bytes binary"
+    schema = "_gram bigint, _h1 bigint, _h2 bigint, _strings int, _anchor int, _whole boolean, _part int, _base int, _bytes binary"
     return common.arrow_map(held.select("_bytes", "_wanted"), cut, schema)
 
 
 def sorted_segments(segments: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated strings of the segments of each (gram, part), and for grams
-    of several parts a row per different string of the part, by its hashes."""
-    dealt = segments.repartition("_gram", "_part").sortWithinPartitions("_gram", "_part", "_h1", "_h2")
-    names = [*SEGMENT, "_from", "_to", "_seen", "_w1", "_w2"]
+    """Runs of repeated strings of the segments of each (gram, part)."""
+    dealt = segments.repartition("_gram", "_part").sortWithinPartitions("_gram", "_part", "_h1", "_h2", "_base")
+    names = [*SEGMENT, "_from", "_to"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        held: list[tuple] = []
+        held: list[dict] = []
         size = 0
 
         def run() -> dict[str, list]:
-            out: dict[str, list] = {x: [] for x in names}
-
-            def put(*row) -> None:
-                for x, v in zip(names, row):
-                    out[x].append(v)
-
-            def tell(label: dict[tuple[int, int], int]) -> None:
-                """The different strings of segments whose gram has other parts."""
-                told: set[int] = set()
-                for n, s in enumerate(held):
-                    if s[6] > 1:
-                        raw, starts = np.frombuffer(s[8], np.uint8), np.arange(s[3])
-                        hashes = [Hashes(raw, b)(starts, starts + length).view(np.int64).tolist() for b in _BASES]
-                        for i, pair in enumerate(zip(*hashes)):
-                            one = label.get((n, i))
-                            if one is None or one not in told:
-                                put(*s[:3], i, i, s[7] or one is not None, *pair)
-                            if one is not None:
-                                told.add(one)
-
-            anchor, strings = (np.array([s[k] for s in held]) for k in (4, 3))
-            own, at, classes = repeated_strings([s[8] for s in held], anchor, strings, length)
+            anchor, strings = (np.array([s[k] for s in held]) for k in ("_anchor", "_strings"))
+            own, at, classes = repeated_strings([s["_bytes"] for s in held], anchor, strings, length)
             often = np.flatnonzero(np.bincount(classes, minlength=1)[classes] > 1)
             often = often[np.lexsort([at[often], own[often]])]
-            own, at, classes = own[often], at[often], classes[often]
+            own, at = own[often], at[often]
             fresh = np.ones(len(own), bool)
             fresh[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
             first = np.flatnonzero(fresh)
+            out: dict[str, list] = {x: [] for x in names}
             for a, b in zip(first.tolist(), np.append(first[1:], len(own)).tolist()):
                 s = held[own[a]]
-                if not s[7]:
-                    put(*s[:3], int(at[a]), int(at[b - 1]), True, None, None)
-            if max(s[6] for s in held) > 1:
-                tell(dict(zip(zip(own.tolist(), at.tolist()), classes.tolist())))
+                if not s["_whole"]:
+                    row = [*(s[x] for x in SEGMENT), s["_base"] + int(at[a]), s["_base"] + int(at[b - 1])]
+                    for x, v in zip(names, row):
+                        out[x].append(v)
             return out
 
         for batch in batches:
-            columns = [*SEGMENT, "_strings", "_anchor", "_part", "_parts", "_whole", "_bytes"]
-            for row in zip(*[batch.column(c).to_pylist() for c in columns]):
-                if held and size >= BATCH and (row[0], row[5]) != (held[-1][0], held[-1][5]):
+            for row in batch.to_pylist():
+                if held and size >= BATCH and (row["_gram"], row["_part"]) != (held[-1]["_gram"], held[-1]["_part"]):
                     yield run()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[8])
+                size += len(row["_bytes"])
         if held:
             yield run()
 
-    schema = "_gram bigint, _h1 bigint, _h2 bigint, _from int, _to int, _seen boolean, _w1 bigint, _w2 bigint"
-    return common.arrow_map(dealt, search, schema)
+    return common.arrow_map(dealt, search, "_gram bigint, _h1 bigint, _h2 bigint, _from int, _to int")
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -365,19 +356,10 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     different = scale.stage(places.groupBy(*SEGMENT).agg(F.count("*").alias("_n"), F.first(where).alias("_w")))
     mixed = different.groupBy("_gram").agg(F.count("*").alias("_of_gram")).where("_of_gram > 1")
     parts = F.ceil(F.col("_of_gram") / GROUP_SEGMENTS).cast("int")
-    wanted = different.join(mixed, "_gram").select(
-        *SEGMENT, "_w.*", (F.col("_n") > 1).alias("_whole"), parts.alias("_parts"), F.pmod("_h1", parts).cast("int").alias("_part")
-    )
-    found = scale.stage(sorted_segments(cut_out(rows, wanted, length), length))
-    strings = found.where("_w1 IS NOT NULL")
-    twice = strings.groupBy("_w1", "_w2").agg(F.count("*").alias("_n")).where("_n > 1").select("_w1", "_w2")
-    across = strings.where("NOT _seen").join(twice, ["_w1", "_w2"], "left_semi")
-    runs = [
-        different.where("_n > 1").select(*SEGMENT, F.lit(0).alias("_from"), (F.col("_w._strings") - 1).alias("_to")),
-        found.where("_w1 IS NULL").select(*SEGMENT, "_from", "_to"),
-        across.select(*SEGMENT, "_from", "_to"),
-    ]
-    runs = runs[0].union(runs[1]).union(runs[2])
+    wanted = different.join(mixed, "_gram").select(*SEGMENT, "_w.*", (F.col("_n") > 1).alias("_whole"), parts.alias("_parts"))
+    found = scale.stage(sorted_segments(cut_out(rows, wanted, length, gram), length))
+    whole = different.where("_n > 1").select(*SEGMENT, F.lit(0).alias("_from"), (F.col("_w._strings") - 1).alias("_to"))
+    runs = whole.union(found)
     spans = places.join(runs, SEGMENT).select(
         "_id", "_key", F.struct((F.col("_first") + F.col("_from")).alias("from"), (F.col("_first") + F.col("_to")).alias("to")).alias("_span")
     )
