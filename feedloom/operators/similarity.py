@@ -15,7 +15,6 @@ from feedloom.fixed_values import (
     FEED_DEFAULT_N,
     FEED_MAX_N,
     FEED_MIN_N,
-    QUESTION_MAX_N,
     TOP_K,
 )
 from feedloom.functions import vectors as vx
@@ -110,6 +109,17 @@ def score_keyed(
     return joined.select("profile_id", key, *kept, _score(sparse).alias("score"))
 
 
+def score_static(items: DataFrame, requests: DataFrame, key: str, vec: str = "vec", dim: int = vx.DIM) -> DataFrame:
+    """``score_keyed`` for a stream of items and a static table of requests (profile_id,
+    ``key``, vec): nothing is counted or written on the way, so it can be planned
+    before there are rows."""
+    sparse = _is_sparse(items, vec)
+    asked = _measured(requests.select("profile_id", key, vec), vec, "_query", True, dim)
+    joined = _measured(items, vec, "_item", False, dim).join(asked, key)
+    kept = [c for c in items.columns if c not in (vec, key)]
+    return joined.select("profile_id", key, *kept, _score(sparse).alias("score"))
+
+
 def score_corpus(items: DataFrame, profile: DataFrame, vec: str = "vec", dim: int = vx.DIM) -> DataFrame:
     """Score every row of a corpus against one profile.
 

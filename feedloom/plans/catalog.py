@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom import fixed_values as fixed
 from feedloom import schemas
 from feedloom.functions import vectors as vx
-from feedloom.operators import corpus, evaluation, generation, parsing, quantiles, ranking, reuse, scale, similarity
+from feedloom.operators import corpus, evaluation, generation, parsing, quantiles, ranking, reuse, scale, similarity, temporal
 from feedloom.operators.embedding import ModelEmbedder, embed
 from feedloom.plans import evaluation as evaluation_plan
 from feedloom.plans import questions as question_plan
@@ -24,6 +24,8 @@ from feedloom.plans import rerank as rerank_plan
 from feedloom.plans import standins as src
 from feedloom.sources import tables
 from feedloom.streaming import cache as stream_cache
+from feedloom.streaming import scores as stream_scores
+from feedloom.streaming import windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +182,220 @@ def cached_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.cached_text(fetched.select("page_id", "url"), cache, ["page_id"]).select("page_id", "text")
 
 
+# --- Streams -------------------------------------------------------------------
+
+# Pages as they arrive: copies of a url one batch after the other, some told again
+# in the last batch, some (but of the first batch) with a time two days before the rest.
+_BATCHES = 4
+_SQL_ARRIVALS = """placed AS (
+    SELECT page_id, url, least((row_number() OVER (PARTITION BY url ORDER BY page_id) - 1) * 2 + page_id % 2, 2) AS batch FROM pages
+),
+arrivals AS (
+    SELECT *, TIMESTAMP '2024-01-05' + to_milliseconds(page_id * 10) - CASE WHEN batch > 0 AND page_id % 11 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS seen
+    FROM (FROM placed UNION ALL SELECT page_id, url, 3 AS batch FROM placed WHERE page_id % 5 = 0)
+),
+told AS (SELECT *, batch > 0 AND page_id % 11 = 0 AS late FROM arrivals)"""
+
+
+def _instant(name: str) -> Column:
+    """A time without zone as the instant it is in UTC, whatever the session's zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name}))")
+
+
+def _local(name: str) -> Column:
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({name}), TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias(name)
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = src.table(spark, sf_dir, "pages")
+    copy = F.row_number().over(Window.partitionBy("url").orderBy("page_id")) - 1
+    placed = pages.withColumn("batch", F.least(copy * 2 + F.col("page_id") % 2, F.lit(2)))
+    both = placed.union(placed.where("page_id % 5 = 0").withColumn("batch", F.lit(3).cast("bigint")))
+    late = (F.col("batch") > 0) & (F.col("page_id") % 11 == 0)
+    seen = F.timestamp_micros(F.lit(1_704_412_800_000_000) + F.col("page_id") * 10_000)
+    return both.withColumn("seen", F.when(late, seen - F.expr("interval 2 days")).otherwise(seen))
+
+
+@query(f"""WITH {src.SQL_PAGE_TEXT},
+{_SQL_ARRIVALS},
+firsts AS (SELECT lang, arg_min(text, doc_id) AS text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+first_told AS (SELECT arg_min(page_id, (batch, page_id)) AS page_id FROM told WHERE NOT late GROUP BY url),
+stories AS (SELECT page_id, regexp_extract(url, '/(en|de|es|fr)/', 1) AS lang, text FROM page_text JOIN first_told USING (page_id)),
+{src.sql_counts("s", "stories", "page_id", "text")},
+{src.sql_counts("p", "firsts", "lang", "text")},
+dots AS (SELECT page_id, sum(s.w * p.w)::DOUBLE AS dot FROM stories JOIN s USING (page_id) JOIN p USING (lang, bucket) GROUP BY page_id)
+SELECT lang AS profile_id, page_id, round(coalesce(dot / (s_norm.norm * p_norm.norm), 0), 6) AS score
+FROM stories JOIN firsts USING (lang) LEFT JOIN dots USING (page_id) LEFT JOIN s_norm USING (page_id) LEFT JOIN p_norm USING (lang)""")
+def stream_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages scored as they arrive against the profile of their language: every url once."""
+    run = scale.new_path(spark, "stream")
+    docs = src.table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL")
+    firsts = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
+    asked = scale.stage(embed(firsts).select(F.col("lang").alias("profile_id"), "lang", "vec"))
+
+    def runs(arriving: DataFrame) -> list:
+        stories = corpus.extract_text(arriving).withColumn("lang", F.regexp_extract("url", "/(en|de|es|fr)/", 1)).drop("html")
+        scored = stream_scores.score_arriving(stories, asked, "lang", "seen", "1 day")
+        return [stream_scores.append(scored.select("profile_id", "page_id", "score"), f"{run}/scores", f"{run}/progress")]
+
+    stream_scores.replay(_arrivals(spark, sf_dir), _BATCHES, f"{run}/in", runs)
+    scored = spark.read.schema("profile_id string, page_id bigint, score double").parquet(f"{run}/scores")
+    return scored.select("profile_id", "page_id", *_rounded("score"))
+
+
+@query(f"WITH {_SQL_ARRIVALS} SELECT page_id, url, seen FROM told WHERE late")
+def stream_late_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that come after the watermark has passed their time."""
+    run = scale.new_path(spark, "stream")
+    arrivals = _arrivals(spark, sf_dir).drop("html")
+
+    def runs(arriving: DataFrame) -> list:
+        return [stream_scores.set_aside(arriving, F.col("seen"), "seen", "1 day", f"{run}/late", f"{run}/progress")]
+
+    stream_scores.replay(arrivals, _BATCHES, f"{run}/in", runs)
+    return stream_scores.late_rows(f"{run}/late", arrivals.drop("batch")).select("page_id", "url", _local("seen"))
+
+
+# Events in three batches by their time; some of the first come with the last.
+_SQL_EVENTS = """arrivals AS (
+    SELECT event_id, ts, user_id, event_type, value, CASE WHEN nth = 0 AND event_id % 9 = 0 THEN 2 ELSE nth END AS batch
+    FROM (SELECT *, least(2, extract('day' FROM ts) // 10)::INT AS nth FROM events)
+),
+marks AS (SELECT max(ts) FILTER (batch < 2) - INTERVAL 1 DAY AS former, max(ts) - INTERVAL 1 DAY AS final FROM arrivals)"""
+
+
+def _window_std() -> Column:
+    return F.round(F.sqrt(F.col("m2") / F.col("n")), 6).alias("std")
+
+
+def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = src.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = events.withColumn("nth", F.least(F.lit(2), F.floor(F.dayofmonth("ts") / 10)).cast("int"))
+    nth = F.col("nth")
+    return events.withColumn("ts", _instant("ts")).withColumn("batch", F.when((nth == 0) & (F.col("event_id") % 9 == 0), 2).otherwise(nth)).drop("nth")
+
+
+def _windowed(spark: SparkSession, sf_dir: str, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The closed windows after a replay of the events."""
+    run = scale.new_path(spark, "stream")
+    schemas_of: list = []
+
+    def runs(arriving: DataFrame) -> list:
+        found = windows(arriving)
+        schemas_of[:] = [found.schema]
+        return [stream_scores.append(found, f"{run}/windows", f"{run}/progress")]
+
+    stream_scores.replay(_timed_events(spark, sf_dir), 3, f"{run}/in", runs)
+    return spark.read.schema(schemas_of[0]).parquet(f"{run}/windows")
+
+
+
+_SQL_STATS_OF = "count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS most"
+
+
+@query(f"""WITH {_SQL_EVENTS}
+SELECT event_type, start, start + INTERVAL 6 HOUR AS "end", {_SQL_STATS_OF}
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM arrivals), marks
+WHERE NOT (batch = 2 AND start + INTERVAL 6 HOUR <= former) AND start + INTERVAL 6 HOUR <= final
+GROUP BY event_type, start""")
+def stream_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values per event type and six hours, of the windows the watermark has passed."""
+    found = _windowed(spark, sf_dir, lambda e: stream_windows.tumbling(e, ["event_type"], "value", "ts", "6 hours", "1 day"))
+    return found.select("event_type", _local("start"), _local("end"), "n", *_rounded("mean"), _window_std(), "least", "most")
+
+
+@query(f"""WITH {_SQL_EVENTS},
+kept AS (SELECT arrivals.* FROM arrivals, marks WHERE NOT (batch = 2 AND ts + INTERVAL 6 HOUR <= former)),
+begun AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS begins FROM kept),
+numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM begun),
+found AS (
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", {_SQL_STATS_OF} FROM numbered GROUP BY user_id, session
+)
+SELECT found.* FROM found, marks WHERE "end" <= final""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the users: events less than six hours apart."""
+    found = _windowed(spark, sf_dir, lambda e: stream_windows.sessions(e, ["user_id"], "value", "ts", "6 hours", "1 day"))
+    return found.select("user_id", _local("start"), _local("end"), "n", *_rounded("mean"), _window_std(), "least", "most")
+
+
+@query(f"""WITH {_SQL_EVENTS},
+closed AS (
+    SELECT * FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM arrivals), marks
+    WHERE NOT (batch = 2 AND start + INTERVAL 6 HOUR <= former) AND start + INTERVAL 6 HOUR <= final
+)
+SELECT event_type, start::DATE AS day, {_SQL_STATS_OF} FROM closed GROUP BY event_type, day""")
+def stream_window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days merged from the closed windows; no event is read again."""
+    found = _windowed(spark, sf_dir, lambda e: stream_windows.tumbling(e, ["event_type"], "value", "ts", "6 hours", "1 day"))
+    days = stream_windows.merged(found.withColumn("day", F.to_date(_local("start"))), ["event_type", "day"])
+    return days.select("event_type", "day", "n", *_rounded("mean"), _window_std(), "least", "most")
+
+
+@query(f"""WITH {_SQL_EVENTS}
+SELECT event_type, count(*) AS late FROM arrivals, marks
+WHERE batch = 2 AND time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= former GROUP BY event_type""")
+def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that came after their window had closed, counted by type."""
+    run = scale.new_path(spark, "stream")
+    events = _timed_events(spark, sf_dir)
+
+    def runs(arriving: DataFrame) -> list:
+        end = F.window("ts", "6 hours")["end"]
+        rows = arriving.withColumn("_end", end)
+        return [stream_scores.set_aside(rows, F.col("_end"), "ts", "1 day", f"{run}/late", f"{run}/progress")]
+
+    stream_scores.replay(events, 3, f"{run}/in", runs)
+    late = stream_scores.late_rows(f"{run}/late", events.drop("batch"))
+    return late.groupBy("event_type").agg(F.count("*").alias("late"))
+
+
+# --- Joins by time -------------------------------------------------------------
+
+
+@query("""SELECT e.event_id, e.event_type, p.event_id AS last_event_id, p.event_type AS last_event_type, p.ts AS last_ts
+FROM (FROM events WHERE event_type <> 'error') e
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events
+                WHERE event_type = 'error' GROUP BY user_id, ts) p
+ON e.user_id = p.user_id AND e.ts > p.ts""")
+def asof_last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last error its user had met before it."""
+    return _asof_errors(spark, sf_dir)
+
+
+@query("""SELECT e.event_id, e.event_type, p.event_id AS last_event_id, p.event_type AS last_event_type, p.ts AS last_ts
+FROM (FROM events WHERE event_type <> 'error') e
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events
+                WHERE event_type = 'error' GROUP BY user_id, ts) p
+ON e.user_id = p.user_id AND e.ts > p.ts""")
+def asof_last_error_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every user's time cut into ranges."""
+    return _asof_errors(spark, sf_dir, range_rows=20)
+
+
+def _asof_errors(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+    events = src.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    found = temporal.asof_join(events.where("event_type <> 'error'"), events.where("event_type = 'error'"), "user_id", "ts", "event_id", **how)
+    return found.select("event_id", "event_type", "last_event_id", "last_event_type", "last_ts")
+
+
+@query("""WITH open AS (
+    SELECT o_custkey, o_orderkey, o_orderdate AS opened, max(l_shipdate) AS closed
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+)
+SELECT o.o_orderkey AS placed, open.o_orderkey AS pending
+FROM orders o JOIN open ON o.o_custkey = open.o_custkey AND o.o_orderdate >= opened AND o.o_orderdate < closed AND o.o_orderkey <> open.o_orderkey""")
+def interval_pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the other orders of its customer that were not yet shipped."""
+    orders = src.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    shipped = src.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
+    pending = orders.join(shipped, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "o_custkey", F.col("o_orderkey").alias("pending"), F.col("o_orderdate").alias("opened"), "closed"
+    )
+    placed = orders.withColumnRenamed("o_orderkey", "placed")
+    found = temporal.interval_join(placed, pending, "o_custkey", "o_orderdate", "opened", "closed", base=86_400_000_000)
+    return found.where("placed <> pending").select("placed", "pending")
+
+
 # --- Vectors -------------------------------------------------------------------
 
 _SQL_DOC_COUNTS = src.sql_counts("counts", "documents", "doc_id", "text")
