@@ -21,6 +21,11 @@ from feedloom.operators import scale
 RANGE_ROWS = 500_000
 
 
+def _micros(name: str) -> Column:
+    """Microseconds of a time, without a session's zone and its jumps."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(`{name}` AS TIMESTAMP_NTZ))")
+
+
 def _struct(columns: list[str], name: str) -> Column:
     """A row as one value, so that its names clash with none."""
     return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns]).alias(name)
@@ -47,7 +52,7 @@ def asof_join(
         both = both.withColumn("_range", F.lit(0))
     else:
         share = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_n") / range_rows).cast("int") - 1), lambda i: i / F.ceil(F.col("_n") / range_rows))
-        at = F.unix_micros(F.col("_t").cast("timestamp"))
+        at = _micros("_t")
         few = scale.fits(heavy)
         timed = scale.keyed_join(both.select("_k", at.alias("_at")).where("_at IS NOT NULL"), heavy, ["_k"], ["_at"], small=few)
         sketch = timed.groupBy("_k").agg(F.percentile_approx("_at", [i / 64 for i in range(1, 64)], 10_000).alias("_cuts"), F.first("_n").alias("_n"))
@@ -83,19 +88,18 @@ def interval_join(
     they must differ but for the key. ``base`` is the shortest bin, in microseconds.
     Points without a time, empty intervals and rows without a key meet nothing.
     """
-    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(`{c}` AS TIMESTAMP_NTZ))")
-    length = micros(end) - micros(begin)
+    length = _micros(end) - _micros(begin)
     # Bins of class n are base * 4^n long; an interval is at most one bin long.
     size = F.greatest(F.lit(0), F.ceil(F.log(length / base) / F.log(F.lit(4.0)) - 1e-9)).cast("int")
     width = lambda c: F.lit(base).cast("bigint") * F.pow(F.lit(4.0), c).cast("bigint")
-    spans = intervals.where(length > 0).withColumns({"_class": size, "_begin": micros(begin), "_end": micros(end)})
+    spans = intervals.where(length > 0).withColumns({"_class": size, "_begin": _micros(begin), "_end": _micros(end)})
     # Rounding of the logarithm may choose a class too small: then the next one is taken.
     spans = spans.withColumn("_class", F.when(width(F.col("_class")) < F.col("_end") - F.col("_begin"), F.col("_class") + 1).otherwise(F.col("_class")))
     bins = F.sequence(F.floor(F.col("_begin") / width(F.col("_class"))), F.floor((F.col("_end") - 1) / width(F.col("_class"))))
     spans = spans.withColumn("_bin", F.explode(bins))
     # As many classes as powers of four between the shortest and the longest interval: a few.
     classes = spans.agg(F.sort_array(F.collect_set("_class")).alias("_classes"))
-    asked = points.withColumn("_at", micros(at)).where("_at IS NOT NULL").withColumn("_classes", classes.select("_classes").scalar())
+    asked = points.withColumn("_at", _micros(at)).where("_at IS NOT NULL").withColumn("_classes", classes.select("_classes").scalar())
     asked = asked.withColumn("_class", F.explode("_classes")).withColumn("_bin", F.floor(F.col("_at") / width(F.col("_class")))).drop("_classes")
     keys = [*([key] if key else []), "_class", "_bin"]
     joined = scale.keyed_join(asked, spans, keys, ["_at", *[c for c in points.columns if c != key]])

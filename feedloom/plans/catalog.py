@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from feedloom import fixed_values as fixed
 from feedloom import schemas
 from feedloom.functions import vectors as vx
-from feedloom.operators import corpus, evaluation, generation, parsing, quantiles, ranking, reuse, scale, similarity, temporal
+from feedloom.operators import corpus, evaluation, generation, parsing, pruned, quantiles, ranking, reuse, scale, similarity, temporal
 from feedloom.operators.embedding import ModelEmbedder, embed
 from feedloom.plans import evaluation as evaluation_plan
 from feedloom.plans import questions as question_plan
@@ -349,6 +349,23 @@ def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.groupBy("event_type").agg(F.count("*").alias("late"))
 
 
+# --- Best candidates of a whole corpus -----------------------------------------
+
+
+@query("""WITH unit AS (
+    SELECT vec_id, [x / n for x in v] AS u FROM (
+        SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x for x in embedding::DOUBLE[]])) AS n FROM embeddings) WHERE n > 0),
+scored AS (
+    SELECT q.vec_id AS query, i.vec_id AS item, list_dot_product(q.u, i.u) AS score
+    FROM unit q JOIN unit i ON q.vec_id <> i.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM scored) WHERE rank <= 10""")
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all vectors for every twentieth; cells out of reach are skipped."""
+    rows = src.table(spark, sf_dir, "embeddings")
+    best, _ = pruned.top_candidates(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    return best.select("query", F.col("rank").cast("bigint").alias("rank"), *_rounded("score"))
+
+
 # --- Joins by time -------------------------------------------------------------
 
 

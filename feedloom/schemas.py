@@ -46,4 +46,11 @@ TEST_TABLES = {
     "events": _table(
         event_id=LONG, ts=T.TimestampNTZType(), user_id=LONG, event_type=TEXT, value=DOUBLE, props=TEXT
     ),
+    "orders": _table(
+        o_orderkey=LONG, o_custkey=LONG, o_orderstatus=TEXT, o_totalprice=DOUBLE, o_orderdate=T.TimestampNTZType(), o_orderpriority=TEXT
+    ),
+    "lineitem": _table(
+        l_orderkey=LONG, l_partkey=LONG, l_suppkey=LONG, l_linenumber=INT, l_quantity=DOUBLE, l_extendedprice=DOUBLE, l_discount=DOUBLE,
+        l_tax=DOUBLE, l_returnflag=TEXT, l_linestatus=TEXT, l_shipdate=T.TimestampNTZType(),
+    ),
 }
