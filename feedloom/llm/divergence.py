@@ -45,14 +45,16 @@ PARTS, ADDED = 1_000_000_000, 5
 LEAST_DOCS = 30
 
 # Counts of different chunks that a task holds before it hands them on.
-HELD_COUNTS, BATCH_CHUNKS = 1_000_000, 20_000
+HELD_COUNTS, BATCH_CHUNKS = 1_500_000, 20_000
 # Sources and terms compared at once: two tiles of 4 MB.
 TILE, BLOCK_TERMS = 64, 8192
 BROADCAST_ROWS = 1_000_000
 # Counts of one chunk, by tasks, that may meet its terms in one task: some kilobytes each.
 HOT_PARTS = 100_000
 
-COUNTS = "lang string, chunk string, docs bigint, sources array<string>, counts array<bigint>"
+# A source's number and a count, in one value.
+COUNT_BITS = 36
+COUNTS = "lang string, chunk string, docs bigint, counts array<bigint>"
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -63,36 +65,40 @@ def _read(docs: DataFrame) -> DataFrame:
     )
 
 
-def _table(held: Counter, by_source: dict[str, Counter], target: pa.Schema, lang: str) -> pa.RecordBatch:
-    """Chunks of a language with their counts per source, and an empty chunk with all sources."""
+def sources_of(docs: DataFrame) -> DataFrame:
+    """(lang, source, number): the groups, numbered in their language."""
+    groups = _read(docs).select("lang", "source").distinct()
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint")
+    fits = F.when(number < 1 << (63 - COUNT_BITS), number).otherwise(F.raise_error(F.lit("too many sources in a language")).cast("bigint"))
+    return scale.stage(groups.select("lang", "source", fits.alias("number")))
+
+
+def _table(held: Counter, by_source: dict[int, Counter], target: pa.Schema, lang: str) -> pa.RecordBatch:
+    """Chunks of a language with their counts by source."""
     place = {chunk: n for n, chunk in enumerate(held)}
-    at = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()]
-    source = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()])
-    at = np.concatenate(at)
-    order = np.argsort(at, kind="stable")
-    every = np.arange(len(by_source))
-    ends = np.cumsum([0, *np.bincount(at, minlength=len(held)), len(every)]).astype(np.int32)
-    sources = pa.array(by_source).take(pa.array(np.concatenate([source[order], every])))
-    lists = [pa.ListArray.from_arrays(ends, x) for x in (sources, pa.array(np.concatenate([counts[order], 0 * every])))]
-    chunks = pa.array([*held, b""], pa.binary())
-    made = [pa.array([lang] * len(chunks)), chunks, pa.array([*held.values(), 0], pa.int64()), *lists]
+    at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()])
+    counts = [np.fromiter(c.values(), np.int64, len(c)) | (number << COUNT_BITS) for number, c in by_source.items()]
+    ends = np.cumsum([0, *np.bincount(at, minlength=len(held))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)[np.argsort(at, kind="stable")]))
+    made = [pa.array([lang] * len(held)), pa.array(held, pa.binary()), pa.array(held.values(), pa.int64()), lists]
     return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target)], schema=target)
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """Per task, language and chunk: documents, and the occurrences in each source."""
+def chunk_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per task, language and chunk: documents, and the occurrences in each source
+    together with its number."""
     target = common.pa_schema(docs.sparkSession, COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         docs: dict[str, Counter] = {}
-        occurrences: dict[str, dict[str, Counter]] = {}
+        occurrences: dict[str, dict[int, Counter]] = {}
 
         def made() -> Iterator[dict[str, list]]:
             for lang, held in docs.items():
-                table = _table(held, occurrences[lang], target, lang)
-                for part in common.sliced(table, BATCH_CHUNKS):
-                    yield dict(zip(target.names, part.columns))
+                if held:
+                    table = _table(held, occurrences[lang], target, lang)
+                    for part in common.sliced(table, BATCH_CHUNKS):
+                        yield dict(zip(target.names, part.columns))
             docs.clear()
             occurrences.clear()
 
@@ -106,7 +112,9 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
                     yield from made()
         yield from made()
 
-    return common.arrow_map(_read(docs), count, COUNTS)
+    few = scale.fits(groups, BROADCAST_ROWS)
+    rows = scale.keyed_join(_read(docs), groups, ["lang", "source"], ["text"], small=few)
+    return common.arrow_map(rows.select("lang", "number", "text"), count, COUNTS)
 
 
 def documents_with(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
@@ -170,7 +178,8 @@ def kept_chunks(docs: DataFrame, counts: DataFrame, least_docs: int = LEAST_DOCS
 
 def group_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """Occurrences of the kept terms, (lang, source, term, occurrences), and all (lang, source)."""
-    counts = scale.stage(chunk_counts(docs))
+    groups = sources_of(docs)
+    counts = scale.stage(chunk_counts(docs, groups))
     kept = kept_chunks(docs, counts, least_docs).groupBy("lang", "chunk")
     # A chunk has no more terms than characters.
     wanted = scale.stage(kept.agg(F.collect_list("term").alias("terms"), F.max("parts").alias("parts")))
@@ -179,12 +188,14 @@ def group_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFram
     elif wanted.where(F.col("parts") > HOT_PARTS).isEmpty():
         found = counts.join(wanted.drop("parts").hint("shuffle_hash"), ["lang", "chunk"])
     else:
-        found = scale.salted_join(counts, wanted.drop("parts"), ["lang", "chunk"], ["counts", "sources"], min_rows=HOT_PARTS)
-    each = found.select("lang", "terms", F.explode(F.arrays_zip("sources", "counts")).alias("of"))
-    each = each.select("lang", F.explode("terms").alias("term"), F.col("of.sources").alias("source"), F.col("of.counts").alias("count"))
-    summed = each.groupBy("lang", "source", "term").agg(F.sum("count").alias("occurrences"))
-    groups = counts.where("chunk = ''").select("lang", F.explode("sources").alias("source")).distinct()
-    return scale.stage(summed), scale.stage(groups)
+        found = scale.salted_join(counts, wanted.drop("parts"), ["lang", "chunk"], ["counts"], min_rows=HOT_PARTS)
+    each = found.select("lang", "terms", F.explode("counts").alias("of"))
+    number, count = F.shiftright("of", COUNT_BITS), F.col("of").bitwiseAND((1 << COUNT_BITS) - 1)
+    each = each.select("lang", F.explode("terms").alias("term"), number.alias("number"), count.alias("count"))
+    summed = each.groupBy("lang", "number", "term").agg(F.sum("count").alias("occurrences"))
+    few = scale.fits(groups, BROADCAST_ROWS)
+    named = scale.keyed_join(summed, groups, ["lang", "number"], ["term"], small=few)
+    return scale.stage(named.select("lang", "source", "term", "occurrences")), groups.select("lang", "source")
 
 
 def _share(count: Column) -> Column:
