@@ -19,8 +19,9 @@ _ATTRIBUTES = r"""(?:[^>=]*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+[^>]
 
 # A name ends here: "style-guide" is another element than "style".
 _NAME_END = r"(?=[\s/>])"
-# Elements of one kind inside each other are followed so deep.
-_NESTED = 8
+# Templates inside each other are counted up to this depth, at which browsers flatten
+# a page as well; one that opens deeper ends with the next closing tag.
+NESTED = 512
 
 
 def _silent_element(name: str) -> str:
@@ -30,9 +31,10 @@ def _silent_element(name: str) -> str:
     end = rf"(?:</{tag}{'' if name.startswith('r') else r'|\z'})"
     if name != "template":
         return rf"{tag}.*?{end}"
-    inside = rf"(?:[^<]++|<(?!/?{tag}))*+"
-    for _ in range(_NESTED):
-        inside = rf"(?:[^<]++|<(?!/?{tag})|<{tag}{inside}{end})*+"
+    # The tag itself is written once for all depths, as a character behind a test.
+    inside = rf"(?:[^<]++|<(?!/{tag}))*+"
+    for _ in range(NESTED - 1):
+        inside = rf"(?:[^<]++|<(?!/?{tag})|<(?!/){inside}{end})*+"
     return rf"{tag}{inside}{end}"
 
 

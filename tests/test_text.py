@@ -147,3 +147,12 @@ def test_custom_elements_are_ordinary(spark):
 def test_nested_templates_end_at_their_own_tag(spark):
     pages = ["a<template>x<template>y</template>z</template>b", "a<template>x<b>y<template>z</template></b></template>b<i>c</i>", "a<template>x<template>y"]
     assert apply(spark, pages, tx.html_text) == ["ab", "abc", "a"]
+
+
+def test_templates_are_followed_as_deep_as_stated(spark):
+    def page(depth):
+        return "a" + "<template>x<p>" * depth + "</p></template>y" * depth + "b"
+
+    pages = [page(9), page(50), page(tx.NESTED), "a" + "<template>x" * tx.NESTED, page(tx.NESTED + 1)]
+    # One that opens deeper ends with the next closing tag, so the last ends one too early.
+    assert apply(spark, pages, tx.html_text) == ["ayb", "ayb", "ayb", "a", "ayyb"]
