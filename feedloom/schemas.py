@@ -13,6 +13,7 @@ def _table(**fields: T.DataType) -> T.StructType:
 
 STORIES = _table(id=LONG, title=TEXT, url=TEXT, feed_pos=LONG)
 STORY_ITEMS = _table(id=LONG, title=TEXT, url=TEXT)
+FEED_IDS = _table(id=LONG, feed_pos=LONG)
 PAGES = _table(url=TEXT, status=INT, html=TEXT, error=TEXT)
 TEXT_CACHE = _table(url_key=TEXT, text=TEXT)
 VECTOR_CACHE = _table(text_key=TEXT, vec=T.ArrayType(T.FloatType()))

@@ -62,19 +62,24 @@ def load_stories(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     return read_table(spark, path, fmt, schemas.STORIES)
 
 
-def load_feed(spark: SparkSession, ids_path: str, items_path: str, n: int, limit: int = FEED_MAX_N) -> DataFrame:
-    """Stories from a JSON array of ids and a table of items, first ``n`` ids.
-
-    ``n`` is held in the range of requests, ``limit`` being the longest head. The
-    array is the list of one feed as it is served, one small file; a feed kept as
-    a table is read by ``load_stories``. The head is taken before the items are
-    read; ids without an item keep a null title and url.
+def load_feed(
+    spark: SparkSession, ids_path: str, items_path: str, n: int, limit: int = FEED_MAX_N, ids_fmt: str = "array"
+) -> DataFrame:
+    """The first ``n`` stories of a feed, from its ids and a table of items.
+
+    ``ids_fmt`` is "array" for the JSON array of one feed as it is served, one small
+    file, or the format of a table of (id, feed_pos) of any size. ``n`` is held in the
+    range of requests, ``limit`` being the longest head. The head is taken before the
+    items are read; ids without an item keep a null title and url.
     """
     n = min(max(n, FEED_MIN_N), limit)
-    ids = spark.read.text(ids_path, wholetext=True).select(
-        F.posexplode(F.slice(F.from_json("value", "array<bigint>"), 1, n)).alias("_pos", "id")
-    )
-    head = ids.select("id", (F.col("_pos") + 1).cast("bigint").alias("feed_pos"))
+    if ids_fmt == "array":
+        listed = F.slice(F.from_json("value", "array<bigint>"), 1, n)
+        ids = spark.read.text(ids_path, wholetext=True).select(F.posexplode(listed).alias("_pos", "id"))
+        head = ids.select("id", (F.col("_pos") + 1).cast("bigint").alias("feed_pos"))
+    else:
+        ids = read_table(spark, ids_path, ids_fmt, schemas.FEED_IDS)
+        head = ids.where(F.col("feed_pos").between(1, n)).select("id", "feed_pos")
     items = read_table(spark, items_path, "json", schemas.STORY_ITEMS)
     # The head is counted and then broadcast, not the item table.
     found = scale.keyed_join(items, head.select("id").distinct(), ["id"], ["url"], how="left_semi")

@@ -20,6 +20,11 @@ def test_feed_of_ids_and_items(spark, tmp_path):
     got = [tuple(r) for r in feed.orderBy("feed_pos").collect()]
     assert got == [(30, None, None, 1), (10, "ten", "u10", 2), (20, "twenty", None, 3)]
 
+    table = spark.createDataFrame([(30, 1), (10, 2), (20, 3), (40, 4)], schemas.FEED_IDS)
+    tables.write_table(table, str(tmp_path / "ids"), "parquet")
+    feed = tables.load_feed(spark, str(tmp_path / "ids"), str(tmp_path / "items.json"), 3, ids_fmt="parquet")
+    assert [tuple(r) for r in feed.orderBy("feed_pos").collect()] == got
+
 
 RECORDS = [
     ("m", 1, 1, 'say "hi", then\ngo', ["a", 'b"c', "d,e"], 0.25, None),
