@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator
 
@@ -71,22 +72,40 @@ def strip_echo(
     return df.withColumn(output, cut if applies is None else F.when(applies, cut).otherwise(F.col(output)))
 
 
+def _answers(call: Callable[[list[str]], list[str]], prompts: list[str]) -> list[tuple]:
+    """(output, seconds, error) of each prompt. If a call of several fails, each is
+    asked by itself, so that one bad prompt does not cost the others their answer."""
+    began = time.perf_counter()
+    try:
+        outputs = list(call(prompts))
+        if len(outputs) != len(prompts):
+            raise ValueError(f"{len(outputs)} outputs of {len(prompts)} prompts")
+    except Exception as error:
+        if len(prompts) > 1:
+            return [answer for prompt in prompts for answer in _answers(call, [prompt])]
+        return [(None, None, f"{type(error).__name__}: {error}")]
+    seconds = (time.perf_counter() - began) / len(prompts)
+    return [(output, seconds, None) for output in outputs]
+
+
 def generate(
     requests: DataFrame,
-    load: Callable[[str], Callable[[str], str]],
+    load: Callable[[str], Callable],
     model: str = "model",
     prompt: str = "prompt",
     spread_by: tuple[str, ...] = ("iteration", "question_idx"),
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Run a generator over the requests.
 
-    ``load`` takes a model name and returns a function from prompt to output.
+    ``load`` takes a model name and returns a function from prompt to output, or,
+    with a ``batch_size``, from a list of at most so many prompts to their outputs.
     Requests are range-partitioned by model and ``spread_by``: every core gets
     its share of this slow step, a model with many requests is split over
     tasks, and a task sees few models, holds one at a time and loads each once.
-    Adds ``response``, the seconds of that call
+    Adds ``response``, the seconds of that call (of a batch, an equal share)
     as ``inference_time``, those of the load as ``loading_time``, and ``error``:
-    a model that fails does not fail the job.
+    a model that fails does not fail the job, nor a prompt its batch.
     """
     schema = T.StructType(requests.schema.fields + schemas.ANSWERS.fields)
     added = schemas.ANSWERS.names
@@ -95,7 +114,8 @@ def generate(
         current, call, load_seconds, failure = None, None, None, None
         for batch in batches:
             results = []
-            for name, text in zip(batch[model], batch[prompt]):
+            for name, rows in itertools.groupby(zip(batch[model], batch[prompt]), key=lambda row: row[0]):
+                prompts = [text for _, text in rows]
                 if name != current:
                     current, call, load_seconds, failure = name, None, None, None
                     began = time.perf_counter()
@@ -105,14 +125,12 @@ def generate(
                     except Exception as error:
                         failure = f"{type(error).__name__}: {error}"
                 if call is None:
-                    results.append((None, None, None, failure))
+                    results += [(None, None, None, failure)] * len(prompts)
                     continue
-                began = time.perf_counter()
-                try:
-                    output = call(text)
-                    results.append((output, time.perf_counter() - began, load_seconds, None))
-                except Exception as error:
-                    results.append((None, None, load_seconds, f"{type(error).__name__}: {error}"))
+                many = call if batch_size else lambda one, call=call: [call(one[0])]
+                for part in itertools.batched(prompts, batch_size or 1):
+                    told = _answers(many, list(part))
+                    results += [(output, seconds, load_seconds, error) for output, seconds, error in told]
             answers = pd.DataFrame(results, columns=added, index=batch.index)
             yield pd.concat([batch, answers], axis=1)
 

@@ -704,10 +704,20 @@ def replay_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.replay(src.asked(spark, sf_dir), src.recorded(spark, sf_dir))
 
 
-@query(f"""WITH {src.SQL_REQUESTED},
+_SQL_GENERATED = f"""WITH {src.SQL_REQUESTED},
 prompts AS (SELECT *, replace({_sql_text(fixed.PLAIN_PROMPT_TEMPLATE)}, '{{query}}', {src.sql_strip('question')}) AS prompt FROM asked)
 SELECT model, iteration, question_idx, 1::BIGINT AS version, length(prompt)::VARCHAR AS query FROM prompts
-UNION ALL SELECT model, iteration, question_idx, 2::BIGINT AS version, model AS query FROM prompts""")
+UNION ALL SELECT model, iteration, question_idx, 2::BIGINT AS version, model AS query FROM prompts"""
+
+
+def _generated(spark: SparkSession, sf_dir: str, load: Callable[[str], Callable], batch_size: int | None = None) -> DataFrame:
+    prompts = generation.build_prompts(src.asked(spark, sf_dir), fixed.PLAIN_PROMPT_TEMPLATE)
+    answered = generation.generate(prompts, load, batch_size=batch_size).transform(generation.strip_echo)
+    parsed = answered.transform(parsing.slice_json).transform(parsing.parse_queries)
+    return parsing.explode_outputs(parsed).select("model", "iteration", "question_idx", "version", "query")
+
+
+@query(_SQL_GENERATED)
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plug point for a language model, and the whole job after it.
 
@@ -717,10 +727,17 @@ def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def load(model: str) -> Callable[[str], str]:
         return lambda prompt: prompt + "\n" + json.dumps({"queries": [model, str(len(prompt))]}) + "\n"
 
-    prompts = generation.build_prompts(src.asked(spark, sf_dir), fixed.PLAIN_PROMPT_TEMPLATE)
-    answered = generation.generate(prompts, load).transform(generation.strip_echo)
-    parsed = answered.transform(parsing.slice_json).transform(parsing.parse_queries)
-    return parsing.explode_outputs(parsed).select("model", "iteration", "question_idx", "version", "query")
+    return _generated(spark, sf_dir, load)
+
+
+@query(_SQL_GENERATED)
+def generate_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a model that is given up to 32 prompts at once."""
+
+    def load(model: str) -> Callable[[list[str]], list[str]]:
+        return lambda prompts: [f"{p}\n{json.dumps({'queries': [model, str(len(p))]})}\n" for p in prompts]
+
+    return _generated(spark, sf_dir, load, batch_size=32)
 
 
 _ECHOED = """, echoed AS (
@@ -972,14 +989,12 @@ def report_loading_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {src.SQL_PAGE_TEXT}
 SELECT page_id AS id, title, url, page_id + 1 AS feed_pos FROM page_text WHERE page_id < 300""")
 def load_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed written as a list of ids and a table of items, and its head read back."""
+    """The whole feed written as a table of ids and one of items, and its head read back."""
     path = scale.new_path(spark, "feed")
     items = src.titled(src.pages(spark, sf_dir)).select(F.col("page_id").alias("id"), "title", "url")
     tables.write_table(items, f"{path}/items", "json")
-    # The list of one feed, as it is served: the longest head and no more.
-    ids = items.where(F.col("id") < fixed.FEED_MAX_N).agg(F.to_json(F.sort_array(F.collect_list("id"))).alias("value"))
-    ids.write.text(f"{path}/ids")
-    return tables.load_feed(spark, f"{path}/ids", f"{path}/items", 300)
+    tables.write_table(items.select("id", (F.col("id") + 1).alias("feed_pos")), f"{path}/ids", "parquet")
+    return tables.load_feed(spark, f"{path}/ids", f"{path}/items", 300, ids_fmt="parquet")
 
 
 @query(f"WITH {src.SQL_PAGE_TEXT} SELECT page_id AS id, title, url, page_id + 1 AS feed_pos FROM page_text")

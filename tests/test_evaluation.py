@@ -119,6 +119,35 @@ def test_generate_loads_each_model_once_per_task(spark):
     assert 2 <= loads.value <= parts + 1
 
 
+def test_generate_in_batches_keeps_every_answer(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def load(model):
+        if model == "gone":
+            raise OSError("no weights")
+
+        def call(prompts):
+            assert isinstance(prompts, list) and 1 <= len(prompts) <= 16
+            sizes.add(len(prompts) > 1)
+            if "p7" in prompts:
+                raise ValueError("too long")
+            return [f"{model}:{p}" for p in prompts][: 1 if "p50" in prompts else None]
+
+        return call
+
+    data = [("a" if i % 3 else "gone", i, f"p{i}") for i in range(300)]
+    rows = spark.createDataFrame(data, "model STRING, question_idx INT, prompt STRING")
+    got = {r.question_idx: r for r in generation.generate(rows, load, batch_size=16).collect()}
+    assert len(got) == 300 and sizes.value > 0
+    for model, i, prompt in data:
+        if model == "gone":
+            assert got[i].response is None and got[i].error == "OSError: no weights"
+        elif i == 7:
+            assert got[i].response is None and got[i].error == "ValueError: too long" and got[i].loading_time >= 0
+        else:
+            assert got[i].response == f"a:{prompt}" and got[i].error is None and got[i].inference_time >= 0
+
+
 def test_evaluate_and_report(spark):
     questions = spark.createDataFrame([(1, "q1"), (2, "q2")], "question_idx LONG, question STRING")
     models = [{"name": n, "id": n} for n in ("good", "broken")]
