@@ -16,7 +16,20 @@ from pyspark.sql import functions as F
 from feedloom import fixed_values as fixed
 from feedloom import schemas
 from feedloom.functions import vectors as vx
-from feedloom.operators import corpus, evaluation, generation, parsing, pruned, quantiles, ranking, reuse, scale, similarity, temporal
+from feedloom.operators import (
+    corpus,
+    evaluation,
+    generation,
+    parsing,
+    pruned,
+    quantiles,
+    ranking,
+    reuse,
+    run_totals,
+    scale,
+    similarity,
+    temporal,
+)
 from feedloom.operators.embedding import ModelEmbedder, embed
 from feedloom.plans import evaluation as evaluation_plan
 from feedloom.plans import questions as question_plan
@@ -932,6 +945,27 @@ def box_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.select("model", "n", *_rounded(*_BOX), "outliers")
 
 
+def _kept_totals(spark: SparkSession, sf_dir: str) -> str:
+    """Tables to which all runs were added in three batches, the first one twice."""
+    path = scale.new_path(spark, "totals")
+    rows = evaluation.load_once(src.runs(spark, sf_dir)).withColumn("_batch", F.col("seq") % 3)
+    for batch in (0, 1, 2, 0):
+        run_totals.add_batch(rows.where(F.col("_batch") == batch), path, f"batch-{batch}")
+    return path
+
+
+@query(_SQL_STATS_QUERY)
+def stats_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_stats`` from what each batch left, without its runs."""
+    return run_totals.stats(spark, _kept_totals(spark, sf_dir)).select("model", *_rounded(*_STATS))
+
+
+@query(f"WITH {_SQL_BOX} SELECT model, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in _BOX) + ", outliers FROM box")
+def box_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``box_data`` from what each batch left: counts of cells, and the values of few cells."""
+    return run_totals.box(spark, _kept_totals(spark, sf_dir)).select("model", "n", *_rounded(*_BOX), "outliers")
+
+
 @query("""SELECT model, n, round(l[1], 6) AS q1, round(l[2], 6) AS median, round(l[3], 6) AS q3 FROM (
     SELECT event_type AS model, count(*) AS n, quantile_cont(value, [0.25, 0.5, 0.75]) AS l FROM events GROUP BY event_type)""")
 def linear_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
