@@ -30,11 +30,20 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def free_name(name: str, *taken: list[str]) -> str:
+    """A column name that no given list has, in any case of letters."""
+    used = {column.lower() for columns in taken for column in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join in which null keys match each other; keeps the keys of the left."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    other = {k: free_name(f"_r_{k}", left.columns, right.columns) for k in keys}
+    renamed = right.select(*[F.col(k).alias(other[k]) for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(other[k])) for k in keys]
+    return left.join(renamed, on, how).drop(*other.values())
 
 
 def small_rows(df: DataFrame, max_rows: int) -> bool:

@@ -354,13 +354,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str,
     and whether it is plausible if ``out`` names a third column; see ``judged``."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("_read_text"))
+    read = common.free_name("_read_text", docs.columns)
+    rows = docs.select(*keep, F.col(text).alias(read))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         ask = sent.value.judge if len(out) > 2 else sent.value.predict
         for batch in batches:
             for part in common.sliced(batch):
-                found = [ask(x.as_py()) for x in part.column("_read_text")]
+                found = [ask(x.as_py()) for x in part.column(read)]
                 yield {c: part.column(c) for c in keep} | dict(zip(out, map(list, zip(*found))))
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]

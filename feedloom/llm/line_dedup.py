@@ -186,9 +186,12 @@ def edited(all_lines: DataFrame, narrow: DataFrame) -> DataFrame:
     )
 
 
-def without_seen_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their text freed of lines seen before, and
-    _n_lines, _n_exact, _n_edited: how many lines there were and went."""
+def without_seen_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", out: tuple[str, str, str] = ("_n_lines", "_n_exact", "_n_edited")
+) -> DataFrame:
+    """The documents with their text freed of lines seen before, and three columns
+    ``out``: how many lines there were, went as equal and went as edited ones. Columns
+    of the input with these three names are replaced, all others kept."""
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), common.text_key(F.col(text)).alias("_key"))
     found = lines(rows)
     long = F.when(F.size("_words") >= FUZZY_WORDS, ends(F.col("_words")))
@@ -214,16 +217,19 @@ def without_seen_lines(docs: DataFrame, id: str = "doc_id", text: str = "text")
             F.count_distinct(F.when(F.col("_is_edited"), F.col("_line"))).alias("_n_edited"),
         )
     )
-    named = docs.withColumns({"_id": F.col(id), "_key": common.text_key(F.col(text))})
-    both = common.join_on(named, went, ["_id", "_key"], "left")
+    keys = [common.free_name(x, docs.columns) for x in ("_id", "_key")]
+    gone, edits = (common.free_name(x, docs.columns) for x in ("_gone", "_edits"))
+    named = docs.withColumns(dict(zip(keys, (F.col(id), common.text_key(F.col(text))))))
+    both = common.join_on(named, went.select("_id", "_key", "_gone", "_n_edited").toDF(*keys, gone, edits), keys, "left")
     all_lines = F.split(text, "\n")
     kept = F.when(
-        F.col("_gone").isNotNull(),
-        F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"),
+        F.col(gone).isNotNull(),
+        F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(gone, i)), "\n"),
     ).otherwise(F.col(text))
+    n_edited = F.coalesce(F.col(edits), F.lit(0))
     return both.withColumns({
-        "_n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)),
-        "_n_edited": F.coalesce("_n_edited", F.lit(0)),
-        "_n_exact": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone") - F.col("_n_edited")),
+        out[0]: F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)),
+        out[1]: F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone) - n_edited),
+        out[2]: n_edited,
         text: kept,
-    }).drop("_id", "_key", "_gone")
+    }).drop(*keys, gone, edits)

@@ -2,6 +2,7 @@ import random
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import line_dedup
 
@@ -83,3 +84,16 @@ def test_no_documents(spark):
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.without_seen_lines(spark.createDataFrame([(1, "a", 1, 1)], SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_are_kept(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, f"{line}\nshort"), (2, f"{line} eleven\nshort\nnew"), (None, None)]
+    extra = {"_id": F.lit("i"), "_key": F.lit("k"), "_KEY_": F.lit("K"), "_gone": F.lit("g"), "_edits": F.lit("e"), "_r__id": F.lit("r"), "_place": F.lit("p")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra).withColumn("_n_exact", F.lit("replaced"))
+    got = line_dedup.without_seen_lines(docs)
+    assert set(got.columns) == {*docs.columns, "_n_lines", "_n_edited"}
+    told = {r.doc_id: r for r in got.collect()}
+    assert {k: (r.text, r["_n_lines"], r["_n_exact"], r["_n_edited"]) for k, r in told.items()} == {
+        1: (f"{line}\nshort", 2, 0, 0), 2: ("new", 3, 1, 1), None: (None, 0, 0, 0)}
+    assert all([r[c] for c in extra] == list("ikKgerp") for r in told.values())

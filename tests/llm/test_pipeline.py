@@ -3,6 +3,7 @@ import re
 
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 from test_decontamination import expected as benchmark_words
 from test_line_dedup import expected as without_lines
 from test_packing import check as check_packing
@@ -111,3 +112,25 @@ def test_implausible_texts_go_and_clean_ones_stay(spark):
 @pytest.mark.parametrize("stage", cp.STAGES, ids=lambda s: s[0])
 def test_no_documents(spark, stage):
     assert stage[1](spark, spark.createDataFrame([], SCHEMA), SF_DIR).count() == 0
+
+
+CLASHING = ["_id", "_key", "_gone", "_edits", "_n_exact", "_n_edited", "_n_lines", "_language", "_share", "_plausible", "_read_text", "_r__id", "_text", "_first"]
+
+
+@pytest.mark.parametrize("stage", cp.STAGES[:-1], ids=lambda s: s[0])
+def test_columns_of_any_name_are_kept(spark, stage):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(*COLUMNS)
+    more = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in CLASHING})
+    got = stage[1](spark, more, SF_DIR)
+    assert got.columns == [*COLUMNS, *CLASHING]
+    got = got.collect()
+    want = stage[1](spark, docs, SF_DIR).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == sorted(map(tuple, want))
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHING)
+
+
+def test_of_rows_that_differ_in_other_columns_the_first_stays(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    data = [(1, text, "en", s, 9) for s in ("b", "a", "c")]
+    for order in (data, data[::-1]):
+        assert [tuple(r) for r in cp.near_copies(spark, spark.createDataFrame(order, SCHEMA), SF_DIR).collect()] == [(1, text, "en", "a", 9)]
