@@ -4,7 +4,9 @@ Each stage takes what its predecessor kept, as rows of ``documents`` with all
 their columns; the last one returns the pieces of packed documents. Repeated rows
 pass the language stage as they are, get equal texts from line dedup, and are one
 document of their group in near-dedup. Null and empty texts have no language, so
-they go first. Any stage takes an empty table and returns one.
+they go first. Any stage takes an empty table and returns one. Further columns are kept,
+whatever their names; of repeated rows that differ in other columns the one that comes
+first as JSON stays in near-dedup.
 """
 
 from __future__ import annotations
@@ -21,22 +23,29 @@ LEAST_SHARE = 0.3
 BROADCAST_IDS = 1_000_000
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.col("doc_id"), "_key": common.text_key(F.col("text"))})
+def _named(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Documents with the names of their rows, the rows (_id, _key) under the same
+    columns, and these: no column that documents already have."""
+    keys = [common.free_name(x, docs.columns) for x in ("_id", "_key")]
+    named = docs.withColumns(dict(zip(keys, (F.col("doc_id"), common.text_key(F.col("text"))))))
+    return named, rows.select("_id", "_key").toDF(*keys), keys
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, with too little of any, or too unlikely in theirs, go."""
     model = language.learned(docs.select("doc_id", "text", "lang"), judging=True)
-    told = language.identify(docs, model, out=("_language", "_share", "_plausible"))
-    stays = (F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE) & F.col("_plausible")
+    out = tuple(common.free_name(x, docs.columns) for x in ("_language", "_share", "_plausible"))
+    told = language.identify(docs, model, out=out)
+    named, share, plausible = map(F.col, out)
+    stays = (named != language.UNKNOWN) & (share >= LEAST_SHARE) & plausible
     return told.where(stays).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines seen before go, and with them documents of which no line is left."""
-    told = line_dedup.without_seen_lines(docs)
-    left = (F.col("_n_exact") + F.col("_n_edited") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    out = tuple(common.free_name(x, docs.columns) for x in ("_n_lines", "_n_exact", "_n_edited"))
+    told = line_dedup.without_seen_lines(docs, out=out)
+    left = (F.col(out[1]) + F.col(out[2]) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     kept = told.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
@@ -46,9 +55,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = order_minhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "_key", "_first")
     told = scale.stage(told)
     firsts = told.where("_first").select("_id", "_key")
-    kept = common.join_on(_named(docs), firsts.distinct(), ["_id", "_key"], "inner")
+    named, wanted, keys = _named(docs, firsts.distinct())
+    kept = common.join_on(named, wanted, keys, "inner")
     if not firsts.groupBy("_id", "_key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_id", "_key"])
+        row = F.struct(*docs.columns)
+        kept = kept.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias(keys[0] + "row")).select(f"{keys[0]}row.*")
     return kept.select(*docs.columns)
 
 
@@ -58,7 +69,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     bad = scale.stage(told.where(decontamination.contaminated()).select(F.col("doc_id").alias("_id"), "_key").distinct())
     if common.small_rows(bad, BROADCAST_IDS):
         bad = F.broadcast(bad)
-    return common.join_on(_named(docs), bad, ["_id", "_key"], "left_anti").select(*docs.columns)
+    named, bad, keys = _named(docs, bad)
+    return common.join_on(named, bad, keys, "left_anti").select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
