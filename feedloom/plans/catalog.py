@@ -20,6 +20,7 @@ from feedloom.operators import (
     corpus,
     evaluation,
     generation,
+    lattice,
     parsing,
     pruned,
     quantiles,
@@ -945,6 +946,31 @@ def box_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.select("model", "n", *_rounded(*_BOX), "outliers")
 
 
+_SQL_GROUPED = """SELECT event_type, day, user_part, GROUPING(event_type, day, user_part) AS grouping_id,
+    count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total
+FROM (SELECT event_type, ts::DATE::VARCHAR AS day, user_id % 8 AS user_part, user_id, value FROM events) """
+
+
+def _grouped(spark: SparkSession, sf_dir: str, sets: Callable[[list[str]], list[tuple[str, ...]]]) -> DataFrame:
+    dims = ["event_type", "day", "user_part"]
+    events = src.table(spark, sf_dir, "events").withColumns(
+        {"day": F.col("ts").cast("date").cast("string"), "user_part": F.col("user_id") % 8}
+    )
+    told = lattice.grouping_sets(events, dims, sets(dims), "user_id", {"total": F.col("value")}, out="users")
+    return told.withColumn("total", F.round("total", 4))
+
+
+@query(_SQL_GROUPED + "GROUP BY CUBE (event_type, day, user_part)")
+def event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, their users and values by every set of type, day and part of the users."""
+    return _grouped(spark, sf_dir, lattice.cube)
+
+
+@query(_SQL_GROUPED + "GROUP BY ROLLUP (event_type, day, user_part)")
+def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir, lattice.rollup)
+
+
 def _kept_totals(spark: SparkSession, sf_dir: str) -> str:
     """Tables to which all runs were added in three batches, the first one twice."""
     path = scale.new_path(spark, "totals")
