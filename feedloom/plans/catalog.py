@@ -17,6 +17,7 @@ from feedloom import fixed_values as fixed
 from feedloom import schemas
 from feedloom.functions import vectors as vx
 from feedloom.operators import (
+    compare,
     corpus,
     evaluation,
     generation,
@@ -946,6 +947,48 @@ def box_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.select("model", "n", *_rounded(*_BOX), "outliers")
 
 
+_SQL_VERSIONS = """WITH old AS (
+    SELECT doc_id, lang, source, length(text) AS size FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+new AS (
+    SELECT doc_id, lang, source, length(replace(text, chr(10), '')) AS size FROM documents
+    WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that are not labelled bad, and, with line breaks cut, those whose text is new."""
+    docs = src.table(spark, sf_dir, "documents")
+    bad = src.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    old = scale.keyed_join(docs, bad, ["doc_id"], ["doc_id"], how="left_anti")
+    first = docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    new = scale.keyed_join(docs, first, ["doc_id"], ["doc_id"], how="left_semi")
+    new = new.withColumn("text", F.replace("text", F.lit("\n"), F.lit("")))
+    return tuple(x.select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("size")) for x in (old, new))
+
+
+@query(_SQL_VERSIONS + """, ranked AS (
+    SELECT 'old' AS version, *, row_number() OVER (PARTITION BY lang ORDER BY size DESC, doc_id) AS rank FROM old
+    UNION ALL SELECT 'new', *, row_number() OVER (PARTITION BY lang ORDER BY size DESC, doc_id) FROM new)
+SELECT lang, doc_id, o.rank - n.rank AS moved, CASE WHEN o.rank IS NULL THEN 'added' WHEN n.rank IS NULL THEN 'removed'
+    WHEN o.size <> n.size THEN 'changed' WHEN o.rank <> n.rank THEN 'moved' ELSE 'same' END AS change
+FROM (SELECT * FROM ranked WHERE version = 'old') o FULL JOIN (SELECT * FROM ranked WHERE version = 'new') n USING (lang, doc_id)""")
+def ranking_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the documents, ranked by size in their language, compared by key."""
+    order = [F.desc("size"), F.asc("doc_id")]
+    old, new = (
+        scale.ordered_positions(x.select("lang", "doc_id", "size"), order, by=["lang"], out="rank") for x in _versions(spark, sf_dir)
+    )
+    return compare.keyed_changes(old, new, ["lang", "doc_id"], "rank").select("lang", "doc_id", "moved", "change")
+
+
+@query(_SQL_VERSIONS + """, lost AS (SELECT lang, source, count(*) AS n FROM (SELECT lang, source FROM old EXCEPT ALL SELECT lang, source FROM new) GROUP BY ALL),
+won AS (SELECT lang, source, count(*) AS n FROM (SELECT lang, source FROM new EXCEPT ALL SELECT lang, source FROM old) GROUP BY ALL)
+SELECT lang, source, coalesce(won.n, 0) - coalesce(lost.n, 0) AS change FROM lost FULL JOIN won USING (lang, source)""")
+def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many more or fewer documents of each source and language the new version has, where it differs."""
+    old, new = (x.select("lang", "source") for x in _versions(spark, sf_dir))
+    return compare.bag_changes(old, new).select("lang", "source", (F.col("n_new") - F.col("n_old")).alias("change"))
+
+
 _SQL_GROUPED = """SELECT event_type, day, user_part, GROUPING(event_type, day, user_part) AS grouping_id,
     count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total
 FROM (SELECT event_type, ts::DATE::VARCHAR AS day, user_id % 8 AS user_part, user_id, value FROM events) """
