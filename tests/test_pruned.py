@@ -55,3 +55,34 @@ def test_share_of_the_table_that_is_scored(spark):
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
     _, counts = pruned.top_candidates(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
     assert all(r.scored <= r.items for r in counts.collect())
+
+
+def test_best_of_a_cell_are_cut_in_the_task():
+    import numpy as np
+
+    made = np.random.default_rng(3).normal(size=(400, 16))
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    vectors = np.concatenate([made[:300], made[:300]])  # every score is there twice
+    ids = np.random.default_rng(4).permutation(600)
+    queries, own = made[250:], np.concatenate([ids[250:300], np.full(100, -1)])
+    bounds = np.where(np.arange(150) % 3 == 0, 0.5, -np.inf)
+    got = {}
+    for q, v, score in zip(*pruned.best_of_cell(queries, own, bounds, vectors, ids, 7)):
+        got.setdefault(int(q), []).append((-float(score), int(ids[v])))
+    for q in range(150):
+        # Not ``sum``, which rounds otherwise.
+        products = np.cumsum(queries[q] * vectors, axis=1)[:, -1]
+        scores = [(-float(x), int(n)) for x, n in zip(products, ids) if n != own[q]]
+        assert got.get(q, []) == [(s, n) for s, n in sorted(scores)[:7] if -s >= bounds[q]]
+
+
+def test_text_ids_other_lengths_and_vectors_that_are_not_finite(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("é", [0.0, 2.0]), ("z", [3.0, 3.0]), ("n", [float("nan"), 1.0])]
+    rows += [("x", [1.0, 1.0, 1.0]), ("y", [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), ("o", [0.0, 0.0]), ("p", None)]
+    table = spark.createDataFrame(rows, "id STRING, vec ARRAY<DOUBLE>")
+    best, counts = pruned.top_candidates(table, table.where("id IN ('z', 'x')"), "id", "vec", 3, 2, 1)
+    got = [(r.query, r.item, r["rank"], round(r.score, 6)) for r in best.orderBy("query", "rank").collect()]
+    half = round(0.5**0.5, 6)
+    assert got[0][:3] == ("x", "y", 1) and math.isnan(got[1][3])
+    assert [g[1] for g in got[1:]] == ["n", "a", "b"] and got[2:] == [("z", "a", 2, half), ("z", "b", 3, half)]
+    assert {r.query: r.scored for r in counts.collect()} == {"x": 1, "z": 4}
