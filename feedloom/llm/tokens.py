@@ -2,15 +2,16 @@
 
 The library encodes about 1 MB/s per core, nearly all of it spent on words it has
 just encoded. Both known file kinds first cut a text into words that are encoded
-alone, and always cut before a space. So a worker keeps the ids of the chunks
-between spaces that it has met and that are one word, and gives only new words to
-the library's model. Words are cut here only in texts of the character range in which
-the classes are listed below; any other text, and any other kind of file, goes to
-the library as a whole. The results are the library's in every case.
+alone. So a worker cuts a text with one pattern, keeps the ids of the words that it
+has met, and gives only new words to the library's model. Words are cut here only in
+texts of the character range in which the classes are listed below; any other text,
+and any other kind of file, goes to the library as a whole. The results are the
+library's in every case.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import re
@@ -25,19 +26,14 @@ WORD_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 WORD_NORMAL = ["NFC", "Replace", "Lowercase"]
 LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+ENDINGS = "'(?:[stmd]|re|ve|ll)"
 UNLISTED = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u203a\u20ac]")
 
-# Where white space cannot be taken for a sign that a word begins.
-SPACES = re.compile(r"\s\s|\s$")
-# In keys of words met, of a kind that has spaces: the word is without its leading one.
-NO_SPACE = "\0"
-
 # Byte-level files show a byte that is no visible Latin-1 character as one of the
 # characters from 256 on, in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _VISIBLE]
-BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+BYTE_LETTERS = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
 
 # Characters of the words in one of the two generations that a worker keeps.
 CACHE_CHARS = 6_000_000
@@ -64,16 +60,23 @@ class Encoder:
         self.word = None
         if cut == BYTE_CUT and not normal:
             self.word = re.compile(
-                rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+                rf" ?[{LETTERS}]+|{ENDINGS}| ?[^\s{LETTERS}{NUMBERS}]+| ?[{NUMBERS}]+|\s+(?!\S)|\s+"
             ).findall
         elif (
             [x.get("pattern", {}).get("Regex") for x in cut.get("pretokenizers", [])] == [WORD_CUT, None]
             and [x["type"] for x in normal.get("normalizers", [])] == WORD_NORMAL
         ):
             self.lower = True
-            self.word = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+").findall
-        # Two generations of words met, by the word without its leading space: when
-        # the young one is full it becomes the old one.
+            self.word = re.compile(rf"[{LETTERS}]+|{ENDINGS}|[^\s{LETTERS}{NUMBERS}]+|[{NUMBERS}]").findall
+        # The bytes of each id.
+        size = self.kind.itemsize
+        self.bytes = [n.to_bytes(size, "little") for n in range(max(self.library.get_vocab().values(), default=0) + 1)]
+        # For new words, which gain nothing from the model's own memory of words.
+        self.model = Tokenizer.from_str(file).model
+        if self.word and hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
+        # Two generations of words met, when the young one is full it becomes
+        # the old one.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -81,44 +84,29 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, key: str, word: str) -> bytes:
+    def learn(self, word: str) -> bytes:
         """Ids of a word from the library's model, or from the older generation."""
-        found = self.old.get(key)
+        found = self.old.get(word)
         if found is None:
-            size = self.kind.itemsize
-            shown = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = b"".join(x.id.to_bytes(size, "little") for x in self.library.model.tokenize(shown))
+            shown = codecs.charmap_decode(word.encode(), "strict", BYTE_LETTERS)[0]
+            found = b"".join([self.bytes[x.id] for x in self.model.tokenize(shown)])
         if self.held > CACHE_CHARS:
             self.young, self.old, self.held = {}, self.young, 0
-        self.young[key] = found
-        self.held += len(key) + 16
+        self.young[word] = found
+        self.held += len(word) + 16
         return found
 
-    def cut(self, text: str) -> bytes:
-        """Ids of the words of a text of listed characters."""
-        found = []
-        for word in self.word(text):
-            key = word if self.lower else word[1:] if word[0] == " " and len(word) > 1 else NO_SPACE + word
-            found.append(self.young.get(key) or self.learn(key, word))
-        return b"".join(found)
-
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
         if self.word is None or UNLISTED.search(text) or any(x in text for x in self.marks):
             return np.frombuffer(self.whole(text), self.kind)
-        if self.lower:
-            first, chunks = b"", text.lower().split()
-        elif SPACES.search(text):
-            return np.frombuffer(self.cut(text), self.kind)
-        else:
-            begin, *chunks = text.split(" ")
-            first = self.cut(begin)
-        found = list(map(self.young.get, chunks))
+        words = self.word(text.lower() if self.lower else text)
+        found = list(map(self.young.get, words))
         if None in found:
-            lead = "" if self.lower else " "
-            found = [self.cut(lead + chunks[i]) if x is None else x for i, x in enumerate(found)]
-        return np.frombuffer(first + b"".join(found), self.kind)
+            # A word may be new twice in one text.
+            found = [self.young.get(word) or self.learn(word) if x is None else x for word, x in zip(words, found)]
+        return np.frombuffer(b"".join(found), self.kind)
 
 
 @functools.cache

@@ -40,3 +40,13 @@ def test_documents_are_encoded_as_by_the_library(spark, name):
     mine, library = pair(name)
     for text in texts:
         assert np.array_equal(mine(text), library.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_text_is_cut_in_one_pass(name, monkeypatch):
+    mine, library = pair(name)
+    cut, calls = mine.word, []
+    monkeypatch.setattr(mine, "word", lambda text: calls.append(text) or cut(text))
+    text = "One, two! It's three;\nfour (five) 66 seven."
+    assert mine(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1
