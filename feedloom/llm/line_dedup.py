@@ -47,13 +47,21 @@ BROADCAST_KEYS = 1_000_000
 LINE = ["_h1", "_h2"]
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """_id, _key, _line (number), _words, _h1, _h2 of the lines that are not blank."""
-    text = F.col("_text")
-    # Splitting at one character is much faster than at a pattern.
+def _lines_of(text: Column) -> Column:
+    """The lines of a text, blanks its only white space."""
     odd = [F.contains(text, F.lit(x)) for x in OTHER_SPACE]
     plain = F.when(reduce(Column.__or__, odd), F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(text)
-    split = F.transform(F.split(plain, "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
+    return F.split(plain, "\n")
+
+
+def _words_of(line: Column) -> Column:
+    # Splitting at one character is much faster than at a pattern.
+    return F.array_remove(F.split(line, " "), "")
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """_id, _key, _line (number), _words, _h1, _h2 of the lines that are not blank."""
+    split = F.transform(_lines_of(F.col("_text")), _words_of)
     rows = docs.select("_id", "_key", F.posexplode(split).alias("_line", "_words")).where(F.size("_words") > 0)
     return rows.withColumns({"_h1": F.xxhash64("_words"), "_h2": F.xxhash64(F.lit(1), "_words")})
 
@@ -140,10 +148,28 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if common.small_rows(df, BROADCAST_KEYS) else df
 
 
-def edited(all_lines: DataFrame, narrow: DataFrame) -> DataFrame:
+def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines (_h1, _h2, _place) with their words, cut out of their documents alone."""
+    picked = F.struct("_place._line", *LINE)
+    by_doc = wanted.groupBy("_place._id", "_place._key").agg(F.collect_list(picked).alias("_picked"))
+    by_doc = scale.stage(by_doc.toDF("_id", "_key", "_picked"))
+    if (by_doc.agg(F.sum(F.size("_picked"))).first()[0] or 0) <= BROADCAST_KEYS:
+        by_doc = F.broadcast(by_doc)
+    held = common.join_on(docs, by_doc, ["_id", "_key"], "inner")
+
+    def cut(split: Column) -> Column:
+        return F.transform("_picked", lambda x: F.struct(x["_line"].alias("_line"), *[x[h].alias(h) for h in LINE], _words_of(F.get(split, x["_line"])).alias("_words")))
+
+    rows = held.select("_id", "_key", F.explode(bind(_lines_of(F.col("_text")), cut)).alias("_at"))
+    rows = rows.select("_id", "_key", "_at.*").select(*LINE, "_words", place().alias("_place"))
+    # Documents equal in id and text give the same rows.
+    return rows.groupBy(*LINE).agg(F.first("_words").alias("_words"), F.first("_place").alias("_place"))
+
+
+def edited(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """_h1, _h2 of the lines that have an earlier line one word away.
 
-    ``narrow`` has the lines without their words, with the hashes of their ends.
+    ``narrow`` has the lines of ``docs`` without their words, with the hashes of their ends.
     """
     exploded = narrow.select(F.explode("_ends").alias("_end"), *LINE, place().alias("_place"))
     shared = (
@@ -154,9 +180,7 @@ def edited(all_lines: DataFrame, narrow: DataFrame) -> DataFrame:
     )
     shared = _hinted(scale.stage(shared))
     wanted = exploded.join(shared, "_end", "left_semi").groupBy(*LINE).agg(F.min("_place").alias("_place"))
-    wanted = scale.stage(wanted)
-    tried = all_lines.select("_words", *LINE).join(_hinted(wanted), LINE).groupBy(*LINE)
-    tried = scale.stage(tried.agg(F.first("_words").alias("_words"), F.first("_place").alias("_place")))
+    tried = scale.stage(_with_words(docs, wanted))
     keys = tried.select(*LINE, F.explode(neighbourhood(F.col("_words"))).alias("_k")).select(*LINE, "_k.key", "_k.at")
     met = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     met = _hinted(scale.stage(met))
@@ -196,7 +220,7 @@ def without_seen_lines(
     found = lines(rows)
     long = F.when(F.size("_words") >= FUZZY_WORDS, ends(F.col("_words")))
     narrow = scale.stage(found.select("_id", "_key", "_line", *LINE, long.alias("_ends")))
-    gone = scale.stage(edited(found, narrow).withColumn("_edited", F.lit(True)))
+    gone = scale.stage(edited(rows, narrow).withColumn("_edited", F.lit(True)))
     narrow = narrow.drop("_ends")
     first = narrow.groupBy(*LINE).agg(F.min(place()).alias("_first"), F.max(place()).alias("_last"))
     told = (

@@ -97,3 +97,15 @@ def test_columns_of_any_name_are_kept(spark):
     assert {k: (r.text, r["_n_lines"], r["_n_exact"], r["_n_edited"]) for k, r in told.items()} == {
         1: (f"{line}\nshort", 2, 0, 0), 2: ("new", 3, 1, 1), None: (None, 0, 0, 0)}
     assert all([r[c] for c in extra] == list("ikKgerp") for r in told.values())
+
+
+def test_words_of_wanted_lines_alone_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 7, " a\tb \n\nc d"), (1, 7, " a\tb \n\nc d"), (None, 8, "e  f"), (2, 9, "g")]
+    docs = spark.createDataFrame(rows, "_id LONG, _key LONG, _text STRING")
+    every = line_dedup.lines(docs).withColumn("_place", line_dedup.place())
+    wanted = every.where("_words[0] <> 'g'").select(*line_dedup.LINE, "_place").distinct()
+    got = line_dedup._with_words(docs, wanted)
+    assert sorted((r._words, r._place._line) for r in got.collect()) == [(["a", "b"], 0), (["c", "d"], 2), (["e", "f"], 0)]
+    assert got.join(every.select(*line_dedup.LINE, F.col("_words").alias("_w")).distinct(), line_dedup.LINE).where("_w <> _words").isEmpty()
