@@ -86,3 +86,14 @@ def test_text_ids_other_lengths_and_vectors_that_are_not_finite(spark):
     assert got[0][:3] == ("x", "y", 1) and math.isnan(got[1][3])
     assert [g[1] for g in got[1:]] == ["n", "a", "b"] and got[2:] == [("z", "a", 2, half), ("z", "b", 3, half)]
     assert {r.query: r.scored for r in counts.collect()} == {"x": 1, "z": 4}
+
+
+def test_repeated_rows_among_the_pivots_are_met_once_each(spark):
+    own = random.Random(5)
+    rows = [(n, [own.gauss(0, 1) for _ in range(4)]) for n in range(30)]
+    rows += rows[10:20]
+    table = spark.createDataFrame(rows, "id LONG, vec ARRAY<DOUBLE>")
+    best, _ = pruned.top_candidates(table, table.where("id = 0"), "id", "vec", 20, 40, 2)
+    unit = [(n, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for n, v in rows]
+    wanted = sorted((-sum(a * b for a, b in zip(unit[0][1], v)), n) for n, v in unit if n)[:20]
+    assert [(r.item, round(r.score, 9)) for r in best.orderBy("rank").collect()] == [(n, round(-s, 9)) for s, n in wanted]
