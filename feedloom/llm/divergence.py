@@ -1,15 +1,12 @@
 """How far the sources of a language diverge in the words they use.
 
-Chunk factorization. A task counts the white-space chunks of its documents; per
-language it hands on each different chunk with the number of documents that hold
-it and its occurrences in each source. Each globally distinct chunk is cut into
-terms once; those of kept terms are joined back to the counts.
-
-Occurrences of a term are the sums over its chunks. A document may hold a term in
-several chunks, so documents do not add up; but they lie between those of the most
-frequent chunk and the sum of all. Where both are on one side of the bound, that
-decides. For the terms between, a second pass takes from each document only the
-chunks of such terms, and their distinct documents are counted. So the result is
+Chunk factorization. A task numbers the white-space chunks of its documents and cuts
+each different chunk into terms once; the terms are joined back to the documents by
+the numbers of the chunks. Per language it hands on each different term with the
+number of its documents and its occurrences in each source.
+
+A document may hold a term in several chunks; it is counted once, as a task sees all
+chunks of a document at once. So documents add up over the tasks, and the result is
 that of counting distinct documents of every term.
 
 Then every group of a language, and the language, gives each kept term a share in
@@ -21,18 +18,18 @@ result. Terms that neither source has differ by a constant, which is added by co
 White space is that of ASCII, which is in no term, so no term crosses a chunk.
 
 Edge cases: null texts, languages and sources are ''. Every row is a document, repeated
-rows too. A chunk of any length is one key. A (language, source) without terms, and a
+rows too. A chunk of any length is cut as a whole. A (language, source) without terms, and a
 language that keeps none, still give their pairs. Other columns are ignored. An
 empty table gives nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +37,24 @@ from feedloom.llm import common
 from feedloom.operators import scale
 
 # What a term is, and the shares.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# The bytes [A-Za-z\x80-\xFF], of which only A-Z change; others are in no term.
+TERM = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 0 for c in range(256)], dtype=np.uint8)
 PARTS, ADDED = 1_000_000_000, 5
 LEAST_DOCS = 30
 
-# Counts of different chunks that a task holds before it hands them on.
-HELD_COUNTS, BATCH_CHUNKS = 1_500_000, 20_000
+# Chunks, repeated ones too, and bytes of text that a task holds before it hands on counts.
+HELD_COUNTS, HELD_BYTES = 6_000_000, 32 << 20
+# Texts numbered at once; rows handed on at once.
+SLICE_BYTES, BATCH_CHUNKS = 2 << 20, 20_000
 # Sources and terms compared at once: two tiles of 4 MB.
 TILE, BLOCK_TERMS = 64, 8192
 BROADCAST_ROWS = 1_000_000
-# Counts of one chunk, by tasks, that may meet its terms in one task: some kilobytes each.
+# Counts of one term, by tasks, that may be looked up in one task: some kilobytes each.
 HOT_PARTS = 100_000
 
 # A source's number and a count, in one value.
 COUNT_BITS = 36
-COUNTS = "lang string, chunk string, docs bigint, counts array<bigint>"
+COUNTS = "lang string, term string, docs bigint, counts array<bigint>"
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -73,125 +73,142 @@ def sources_of(docs: DataFrame) -> DataFrame:
     return scale.stage(groups.select("lang", "source", fits.alias("number")))
 
 
-def _table(held: Counter, by_source: dict[int, Counter], target: pa.Schema, lang: str) -> pa.RecordBatch:
-    """Chunks of a language with their counts by source."""
-    place = {chunk: n for n, chunk in enumerate(held)}
-    at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()])
-    counts = [np.fromiter(c.values(), np.int64, len(c)) | (number << COUNT_BITS) for number, c in by_source.items()]
-    ends = np.cumsum([0, *np.bincount(at, minlength=len(held))]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)[np.argsort(at, kind="stable")]))
-    made = [pa.array([lang] * len(held)), pa.array(held, pa.binary()), pa.array(held.values(), pa.int64()), lists]
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with texts of SLICE_BYTES; a longer text is one more."""
+    part = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:]):
+        yield batch.slice(at, end - at)
+
+
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of chunks of each text, the numbers of these chunks, and the different chunks."""
+    chunks = pc.ascii_split_whitespace(texts.cast(pa.binary()).view(pa.string()))
+    numbered = chunks.flatten().dictionary_encode()
+    return pc.list_value_length(chunks).to_numpy(), numbered.indices.to_numpy(), numbered.dictionary
+
+
+def _cut(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where the terms of each chunk begin among all, the numbers of these terms, and the different terms."""
+    _, ends, data = chunks.buffers()
+    ends = np.frombuffer(ends, np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+    letters = TERM[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data else np.empty(0, dtype=np.uint8)
+    ends = ends - ends[0]
+    inside = np.append(letters != 0, False)
+    # A term begins where none was before or a chunk begins, and ends likewise.
+    goes_on = np.append(False, inside[:-1])
+    goes_on[ends] = False
+    starts = np.flatnonzero(inside & ~goes_on)
+    goes_on = inside.copy()
+    goes_on[ends] = False
+    stops = np.flatnonzero(inside[:-1] & ~goes_on[1:]) + 1
+    offsets = np.append(0, np.cumsum(stops - starts)).astype(np.int32)
+    terms = [None, pa.py_buffer(offsets), pa.py_buffer(letters[inside[:-1]])]
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), terms).dictionary_encode()
+    return np.searchsorted(starts, ends), terms.indices.to_numpy(), terms.dictionary
+
+
+def _occurrences(chunks: np.ndarray, at: np.ndarray, bounds: np.ndarray, terms: np.ndarray, docs: int) -> np.ndarray:
+    """Sorted term * docs + document for each occurrence, of chunks in the documents ``at``."""
+    terms = terms.astype(np.int64) * docs
+    held = np.diff(bounds)
+    first = np.where(held > 0, np.append(terms, 0)[bounds[:-1]], -docs)[chunks] + at
+    several = np.flatnonzero((held > 1)[chunks])
+    chunks, at = chunks[several], at[several]
+    others = held[chunks] - 1
+    # Those of one chunk stand side by side.
+    begin = bounds[chunks] + 1 - (np.cumsum(others) - others)
+    rest = terms[np.repeat(begin, others) + np.arange(others.sum())] + np.repeat(at, others)
+    found = np.concatenate([first[first >= 0], rest])
+    found.sort()
+    return found
+
+
+def _table(held: list[tuple], target: pa.Schema) -> pa.RecordBatch:
+    """Terms by language with their documents and their counts by source."""
+    langs, sources, sizes, numbers, words = zip(*held)
+    # Documents in the order of their groups.
+    of_doc = list(zip([x for part in langs for x in part], np.concatenate(sources).tolist()))
+    groups = sorted(set(of_doc))
+    place = {group: n for n, group in enumerate(groups)}
+    group = np.fromiter(map(place.__getitem__, of_doc), np.int64, len(of_doc))
+    order = np.argsort(group, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    # Chunks numbered in slices get one number for all.
+    different = pa.concat_arrays(words).dictionary_encode()
+    begin = np.cumsum([0, *map(len, words)])
+    chunks = np.concatenate([different.indices.to_numpy()[n + first] for n, first in zip(numbers, begin)])
+    bounds, terms, names = _cut(different.dictionary)
+    found = _occurrences(chunks, np.repeat(rank, np.concatenate(sizes)), bounds, terms, len(of_doc))
+
+    def begins(*keys: np.ndarray) -> np.ndarray:
+        change = np.ones(len(keys[0]), dtype=bool)
+        change[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return np.flatnonzero(change)
+
+    # Of the same term and document; of these, of the same term and source; of these, of the same term and language.
+    pair = begins(found)
+    term, doc = np.divmod(found[pair], len(of_doc))
+    source = group[order][doc]
+    cell = begins(term, source)
+    counts = np.diff(np.append(pair[cell], len(found))) | (np.array([n for _, n in groups], dtype=np.int64)[source[cell]] << COUNT_BITS)
+    named = sorted({lang for lang, _ in groups})
+    lang = np.array([named.index(x) for x, _ in groups], dtype=np.int64)[source[cell]]
+    row = begins(term[cell], lang)
+    docs = np.diff(np.append(cell[row], len(pair)))
+    lists = pa.ListArray.from_arrays(np.append(row, len(cell)).astype(np.int32), pa.array(counts))
+    made = [pa.array(named).take(pa.array(lang[row])), names.take(pa.array(term[cell][row])), pa.array(docs), lists]
     return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target)], schema=target)
 
 
-def chunk_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per task, language and chunk: documents, and the occurrences in each source
+def term_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per task, language and term: documents, and the occurrences in each source
     together with its number."""
     target = common.pa_schema(docs.sparkSession, COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        docs: dict[str, Counter] = {}
-        occurrences: dict[str, dict[int, Counter]] = {}
+        held: list[tuple] = []
+        chunks = size = 0
 
         def made() -> Iterator[dict[str, list]]:
-            for lang, held in docs.items():
-                if held:
-                    table = _table(held, occurrences[lang], target, lang)
-                    for part in common.sliced(table, BATCH_CHUNKS):
-                        yield dict(zip(target.names, part.columns))
-            docs.clear()
-            occurrences.clear()
+            for part in common.sliced(_table(held, target), BATCH_CHUNKS):
+                yield dict(zip(target.names, part.columns))
+            held.clear()
 
         for batch in batches:
-            for part in common.sliced(batch):
-                for lang, source, text in zip(*[c.to_pylist() for c in part.columns]):
-                    chunks = text.split()
-                    docs.setdefault(lang, Counter()).update(set(chunks))
-                    occurrences.setdefault(lang, {}).setdefault(source, Counter()).update(chunks)
-                if sum(len(c) for x in occurrences.values() for c in x.values()) > HELD_COUNTS:
+            for part in _slices(batch):
+                sizes, numbers, words = _numbered(part.column("text"))
+                held.append((part.column("lang").to_pylist(), part.column("number").to_numpy(), sizes, numbers, words))
+                chunks, size = chunks + len(sizes) + len(numbers), size + part.column("text").nbytes
+                if chunks > HELD_COUNTS or size > HELD_BYTES:
                     yield from made()
-        yield from made()
+                    chunks = size = 0
+        if held:
+            yield from made()
 
     few = scale.fits(groups, BROADCAST_ROWS)
     rows = scale.keyed_join(_read(docs), groups, ["lang", "source"], ["text"], small=few)
     return common.arrow_map(rows.select("lang", "number", "text"), count, COUNTS)
 
 
-def documents_with(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
-    """(lang, chunk, id) for each document and each different one of its wanted
-    chunks; of all chunks, if the wanted ones (lang, chunk) are not few."""
-    rows = _read(docs).drop("source").withColumn("id", F.monotonically_increasing_id())
-    held: dict[str, set[bytes]] = {}
-    if few:
-        for lang, chunk in wanted.collect():
-            held.setdefault(lang, set()).add(chunk.encode())
-    told = docs.sparkSession.sparkContext.broadcast(held)
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        none: set[bytes] = set()
-        for batch in batches:
-            for part in common.sliced(batch):
-                out = {"lang": [], "chunk": [], "id": []}
-                for lang, text, doc in zip(*[c.to_pylist() for c in part.columns]):
-                    different = set(text.split())
-                    if few:
-                        different &= told.value.get(lang, none)
-                    out["lang"] += [lang] * len(different)
-                    out["chunk"] += [c.decode() for c in different]
-                    out["id"] += [doc] * len(different)
-                yield out
-
-    return common.arrow_map(rows, take, "lang string, chunk string, id bigint")
-
-
-def terms_of(chunks: DataFrame) -> DataFrame:
-    """(lang, chunk, term, docs, parts) for the terms of each distinct chunk, as
-    often as they are in it; its languages are in one row while it is cut."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    found = F.regexp_extract_all(F.translate("chunk", upper, upper.lower()), F.lit(TERM), F.lit(0))
-    once = chunks.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "parts")).alias("langs"))
-    cut = once.select("chunk", "langs", F.explode(found).alias("term"))
-    return cut.select("chunk", "term", F.explode("langs").alias("in")).select("in.*", "chunk", "term")
-
-
-def kept_chunks(docs: DataFrame, counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, chunk, term, parts), repeated as they repeat, of the terms in so many
-    documents of the language, or more."""
-    chunks = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"), F.count("*").alias("parts"))
-    terms = terms_of(scale.stage(chunks))
-    # Documents of the most frequent chunk, and of all.
-    by_term = Window.partitionBy("lang", "term")
-    bounds = terms.withColumns({"least": F.max("docs").over(by_term), "most": F.sum("docs").over(by_term)})
-    bounds = scale.stage(bounds.where(F.col("most") >= least_docs).drop("docs", "most"))
-    sure = bounds.where(F.col("least") >= least_docs).drop("least")
-    between = scale.stage(bounds.where(F.col("least") < least_docs).drop("least"))
-    if between.isEmpty():
-        return sure
-    pairs = between.select("lang", "chunk", "term").distinct()
-    few = scale.fits(pairs, BROADCAST_ROWS)
-    held = documents_with(docs, pairs.select("lang", "chunk").distinct(), few)
-    told = scale.keyed_join(held, pairs, ["lang", "chunk"], ["id"], small=few)
-    distinct = told.select("lang", "term", "id").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
-    kept = scale.stage(distinct.where(F.col("docs") >= least_docs).select("lang", "term"))
-    return sure.unionByName(between.join(kept, ["lang", "term"]))
-
-
 def group_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of the kept terms, (lang, source, term, occurrences), and all (lang, source)."""
+    """Occurrences of the terms in so many documents of the language, or more, (lang,
+    source, term, occurrences), and all (lang, source)."""
     groups = sources_of(docs)
-    counts = scale.stage(chunk_counts(docs, groups))
-    kept = kept_chunks(docs, counts, least_docs).groupBy("lang", "chunk")
-    # A chunk has no more terms than characters.
-    wanted = scale.stage(kept.agg(F.collect_list("term").alias("terms"), F.max("parts").alias("parts")))
+    counts = scale.stage(term_counts(docs, groups))
+    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.count("*").alias("parts"))
+    wanted = scale.stage(terms.where(F.col("docs") >= least_docs).drop("docs"))
+    counts = counts.drop("docs")
     if scale.fits(wanted, BROADCAST_ROWS):
-        found = counts.join(F.broadcast(wanted.drop("parts")), ["lang", "chunk"])
+        found = counts.join(F.broadcast(wanted.drop("parts")), ["lang", "term"])
     elif wanted.where(F.col("parts") > HOT_PARTS).isEmpty():
-        found = counts.join(wanted.drop("parts").hint("shuffle_hash"), ["lang", "chunk"])
+        found = counts.join(wanted.drop("parts").hint("shuffle_hash"), ["lang", "term"])
     else:
-        found = scale.salted_join(counts, wanted.drop("parts"), ["lang", "chunk"], ["counts"], min_rows=HOT_PARTS)
-    each = found.select("lang", "terms", F.explode("counts").alias("of"))
+        found = scale.salted_join(counts, wanted.drop("parts"), ["lang", "term"], ["counts"], min_rows=HOT_PARTS)
+    each = found.select("lang", "term", F.explode("counts").alias("of"))
     number, count = F.shiftright("of", COUNT_BITS), F.col("of").bitwiseAND((1 << COUNT_BITS) - 1)
-    each = each.select("lang", F.explode("terms").alias("term"), number.alias("number"), count.alias("count"))
+    each = each.select("lang", "term", number.alias("number"), count.alias("count"))
     summed = each.groupBy("lang", "number", "term").agg(F.sum("count").alias("occurrences"))
     few = scale.fits(groups, BROADCAST_ROWS)
     named = scale.keyed_join(summed, groups, ["lang", "number"], ["term"], small=few)

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import oracle
+import pyarrow as pa
 import pytest
 
 from feedloom.llm import divergence
@@ -83,6 +84,44 @@ def test_counts_beyond_64_bits(spark):
     assert got.count() == 0  # both have the language's shares
 
 
+def test_spellings_of_a_term_leave_a_task_as_one(spark, monkeypatch):
+    """No table is as long as the different chunks, nor is a term counted twice in a document."""
+    docs = [(n, f"word{'!' * n} ({n})WORD/word wOrd_{n}", "en", f"s{n % 2}") for n in range(90)]
+    rows = spark.createDataFrame([(*d, "own", 1) for d in docs], SCHEMA).coalesce(2)
+    stage, staged = divergence.scale.stage, []
+    monkeypatch.setattr(divergence.scale, "stage", lambda df: staged.append(stage(df)) or staged[-1])
+    for least in (90, 91):
+        got = divergence.audit(rows, least).collect()
+        assert sorted(tuple(r) for r in got) == plainly(docs, least)
+    assert max(df.count() for df in staged) <= 4
+
+
+def test_slices_are_counted_together(monkeypatch):
+    """Chunks of more and of no terms, texts without any, and terms at both ends of chunks and slices."""
+    texts = ["", " \n", "!! -- 1", "Ab-ab\x0bab éx", "ab", "É é x" * 3, None, "a" * 50 + "-b", "b-" + "a" * 50, "ab,AB ab", "日本-ab 本"] * 3
+    rows = [(["en", "de", ""][n % 3], n % 2 + 1, (t or "").encode()) for n, t in enumerate(texts)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.large_binary()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lang", "number", "text"])
+    fields = (("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("counts", pa.list_(pa.int64())))
+    held, used = Counter(), defaultdict(Counter)
+    for lang, number, text in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text.decode()))
+        held.update({(lang, t) for t in terms})
+        for t in terms:
+            used[lang, t][number] += 1
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(divergence, "SLICE_BYTES", size)
+        parts = [(x, *divergence._numbered(x.column("text"))) for x in divergence._slices(batch)]
+        assert sum(x.num_rows for x, *_ in parts) == len(rows) and (len(parts) > 1) == (size < 1 << 20)
+        table = divergence._table([(x.column("lang").to_pylist(), x.column("number").to_numpy(), *n) for x, *n in parts], pa.schema(fields))
+        got = table.to_pylist()
+        bits = divergence.COUNT_BITS
+        assert {(r["lang"], r["term"]): r["docs"] for r in got} == held and len(got) == len(held)
+        assert {(r["lang"], r["term"]): {x >> bits: x & (1 << bits) - 1 for x in r["counts"]} for r in got} == used
+    empty = divergence._numbered(batch.slice(0, 0).column("text"))
+    assert divergence._table([([], batch.slice(0, 0).column("number").to_numpy(), *empty)], pa.schema(fields)).num_rows == 0
+
+
 def test_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
 
